@@ -1,0 +1,45 @@
+"""Topics of the posts' texts: ranked words, post counts and topic-word links."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import LDA
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class Topics:
+    """Topic model of a text column; the vocabulary is capped by its size argument."""
+
+    def __init__(self, texts: DataFrame, k: int = 5, words: int = 10, vocabulary: int = 20_000, rounds: int = 10, seed: int = 42):
+        tokens = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=3)
+        counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=2)
+        lda = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online")
+        self.model = Pipeline(stages=[tokens, counts, lda]).fit(texts)
+        self.texts, self.words = texts, words
+
+    def ranking(self) -> DataFrame:
+        """(topic, rank, word, weight): the leading words of every topic."""
+        terms = F.array(*map(F.lit, self.model.stages[1].vocabulary))
+        described = self.model.stages[2].describeTopics(self.words)
+        pairs = F.arrays_zip("termIndices", "termWeights")
+        return described.select("topic", F.posexplode(pairs).alias("rank", "p")).select(
+            "topic",
+            F.col("rank") + 1,
+            F.element_at(terms, F.col("p.termIndices") + 1).alias("word"),
+            F.col("p.termWeights").alias("weight"),
+        ).toDF("topic", "rank", "word", "weight")
+
+    def counts(self) -> DataFrame:
+        """(topic, posts): texts whose strongest topic it is."""
+        mix = vector_to_array("topicDistribution")
+        strongest = F.array_position(mix, F.array_max(mix)) - 1
+        return self.model.transform(self.texts).groupBy(strongest.cast("int").alias("topic")).agg(
+            F.count(F.lit(1)).alias("posts")
+        )
+
+    def links(self) -> DataFrame:
+        """(topic, word) edges of the topic-word graph."""
+        return self.ranking().select("topic", "word")
