@@ -200,9 +200,9 @@ def fact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "claim_text",
         domain.alias("visual_evidence_domain"),
         F.concat(F.lit("seen at "), "url").alias("visual_evidence_text"),
-        (F.col("value") / 100).cast("string").alias("text_evidence_similarity_score"),
-        (F.col("value") / 200).cast("string").alias("visual_evidence_similarity_score"),
-        (F.col("value") / 300).cast("string").alias("visual_evidence_graph_similarity_score"),
+        (F.col("value") / 130).cast("string").alias("text_evidence_similarity_score"),
+        (F.col("value") / 170).cast("string").alias("visual_evidence_similarity_score"),
+        (F.col("value") / 230).cast("string").alias("visual_evidence_graph_similarity_score"),
         F.lit("['caption', 'place']").alias("visual_evidence_matched_categories"),
     )
 
