@@ -66,7 +66,7 @@ def running(
     )
     place = F.struct(*order)
     parts = ranged.groupBy(_SLICE, *keys).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max(c).alias(n) for n, c in maxes.items()],
         *[F.max_by(c, place).alias(n) for n, c in previous.items()],
@@ -76,11 +76,11 @@ def running(
     carry = parts.select(
         _SLICE,
         *keys,
-        F.lag("_n").over(earlier).alias("_n"),
+        F.lag("_rows").over(earlier).alias("_rows"),
         *[F.sum(n).over(before).alias(f"_c_{n}") for n in sums],
         *[F.max(n).over(before).alias(f"_c_{n}") for n in maxes],
         *[F.lag(n).over(earlier).alias(f"_c_{n}") for n in previous],
-    ).where(F.col("_n").isNotNull())
+    ).where(F.col("_rows").isNotNull()).drop("_rows")
     # At most one continued group per slice: the size of this side is the slice count.
     joined = local.join(F.broadcast(carry), [_SLICE, *keys], "left")
 
