@@ -27,7 +27,8 @@ def modes(rows: DataFrame, columns: Sequence[str]) -> dict:
         if not chosen:
             continue
         kind = "string" if text else "double"
-        long = rows.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in chosen]).unpivot([], chosen, "c", "v")
+        long = rows.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in chosen])
+        long = long.unpivot([], [F.col(f"`{c}`") for c in chosen], "c", "v")
         counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy("c").agg(F.min(F.struct(-F.col("n"), "v")).alias("b")).select("c", "b.v")
         out.update({r["c"]: r["v"] for r in best.collect()})

@@ -120,22 +120,23 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     k, n = F.col("k").cast("double"), (F.col("n_chars") % 1000).cast("double")
+    # Prime divisors keep averages away from rounding ties.
     return docs.join(events, "doc_id").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("id_str"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"),
         F.col("lang").alias("language"),
-        (k / 100).alias("Miedo"),
-        (n / 1000).alias("Disgusto"),
-        (k / 200 + 0.1).alias("Sorpresa"),
-        (n / 2000 + 0.05).alias("Odio"),
-        (1 - k / 100).alias("Diversion"),
-        (n / 4000 + k / 400).alias("Agresividad"),
-        (k * n / 100000).alias("Dirigido"),
-        (n / 1500).alias("Enfado"),
-        (k / 150).alias("Tristeza"),
+        (k / 101).alias("Miedo"),
+        (n / 1009).alias("Disgusto"),
+        (k / 211 + 0.1).alias("Sorpresa"),
+        (n / 2003 + 0.05).alias("Odio"),
+        (1 - k / 101).alias("Diversion"),
+        (n / 4001 + k / 401).alias("Agresividad"),
+        (k * n / 100003).alias("Dirigido"),
+        (n / 1511).alias("Enfado"),
+        (k / 151).alias("Tristeza"),
         F.col("toxic").cast("double").alias("Toxico"),
-        (F.lit(1.0) - n / 1000).alias("Ironia"),
+        (F.lit(1.0) - n / 1009).alias("Ironia"),
         (1 - F.col("quality")).cast("double").alias("fakeness"),
         (1 - F.col("quality")).cast("double").alias("fakeness_probabilities"),
     )

@@ -127,11 +127,11 @@ VIEWS: dict[str, str] = {
           max(w.w) OVER o AS max_breadth, CAST(sum(a.dist) OVER o AS DOUBLE) AS dist
         FROM placed p JOIN wide w USING (cascade_id, created_at) JOIN apart a USING (cascade_id, created_at)
         WINDOW o AS (PARTITION BY p.cascade_id ORDER BY p.created_at))""",
-    "scores": """SELECT d.doc_id AS id, CAST(d.doc_id AS VARCHAR) AS id_str, e.ts, e.k / 100.0 AS Miedo,
-        (d.n_chars % 1000) / 1000.0 AS Disgusto, e.k / 200.0 + 0.1 AS Sorpresa, (d.n_chars % 1000) / 2000.0 + 0.05 AS Odio,
-        1 - e.k / 100.0 AS Diversion, (d.n_chars % 1000) / 4000.0 + e.k / 400.0 AS Agresividad,
-        e.k * (d.n_chars % 1000) / 100000.0 AS Dirigido, (d.n_chars % 1000) / 1500.0 AS Enfado, e.k / 150.0 AS Tristeza,
-        CAST(l.toxic AS DOUBLE) AS Toxico, 1 - (d.n_chars % 1000) / 1000.0 AS Ironia, CAST(1 - l.quality AS DOUBLE) AS fakeness,
+    "scores": """SELECT d.doc_id AS id, CAST(d.doc_id AS VARCHAR) AS id_str, e.ts, e.k / 101.0 AS Miedo,
+        (d.n_chars % 1000) / 1009.0 AS Disgusto, e.k / 211.0 + 0.1 AS Sorpresa, (d.n_chars % 1000) / 2003.0 + 0.05 AS Odio,
+        1 - e.k / 101.0 AS Diversion, (d.n_chars % 1000) / 4001.0 + e.k / 401.0 AS Agresividad,
+        e.k * (d.n_chars % 1000) / 100003.0 AS Dirigido, (d.n_chars % 1000) / 1511.0 AS Enfado, e.k / 151.0 AS Tristeza,
+        CAST(l.toxic AS DOUBLE) AS Toxico, 1 - (d.n_chars % 1000) / 1009.0 AS Ironia, CAST(1 - l.quality AS DOUBLE) AS fakeness,
         d.lang AS language
         FROM documents d JOIN ev e ON e.event_id = d.doc_id
         LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id""",
