@@ -113,6 +113,17 @@ def level_rank(level: Column) -> Column:
     return rank
 
 
+# Numbers that stand for levels where they are drawn as sizes and colours.
+LEVEL_SIZES = {"Null": 0.5, "Low": 1.0, "Medium": 2.0, "High": 3.0, "Unknown": 0.5}
+LEVEL_COLOURS = {"Null": 0.5, "Low": 1.0, "Medium": 2.0, "High": 3.0, "Unknown": float("nan")}
+
+
+def level_code(level: Column, codes: dict[str, float]) -> Column:
+    """Number of a level; a missing level counts as 'Unknown'."""
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(codes.items())])
+    return F.element_at(table, F.coalesce(level, F.lit("Unknown")))
+
+
 def level_summary(legitimacy: Column, reputation: Column, status: Column) -> Column:
     """One line per standing level, blank when the level is unknown."""
     parts = [("Legitimacy", legitimacy), ("Reputation", reputation), ("Status", status)]

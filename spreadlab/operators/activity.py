@@ -96,11 +96,6 @@ def cascade_count_over_time(posts: DataFrame, daily_up_to: int = 20) -> DataFram
     )
 
 
-def share_of_largest(counts: DataFrame, column: str, out: str) -> DataFrame:
-    """A count relative to the largest, for already reduced tables."""
-    return counts.withColumn(out, F.col(column) / F.max(column).over(Window.partitionBy()))
-
-
 def sample_per_period(posts: DataFrame, unit: str = "day", quantity: int = 10, seed: int = 42) -> DataFrame:
     """Up to ``quantity`` posts of every period, chosen by a hash of the id.
 

@@ -39,11 +39,13 @@ def members(posts: DataFrame) -> DataFrame:
     Pointers that have arrived at an original leave the loop at once, so a
     widely shared original is never a join key again after the first join. The
     loop also ends on reference cycles: a round without a new arrival is the last.
+    Only when some post references several others can two ways meet, and only
+    then are repeated pairs removed.
     """
-    steps = settle(_steps(posts), "steps")
+    several = not posts.where(F.size(F.array_distinct("referenced_tweets.id")) > 1).isEmpty()
     known = posts.select(F.col("id").alias("ref_id"), F.col("referenced_tweets").isNull().alias("done"))
     known = known.groupBy("ref_id").agg(F.bool_or("done").alias("done"))
-    pointers = settle(steps.join(known, "ref_id").select("post_id", "ref_id", "done"), "pointers")
+    pointers = settle(_steps(posts).join(known, "ref_id").select("post_id", "ref_id", "done"), "pointers")
     arrived = pointers.where("done").select("post_id", "ref_id")
     moving = pointers.where(~F.col("done"))
     while not moving.isEmpty():
@@ -53,9 +55,10 @@ def members(posts: DataFrame) -> DataFrame:
         jumped = moving.join(ahead, moving["ref_id"] == ahead["at"]).select(
             "post_id", F.col("next").alias("ref_id"), ahead["done"]
         )
-        jumped = settle(jumped.distinct(), "pointers")
-        fresh = jumped.where("done").select("post_id", "ref_id").join(arrived, ["post_id", "ref_id"], "left_anti")
-        fresh = settle(fresh, "arrived")
+        jumped = settle(jumped.distinct() if several else jumped, "pointers")
+        fresh = jumped.where("done").select("post_id", "ref_id")
+        if several:
+            fresh = settle(fresh.join(arrived, ["post_id", "ref_id"], "left_anti"), "arrived")
         if fresh.isEmpty():
             break
         arrived = arrived.unionByName(fresh)
@@ -188,50 +191,69 @@ def spread_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Author pairs of a cascade are found from the smaller side: through the
     network when an author has fewer in-neighbours than the cascade has
-    authors, otherwise through the cascade's authors. The latest earlier post
-    then comes from one ordered pass over (cascade, author), not from pairing
-    every post with every earlier one.
+    authors, otherwise through the cascade's authors. Each pair then sends the
+    fewer posts to the other author: either the leader's posts to the follower,
+    or the follower's posts to the leader. One ordered pass over each author's
+    list gives the latest earlier post, so posts are never paired with each other.
     """
-    timed = nodes.where(F.col("created_at").isNotNull() & F.col("author_id").isNotNull())
+    timed = nodes.where(F.col("created_at").isNotNull() & F.col("author_id").isNotNull()).select(
+        "cascade_id", "author_id", "post_id", "created_at", "type"
+    )
     seekers = timed.where(F.col("type").isin("retweeted", "quoted")).select(
         "cascade_id", F.col("author_id").alias("follower"), "post_id", "created_at"
     )
-    people = settle(timed.select("cascade_id", F.col("author_id").alias("leader")).distinct(), "people")
+    people = timed.groupBy("cascade_id", F.col("author_id").alias("leader")).agg(F.count(F.lit(1)).alias("offered"))
+    people = settle(people, "people")
     crowd = people.groupBy("cascade_id").agg(F.count(F.lit(1)).alias("crowd"))
     leads = edges.groupBy(F.col("target").alias("follower")).agg(F.count(F.lit(1)).alias("leads"))
-    asking = seekers.select("cascade_id", "follower").distinct().join(leads, "follower").join(crowd, "cascade_id")
-    asking = settle(asking, "asking")
+    asking = seekers.groupBy("cascade_id", "follower").agg(F.count(F.lit(1)).alias("asked"))
+    asking = settle(asking.join(leads, "follower").join(crowd, "cascade_id"), "asking")
     ties = edges.select(F.col("source").alias("leader"), F.col("target").alias("follower"))
+    columns = ["cascade_id", "follower", "leader", "asked", "offered"]
     through_network = (
-        asking.where(F.col("leads") <= F.col("crowd")).join(ties, "follower").select("cascade_id", "follower", "leader")
+        asking.where(F.col("leads") <= F.col("crowd")).join(ties, "follower").join(people, ["cascade_id", "leader"])
     )
     through_cascade = (
         asking.where(F.col("leads") > F.col("crowd"))
         .join(people, "cascade_id")
         .join(ties, ["leader", "follower"], "left_semi")
-        .select("cascade_id", "follower", "leader")
-    )
-    offers = (
-        through_network.unionByName(through_cascade)
-        .join(
-            timed.select("cascade_id", F.col("author_id").alias("leader"), F.col("post_id").alias("offer"), "created_at"),
-            ["cascade_id", "leader"],
-        )
-        .groupBy("cascade_id", "follower", "created_at")
-        .agg(F.max("offer").alias("offer"))
     )
-    # At equal times the asking post comes first, so only earlier offers count.
-    events = seekers.select(
-        "cascade_id", "follower", "created_at", F.lit(0).alias("turn"), "post_id", F.lit(None).cast("string").alias("offer")
-    ).unionByName(
-        offers.select("cascade_id", "follower", "created_at", F.lit(1).alias("turn"), F.lit("").alias("post_id"), "offer")
-    )
-    events = events.withColumn("place", F.when(F.col("turn") == 1, F.struct("created_at", "offer")))
+    pairs = settle(through_network.select(columns).unionByName(through_cascade.select(columns)), "author_pairs")
+
+    def offers(who: str, wanted: DataFrame) -> DataFrame:
+        posted = wanted.join(timed.withColumnRenamed("author_id", "leader"), ["cascade_id", "leader"])
+        return posted.groupBy("cascade_id", F.col(who).alias("who"), "created_at").agg(F.max("post_id").alias("offer"))
+
+    def asks(who: str, rows: DataFrame) -> DataFrame:
+        return rows.select("cascade_id", F.col(who).alias("who"), "created_at", "post_id")
+
+    to_follower = pairs.where(F.col("offered") <= F.col("asked")).select("cascade_id", "follower", "leader")
+    to_leader = pairs.where(F.col("offered") > F.col("asked")).select("cascade_id", "follower", "leader")
+    lists = [
+        ("follower", offers("follower", to_follower), asks("follower", seekers)),
+        (
+            "leader",
+            offers("leader", to_leader.select("cascade_id", "leader").distinct()),
+            asks("leader", to_leader.join(seekers, ["cascade_id", "follower"])),
+        ),
+    ]
+    events = None
+    for side, offered, asked in lists:
+        # At equal times the asking post comes first, so only earlier offers count.
+        for turn, rows in ((1, offered.withColumn("post_id", F.lit(""))), (0, asked)):
+            place = F.struct("created_at", "offer") if turn else F.lit(None).cast("struct<created_at:timestamp,offer:string>")
+            part = rows.select(
+                "cascade_id", F.lit(side).alias("side"), "who", "created_at", F.lit(turn).alias("turn"), "post_id", place.alias("place")
+            )
+            events = part if events is None else events.unionByName(part)
     latest = running(
-        events, ["cascade_id", "follower"], ["created_at", "turn", "post_id"], maxes={"latest": "place"}
+        events, ["cascade_id", "side", "who"], ["created_at", "turn", "post_id"], maxes={"latest": "place"}
     )
-    return latest.where((F.col("turn") == 0) & F.col("latest").isNotNull()).select(
-        "cascade_id", F.col("latest.offer").alias("parent"), F.col("post_id").alias("child")
+    found = latest.where((F.col("turn") == 0) & F.col("latest").isNotNull())
+    return (
+        found.groupBy("cascade_id", "post_id")
+        .agg(F.max("latest").alias("latest"))
+        .select("cascade_id", F.col("latest.offer").alias("parent"), F.col("post_id").alias("child"))
     )
 
 

@@ -12,13 +12,13 @@ from spreadlab.session import settle
 KEY = ["cascade_id", "created_at"]
 
 
-def _breadth(placed: DataFrame, group_rows: int) -> DataFrame:
+def _breadth(placed: DataFrame, group_rows: int, at_most: int) -> DataFrame:
     """Posts at a depth so far, at each time a post of that depth arrives."""
     arrivals = placed.groupBy("cascade_id", "depth", "created_at").agg(F.count(F.lit(1)).alias("n"))
-    return running(arrivals, ["cascade_id", "depth"], ["created_at"], sums={"wide": "n"}, group_rows=group_rows)
+    return running(arrivals, ["cascade_id", "depth"], ["created_at"], sums={"wide": "n"}, group_rows=group_rows, at_most=at_most)
 
 
-def _shared_in_trees(placed: DataFrame, group_rows: int) -> DataFrame:
+def _shared_in_trees(placed: DataFrame, group_rows: int, at_most: int) -> DataFrame:
     """Growth of the sum, over tree edges, of the squared number of posts below the edge.
 
     An edge with r of t posts below it lies on r * (t - r) of the paths between
@@ -29,7 +29,9 @@ def _shared_in_trees(placed: DataFrame, group_rows: int) -> DataFrame:
         *KEY, F.explode(F.concat("path", F.array("post_id"))).alias("edge")
     )
     arrivals = below.groupBy("cascade_id", "edge", "created_at").agg(F.count(F.lit(1)).alias("n"))
-    counted = running(arrivals, ["cascade_id", "edge"], ["created_at"], sums={"r": "n"}, group_rows=group_rows)
+    counted = running(
+        arrivals, ["cascade_id", "edge"], ["created_at"], sums={"r": "n"}, group_rows=group_rows, at_most=at_most
+    )
     now, was = F.col("r").cast("double"), (F.col("r") - F.col("n")).cast("double")
     return counted.groupBy(*KEY).agg(F.sum(now * now - was * was).alias("shared"))
 
@@ -73,31 +75,34 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
 
     Values at equal times are those after all posts of that time. Virality is
     the mean distance over all ordered pairs of posts so far, a post with itself
-    included.
+    included. ``positions`` is read several times and should be a stored table.
     """
-    placed = settle(positions.where(F.col("created_at").isNotNull()), "placed")
-    # Paths are unknown in cascades that are not trees or have unreachable posts.
-    odd = placed.where(F.col("path").isNull()).select("cascade_id").distinct()
-    odd = settle(odd, "odd")
-    trees = placed.join(odd, "cascade_id", "left_anti")
-    none = F.lit(None)
+    placed = positions.where(F.col("created_at").isNotNull())
+    count, steps_up, unplaced = placed.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("depth"), F.lit(0)), F.count_if(F.col("path").isNull())
+    ).first()
+    trees, odd = placed, None
+    if unplaced:
+        # Paths are unknown in cascades that are not trees or have unreachable posts.
+        odd = settle(placed.where(F.col("path").isNull()).select("cascade_id").distinct(), "odd")
+        trees = placed.join(odd, "cascade_id", "left_anti")
     parts = [
         placed.groupBy(*KEY).agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("depth").cast("double").alias("depths"),
             F.max("depth").alias("deep"),
         ),
-        _breadth(placed, group_rows).groupBy(*KEY).agg(F.max("wide").alias("wide")),
-        _shared_in_trees(trees, group_rows),
+        _breadth(placed, group_rows, count).groupBy(*KEY).agg(F.max("wide").alias("wide")),
+        _shared_in_trees(trees, group_rows, count + steps_up),
     ]
-    if not odd.isEmpty():
+    if odd is not None:
         graphs = placed.join(odd, "cascade_id", "left_semi")
         parts.append(_distances_in_graphs(graphs, tree.edges.join(odd, "cascade_id", "left_semi")))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
     if "apart" not in merged.columns:
-        merged = merged.withColumn("apart", none.cast("double"))
+        merged = merged.withColumn("apart", F.lit(None).cast("double"))
     zero = F.lit(0.0)
     steps = merged.groupBy(*KEY).agg(
         F.sum("n").alias("n"),
@@ -114,11 +119,12 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
         sums={"size": "n", "all_depths": "depths", "all_shared": "shared", "all_apart": "apart"},
         maxes={"depth": "deep", "max_breadth": "wide"},
         group_rows=group_rows,
+        at_most=count,
     )
     size = F.col("size")
     in_tree = 2 * (size * F.col("all_depths") - F.col("all_shared"))
     out = curve
-    if not odd.isEmpty():
+    if odd is not None:
         out = out.join(odd.withColumn("odd", F.lit(True)), "cascade_id", "left")
         distance = F.when(F.col("odd"), F.col("all_apart")).otherwise(in_tree)
     else:

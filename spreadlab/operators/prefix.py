@@ -29,18 +29,23 @@ def running(
     previous: Mapping[str, str] | None = None,
     group_rows: int = GROUP_ROWS,
     settled: bool = False,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add running columns within ``keys``, in the order of ``order`` (unique per group).
 
     ``sums`` and ``maxes`` map a new column to the column accumulated up to and
     including the row; ``previous`` maps a new column to the value of the row before.
+    ``at_most`` is a known upper bound on the rows: under the group limit it makes
+    counting the groups unnecessary.
     """
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     keys, order = list(keys), list(order)
-    if not settled:
-        df = settle(df, "prefix")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    largest = at_most
+    if at_most is None or at_most > group_rows:
+        if not settled:
+            df = settle(df, "prefix")
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= group_rows:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

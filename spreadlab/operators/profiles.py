@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadlab.functions.columns import translated, wrapped
 from spreadlab.operators.posts import flat
 from spreadlab.operators.prefix import quantiles, running
+from spreadlab.session import settle
 from spreadlab.sources.tables import GROUPS
 
 # Labels of genders, and English names of Catalan feature labels.
@@ -171,7 +172,7 @@ def lexicon_scores(texts: DataFrame, lexicon: DataFrame, user: str = "user_id",
     """
     pattern = r"[\p{L}\p{N}_]+"
     words = texts.select(user, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("word"))
-    counts = words.groupBy(user, "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(words.groupBy(user, "word").agg(F.count(F.lit(1)).alias("n")), "words")
     vocabulary = counts.select("word").distinct()
     longest = lexicon.where("is_prefix").agg(F.max(F.length("word"))).first()[0] or 0
     exact = vocabulary.join(lexicon.where(~F.col("is_prefix")), "word").select("word", "category")

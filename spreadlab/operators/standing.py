@@ -125,12 +125,16 @@ class Runs:
         )
 
     def means(self) -> DataFrame:
-        """Mean reputation and status over the periods, computed on runs."""
+        """Legitimacy and mean reputation and status over the periods, computed on runs.
+
+        The last reputation of an author is all they received, their legitimacy.
+        """
         total = F.aggregate("statuses", F.lit(0).cast("bigint"), lambda acc, s: acc + s)
         return (
             self._with_status()
             .groupBy("author_id")
             .agg(
+                F.max("reputation").alias("legitimacy"),
                 (F.sum(F.col("reputation") * F.col("length")) / len(self.periods)).alias("average_reputation"),
                 (F.sum(total) / len(self.periods)).alias("average_status"),
             )
@@ -147,7 +151,7 @@ def status(posts: DataFrame, unit: str = "day", size: int = 1) -> DataFrame:
 
 def standing_means(posts: DataFrame, unit: str = "day", size: int = 1) -> DataFrame:
     """Legitimacy with the mean reputation and mean status of every posting author."""
-    return legitimacy(posts).join(Runs(posts, unit, size).means(), "author_id")
+    return Runs(posts, unit, size).means()
 
 
 def add_levels(values: DataFrame, metrics=METRICS, suffix: str = "_level") -> DataFrame:

@@ -55,8 +55,7 @@ class SocialDataset:
 
     @cached_property
     def standing(self) -> DataFrame:
-        means = standing.legitimacy(self.posts).join(self.runs.means(), "author_id")
-        return settle(standing.add_levels(settle(means, "means")), "standing")
+        return settle(standing.add_levels(settle(self.runs.means(), "means")), "standing")
 
     @cached_property
     def metadata(self) -> DataFrame:

@@ -59,6 +59,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/spreadlab/{spark.sparkContext.applicationId}"
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; call it when its results are saved."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, name: str = "step", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -66,7 +76,7 @@ def settle(df: DataFrame, name: str = "step", partition_by: Sequence[str] = ())
     column pruning and filter pushdown, and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spreadlab/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

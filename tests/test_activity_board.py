@@ -206,3 +206,5 @@ def test_small_functions(spark):
     text = df.select(C.level_summary(F.lit("High"), F.lit(None), F.lit("Low"))).first()[0]
     assert text == "Legitimacy: High<br>Reputation: <br>Status: Low"
     assert df.select(C.level_rank(F.lit("Medium")), C.level_rank(F.lit("?"))).first()[:] == (2, None)
+    codes = df.select(*[C.level_code(F.lit(x).cast("string"), C.LEVEL_SIZES) for x in ("High", "Null", None)]).first()
+    assert codes[:] == (3.0, 0.5, 0.5)
