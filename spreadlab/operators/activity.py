@@ -64,16 +64,19 @@ def top_hashtags(posts: DataFrame, start=None, end=None, n: int = 10) -> DataFra
 
 def cascade_roots(posts: DataFrame) -> DataFrame:
     """Originals that some post references, once per id."""
-    firsts = (
-        originals(posts)
-        .groupBy("id")
-        .agg(F.min(F.struct("created_at", F.col("author.id").alias("author_id"))).alias("first"))
-        .select(
-            F.col("id").alias("cascade_id"), F.col("first.created_at").alias("created_at"), "first.author_id"
-        )
+    fields = ["created_at", "author_id", "username"]
+    heads = originals(posts).select(
+        F.col("id").alias("cascade_id"),
+        "created_at",
+        F.col("author.id").alias("author_id"),
+        F.col("author.username").alias("username"),
+    )
+    # Reduced to one row per id in every task before it is exchanged.
+    referenced = references(posts, ["ref_id"]).select(F.col("ref_id").alias("cascade_id")).distinct()
+    firsts = heads.groupBy("cascade_id").agg(F.min(F.struct(*fields)).alias("first"))
+    return firsts.join(referenced, "cascade_id", "left_semi").select(
+        "cascade_id", *[F.col(f"first.{f}").alias(f) for f in fields]
     )
-    referenced = references(posts).select(F.col("ref_id").alias("cascade_id"))
-    return firsts.join(referenced, "cascade_id", "left_semi")
 
 
 def cascade_count_over_time(posts: DataFrame, daily_up_to: int = 20) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spreadlab.functions.columns import CLASSES, actor_class
 from spreadlab.operators.activity import cascade_roots
 from spreadlab.operators.components import connected
-from spreadlab.operators.posts import flat, get_post, originals, references
+from spreadlab.operators.posts import flat, get_post, is_original, originals, references
 from spreadlab.operators.prefix import running
 from spreadlab.session import settle
 
@@ -25,7 +25,7 @@ def _steps(posts: DataFrame) -> DataFrame:
 
     A post whose references all go to its own author ends a branch.
     """
-    outward = F.exists("referenced_tweets", lambda r: ~r["author"]["id"].eqNullSafe(F.col("author.id")))
+    outward = F.exists("referenced_tweets.author.id", lambda author: ~author.eqNullSafe(F.col("author.id")))
     return posts.where(outward).select(
         F.col("id").alias("post_id"), F.explode(F.array_distinct("referenced_tweets.id")).alias("ref_id")
     )
@@ -43,7 +43,7 @@ def members(posts: DataFrame) -> DataFrame:
     then are repeated pairs removed.
     """
     several = not posts.where(F.size(F.array_distinct("referenced_tweets.id")) > 1).isEmpty()
-    known = posts.select(F.col("id").alias("ref_id"), F.col("referenced_tweets").isNull().alias("done"))
+    known = posts.select(F.col("id").alias("ref_id"), is_original().alias("done"))
     known = known.groupBy("ref_id").agg(F.bool_or("done").alias("done"))
     pointers = settle(_steps(posts).join(known, "ref_id").select("post_id", "ref_id", "done"), "pointers")
     arrived = pointers.where("done").select("post_id", "ref_id")
@@ -155,14 +155,13 @@ def cascade_nodes(posts: DataFrame, refs: DataFrame, roots: DataFrame | None = N
             F.when(F.col("best.type") == "", "other").otherwise(F.col("best.type")).alias("type"),
         )
     )
-    own = flat(posts).select(F.col("id").alias("cascade_id"), *fields)
-    own = own.groupBy("cascade_id").agg(F.min(F.struct("created_at", "author_id", "username")).alias("own"))
-    heads = own.join(chosen.select("cascade_id"), "cascade_id", "left_semi").select(
-        "cascade_id",
-        F.col("cascade_id").alias("post_id"),
-        *[F.col(f"own.{f}").alias(f) for f in fields],
-        F.lit("original").alias("type"),
-    )
+    if set(fields) <= set(chosen.columns):
+        own = chosen
+    else:
+        own = flat(posts).select(F.col("id").alias("cascade_id"), *fields)
+        own = own.join(chosen.select("cascade_id"), "cascade_id", "left_semi")
+        own = own.groupBy("cascade_id").agg(F.min(F.struct(*fields)).alias("own")).select("cascade_id", "own.*")
+    heads = own.select("cascade_id", F.col("cascade_id").alias("post_id"), *fields, F.lit("original").alias("type"))
     return heads.unionByName(merged)
 
 
@@ -395,7 +394,7 @@ def cascade_positions(nodes: DataFrame, tree: Tree) -> DataFrame:
 
 def cascade_sizes(posts: DataFrame) -> DataFrame:
     """References received by every original that has any, with its author's flags."""
-    counts = references(posts).groupBy(F.col("ref_id").alias("cascade_id")).agg(F.count(F.lit(1)).alias("size"))
+    counts = references(posts, ["ref_id"]).groupBy(F.col("ref_id").alias("cascade_id")).agg(F.count(F.lit(1)).alias("size"))
     heads = flat(originals(posts)).select(F.col("id").alias("cascade_id"), "is_usual_suspect", "party")
     return heads.join(counts, "cascade_id")
 

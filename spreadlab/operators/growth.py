@@ -42,7 +42,7 @@ def grow_cascades(
         joined = (
             scored.where(F.col("prediction") == 1)
             .groupBy("cascade_id", "target")
-            .agg(F.min("source").alias("source"), F.first("original_author").alias("original_author"))
+            .agg(F.min("source").alias("source"), F.min("original_author").alias("original_author"))
         )
         joined = settle(joined, "joined")
         if joined.isEmpty():

@@ -21,13 +21,15 @@ class Network(NamedTuple):
 def interactions(posts: DataFrame, types: Sequence[str] = REFERENCE_TYPES, start=None, end=None, hashtags=()) -> DataFrame:
     """How often each author was referenced by each other author.
 
-    ``weight_norm`` is the share of the referenced author's total. The pairs are
-    already reduced when the totals are formed, so only pairs are shuffled.
+    ``weight_norm`` is the share of the referenced author's total. The counted
+    pairs are stored, so the posts are scanned once for pairs and totals.
     """
-    refs = between_authors(references(window(posts, start, end, hashtags, mode="network")), types)
+    chosen = window(posts, start, end, hashtags, mode="network")
+    refs = between_authors(references(chosen, ["ref_type", "ref_author_id"]), types)
     pairs = refs.groupBy(F.col("ref_author_id").alias("source"), F.col("author_id").alias("target")).agg(
         F.count(F.lit(1)).alias("weight")
     )
+    pairs = settle(pairs, "pairs")
     totals = pairs.groupBy("source").agg(F.sum("weight").alias("total"))
     return pairs.join(totals, "source").select(
         "source",
@@ -57,10 +59,10 @@ def network(posts: DataFrame, types: Sequence[str] = REFERENCE_TYPES, start=None
     """
     pairs = interactions(posts, types, start, end, hashtags)
     roster = authors(posts, start, end, hashtags)
-    refs = between_authors(references(window(posts, start, end, hashtags, mode="network")), types)
-    some = refs.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    if pairs.isEmpty():
+        roster = roster.limit(0)
     edges = pairs.join(roster.select(F.col("author_id").alias("source")), "source", "left_semi")
-    return Network(roster.where(some), edges)
+    return Network(roster, edges)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def negative_pairs(positives: DataFrame, network_edges: DataFrame, num_samples:
     )
     sources = sources.where(F.col("n") > 1).select("source", "first.cascade_id", "first.original_author")
     near = undirected(network_edges).select(F.col("author_id").alias("source"), F.col("other").alias("target")).distinct()
-    missed = near.join(positives.select("source", "target"), ["source", "target"], "left_anti")
+    missed = near.join(positives.select("source", "target").distinct(), ["source", "target"], "left_anti")
     pairs = missed.join(sources, "source").select("source", "target", "cascade_id", "original_author")
     if num_samples is not None:
         pairs = pairs.orderBy(F.xxhash64("source", "target"), "source", "target").limit(num_samples // 2)
@@ -116,16 +116,20 @@ def post_features(posts: DataFrame, text_scores: DataFrame) -> DataFrame:
         F.col("like_count").alias("num_likes"),
     )
     present = [c for c in TEXT_FEATURES if c in text_scores.columns]
-    scores = text_scores.groupBy(F.col("id_str").alias("cascade_id")).agg(*[F.first(f"`{c}`").alias(c) for c in present])
-    return counters.join(scores, "cascade_id", "left")
+    scores = text_scores.groupBy(F.col("id_str").alias("cascade_id")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in present])).alias("s")
+    )
+    return counters.join(scores.select("cascade_id", "s.*"), "cascade_id", "left")
 
 
 def user_features(posts: DataFrame, profiles: DataFrame, standing: DataFrame) -> DataFrame:
     """Flags, profile features and standing per posting author."""
     flags = flat(posts).groupBy("author_id").agg(F.max("is_usual_suspect").alias("is_usual_suspect"))
     features = [c for c in profiles.columns if c not in PROFILE_KEYS]
-    known = profiles.select(F.col("user_id").alias("author_id"), *[F.col(f"`{c}`") for c in features])
-    known = known.dropDuplicates(["author_id"])
+    known = profiles.groupBy(F.col("user_id").alias("author_id")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in features])).alias("p")
+    )
+    known = known.select("author_id", "p.*")
     scores = standing.select(
         "author_id",
         "legitimacy",

@@ -13,6 +13,21 @@ from spreadlab.functions.columns import CLASSES, actor_class
 REFERENCE_TYPES = ("retweeted", "quoted", "replied_to")
 
 
+# Columns of ``references`` and where a reference keeps them.
+REFERENCE_FIELDS = {
+    "ref_id": "referenced_tweets.id",
+    "ref_type": "referenced_tweets.type",
+    "ref_author_id": "referenced_tweets.author.id",
+    "ref_username": "referenced_tweets.author.username",
+    "ref_created_at": "referenced_tweets.created_at",
+}
+
+
+def is_original() -> Column:
+    """No reference list. Asks for one field of the list, so a scan reads no more than that."""
+    return F.col("referenced_tweets.id").isNull()
+
+
 def flat(posts: DataFrame) -> DataFrame:
     """One row per post with the author's fields, counters and tags as plain columns."""
     return posts.select(
@@ -28,34 +43,29 @@ def flat(posts: DataFrame) -> DataFrame:
         F.col("public_metrics.like_count").alias("like_count"),
         F.col("public_metrics.quote_count").alias("quote_count"),
         F.col("entities.hashtags.tag").alias("hashtags"),
-        F.col("referenced_tweets").isNull().alias("is_original"),
+        is_original().alias("is_original"),
     )
 
 
-def references(posts: DataFrame) -> DataFrame:
-    """One row per reference a post makes to another post."""
+def references(posts: DataFrame, fields: Sequence[str] = tuple(REFERENCE_FIELDS)) -> DataFrame:
+    """One row per reference a post makes to another post.
+
+    Only the listed fields are taken from the reference list before it is
+    expanded: expanding the whole list would read the embedded texts as well.
+    """
+    wanted = F.arrays_zip(*[F.col(REFERENCE_FIELDS[f]).alias(f) for f in fields])
     return posts.select(
         F.col("id").alias("post_id"),
         F.col("author.id").alias("author_id"),
         F.col("author.username").alias("username"),
         "created_at",
-        F.explode("referenced_tweets").alias("ref"),
-    ).select(
-        "post_id",
-        "author_id",
-        "username",
-        "created_at",
-        F.col("ref.id").alias("ref_id"),
-        F.col("ref.type").alias("ref_type"),
-        F.col("ref.author.id").alias("ref_author_id"),
-        F.col("ref.author.username").alias("ref_username"),
-        F.col("ref.created_at").alias("ref_created_at"),
-    )
+        F.explode(wanted).alias("ref"),
+    ).select("post_id", "author_id", "username", "created_at", *[F.col(f"ref.{f}").alias(f) for f in fields])
 
 
 def originals(posts: DataFrame) -> DataFrame:
     """Posts without a reference list. An empty list still marks a referencing post."""
-    return posts.where(F.col("referenced_tweets").isNull())
+    return posts.where(is_original())
 
 
 def between_authors(refs: DataFrame, types: Sequence[str] = REFERENCE_TYPES) -> DataFrame:
@@ -67,10 +77,6 @@ def between_authors(refs: DataFrame, types: Sequence[str] = REFERENCE_TYPES) ->
     )
 
 
-def _has_tag(tag: str) -> Column:
-    return F.exists("entities.hashtags", lambda h: h["tag"] == tag)
-
-
 def window(
     posts: DataFrame,
     start: date | datetime | str | None = None,
@@ -106,9 +112,9 @@ def window(
         posts = posts.where(F.arrays_overlap("hashtags", F.array(*map(F.lit, tags))))
     elif tags and mode == "activity":
         for tag in tags:
-            posts = posts.where(_has_tag(tag))
+            posts = posts.where(F.array_contains("entities.hashtags.tag", tag))
     elif tags:
-        posts = posts.where(F.exists("entities.hashtags", lambda h: h["tag"].isin(tags)))
+        posts = posts.where(F.arrays_overlap("entities.hashtags.tag", F.array(*map(F.lit, tags))))
     return posts
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import translated, wrapped
-from spreadlab.operators.posts import flat
+from spreadlab.operators.posts import flat, is_original
 from spreadlab.operators.prefix import quantiles, running
 from spreadlab.session import settle
 from spreadlab.sources.tables import GROUPS
@@ -159,7 +159,7 @@ def social_features(posts: DataFrame) -> DataFrame:
         share("quoted").alias("ratio_quoted_tweet_types"),
         share("retweeted").alias("ratio_retweets_tweet_types"),
         share("replied_to").alias("ratio_replies_tweet_types"),
-        F.avg(F.col("referenced_tweets").isNull().cast("int")).alias("ratio_original_tweet_types"),
+        F.avg(is_original().cast("int")).alias("ratio_original_tweet_types"),
     )
 
 

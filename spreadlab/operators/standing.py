@@ -26,7 +26,7 @@ def _roster(posts: DataFrame) -> DataFrame:
 
 def legitimacy(posts: DataFrame) -> DataFrame:
     """References received by every posting author, zero when none."""
-    received = references(posts).groupBy(F.col("ref_author_id").alias("author_id")).agg(
+    received = references(posts, ["ref_author_id"]).groupBy(F.col("ref_author_id").alias("author_id")).agg(
         F.count(F.lit(1)).alias("received")
     )
     return _roster(posts).join(received, "author_id", "left").select(
@@ -36,7 +36,7 @@ def legitimacy(posts: DataFrame) -> DataFrame:
 
 def legitimacy_over_time(posts: DataFrame, unit: str = "day", size: int = 1) -> DataFrame:
     """References received per author and period of the referencing post."""
-    return references(posts).groupBy(
+    return references(posts, ["ref_author_id"]).groupBy(
         F.col("ref_author_id").alias("author_id"), time_bin(F.col("created_at"), unit, size).alias("period")
     ).agg(F.count(F.lit(1)).alias("legitimacy"))
 

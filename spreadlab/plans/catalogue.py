@@ -349,7 +349,7 @@ def legitimacy_trimmed(d):
 
 @query
 def cascade_roots(d):
-    return d.roots
+    return d.roots.select("cascade_id", "created_at", "author_id")
 
 
 @query
