@@ -17,6 +17,11 @@ from spreadlab.operators.posts import flat, get_post, is_original, originals, re
 from spreadlab.operators.prefix import running
 from spreadlab.session import settle
 
+def _progress(pointers: DataFrame) -> tuple[int, int]:
+    """How many pointers have arrived and how many still move."""
+    return tuple(pointers.agg(F.count_if("done"), F.count_if(~F.col("done"))).first())
+
+
 # ---------------------------------------------------------------- membership
 
 
@@ -48,7 +53,8 @@ def members(posts: DataFrame) -> DataFrame:
     pointers = settle(_steps(posts).join(known, "ref_id").select("post_id", "ref_id", "done"), "pointers")
     arrived = pointers.where("done").select("post_id", "ref_id")
     moving = pointers.where(~F.col("done"))
-    while not moving.isEmpty():
+    _, left = _progress(pointers)
+    while left:
         ahead = arrived.withColumn("done", F.lit(True)).unionByName(moving).withColumnsRenamed(
             {"post_id": "at", "ref_id": "next"}
         )
@@ -56,10 +62,12 @@ def members(posts: DataFrame) -> DataFrame:
             "post_id", F.col("next").alias("ref_id"), ahead["done"]
         )
         jumped = settle(jumped.distinct() if several else jumped, "pointers")
+        new, left = _progress(jumped)
         fresh = jumped.where("done").select("post_id", "ref_id")
         if several:
             fresh = settle(fresh.join(arrived, ["post_id", "ref_id"], "left_anti"), "arrived")
-        if fresh.isEmpty():
+            new = fresh.count()
+        if not new:
             break
         arrived = arrived.unionByName(fresh)
         moving = jumped.where(~F.col("done"))
@@ -322,18 +330,17 @@ def _tree_paths(edges: DataFrame) -> DataFrame:
     pointers = settle(first, "paths")
     arrived = pointers.where("done").select("cascade_id", "post_id", "path")
     moving = pointers.where(~F.col("done"))
-    while not moving.isEmpty():
-        ahead = arrived.select(
+    _, left = _progress(pointers)
+    while left:
+        done = arrived.select(
             "cascade_id", F.col("post_id").alias("up"), F.lit("").alias("next"), F.col("path").alias("more"), F.lit(True).alias("arrives")
-        ).unionByName(
-            moving.select(
-                "cascade_id", F.col("post_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"), F.lit(False).alias("arrives")
-            )
         )
+        open_ = moving.select(
+            "cascade_id", F.col("post_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"), F.lit(False).alias("arrives")
+        )
+        jumped = moving.drop("done").join(done.unionByName(open_), ["cascade_id", "up"])
         jumped = settle(
-            moving.drop("done")
-            .join(ahead, ["cascade_id", "up"])
-            .select(
+            jumped.select(
                 "cascade_id",
                 "post_id",
                 F.col("next").alias("up"),
@@ -342,10 +349,10 @@ def _tree_paths(edges: DataFrame) -> DataFrame:
             ),
             "paths",
         )
-        fresh = jumped.where("done").select("cascade_id", "post_id", "path")
-        if fresh.isEmpty():
+        new, left = _progress(jumped)
+        if not new:  # what is left runs in circles
             break
-        arrived = arrived.unionByName(fresh)
+        arrived = arrived.unionByName(jumped.where("done").select("cascade_id", "post_id", "path"))
         moving = jumped.where(~F.col("done"))
     return arrived
 
