@@ -17,9 +17,63 @@ from spreadlab.operators.posts import flat, get_post, is_original, originals, re
 from spreadlab.operators.prefix import running
 from spreadlab.session import settle
 
-def _progress(pointers: DataFrame) -> tuple[int, int]:
-    """How many pointers have arrived and how many still move."""
-    return tuple(pointers.agg(F.count_if("done"), F.count_if(~F.col("done"))).first())
+# -------------------------------------------------------------- pointer chains
+
+
+def _arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> DataFrame:
+    """Follow pointers (scope, post_id, up, done) to where they arrive, by doubling their reach.
+
+    ``done`` marks pointers whose ``up`` is already the end of the chain; an
+    optional ``path`` is joined along the way. Each round lets a pointer jump to
+    where its target points, so a chain of n posts takes log2(n) joins. The
+    rounds run only over posts that others point to; the rest, most posts of a
+    widely shared original, take a single join at the end, and posts pointing
+    straight at an end take none. Chains that run in circles never arrive: a
+    round without an arrival is the last. ``several`` says that a post may have
+    more than one pointer, so that ways can meet and repeated pairs are removed.
+    """
+    path = "path" in pointers.columns
+
+    def jump(moving: DataFrame, ahead: DataFrame) -> DataFrame:
+        target = ahead.select(
+            *scope,
+            F.col("post_id").alias("up"),
+            F.col("up").alias("next"),
+            F.col("done").alias("arrives"),
+            *([F.col("path").alias("more")] if path else []),
+        )
+        out = (
+            moving.drop("done")
+            .join(target, [*scope, "up"])
+            .select(
+                *scope,
+                "post_id",
+                F.col("next").alias("up"),
+                F.col("arrives").alias("done"),
+                *([F.concat("path", "more").alias("path")] if path else []),
+            )
+        )
+        return out.distinct() if several else out
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return df.where("done"), df.where(~F.col("done"))
+
+    direct, moving = split(pointers)
+    stops = moving.select(*scope, F.col("up").alias("post_id")).distinct()
+    current = settle(pointers.join(stops, [*scope, "post_id"], "left_semi"), "pointers")
+    arrived, going = split(current)
+    left = going.count()
+    while left:
+        current = settle(jump(going, arrived.unionByName(going)), "pointers")
+        fresh, going = split(current)
+        if several:
+            fresh = settle(fresh.join(arrived, [*scope, "post_id", "up"], "left_anti"), "arrived")
+        new, left = fresh.count(), going.count()
+        if not new:
+            break
+        arrived = arrived.unionByName(fresh)
+    reached = direct.unionByName(jump(moving, arrived)).drop("done")
+    return reached.distinct() if several else reached
 
 
 # ---------------------------------------------------------------- membership
@@ -39,39 +93,14 @@ def _steps(posts: DataFrame) -> DataFrame:
 def members(posts: DataFrame) -> DataFrame:
     """(cascade_id, post_id): every post that reaches an original through its references.
 
-    Each post holds a pointer to a referenced post; joining the pointers with
-    themselves doubles their reach, so a chain of n posts takes log2(n) joins.
-    Pointers that have arrived at an original leave the loop at once, so a
-    widely shared original is never a join key again after the first join. The
-    loop also ends on reference cycles: a round without a new arrival is the last.
-    Only when some post references several others can two ways meet, and only
-    then are repeated pairs removed.
+    Pointers go from a post to the posts it references and end at originals.
     """
     several = not posts.where(F.size(F.array_distinct("referenced_tweets.id")) > 1).isEmpty()
     known = posts.select(F.col("id").alias("ref_id"), is_original().alias("done"))
     known = known.groupBy("ref_id").agg(F.bool_or("done").alias("done"))
-    pointers = settle(_steps(posts).join(known, "ref_id").select("post_id", "ref_id", "done"), "pointers")
-    arrived = pointers.where("done").select("post_id", "ref_id")
-    moving = pointers.where(~F.col("done"))
-    _, left = _progress(pointers)
-    while left:
-        ahead = arrived.withColumn("done", F.lit(True)).unionByName(moving).withColumnsRenamed(
-            {"post_id": "at", "ref_id": "next"}
-        )
-        jumped = moving.join(ahead, moving["ref_id"] == ahead["at"]).select(
-            "post_id", F.col("next").alias("ref_id"), ahead["done"]
-        )
-        jumped = settle(jumped.distinct() if several else jumped, "pointers")
-        new, left = _progress(jumped)
-        fresh = jumped.where("done").select("post_id", "ref_id")
-        if several:
-            fresh = settle(fresh.join(arrived, ["post_id", "ref_id"], "left_anti"), "arrived")
-            new = fresh.count()
-        if not new:
-            break
-        arrived = arrived.unionByName(fresh)
-        moving = jumped.where(~F.col("done"))
-    return arrived.select(F.col("ref_id").alias("cascade_id"), "post_id")
+    pointers = _steps(posts).join(known, "ref_id").select("post_id", F.col("ref_id").alias("up"), "done")
+    arrived = _arrivals(settle(pointers, "pointers"), [], several)
+    return arrived.select(F.col("up").alias("cascade_id"), "post_id")
 
 
 def members_from(posts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -318,43 +347,16 @@ def cascade_tree(nodes: DataFrame, refs: DataFrame, network_edges: DataFrame) ->
 
 
 def _tree_paths(edges: DataFrame) -> DataFrame:
-    """(cascade_id, post_id, path): ancestors below the root, by pointer doubling."""
+    """(cascade_id, post_id, path): the ancestors of a post below the root."""
     at_root = F.col("parent") == F.col("cascade_id")
-    first = edges.select(
+    pointers = edges.select(
         "cascade_id",
         F.col("child").alias("post_id"),
         F.col("parent").alias("up"),
-        F.when(at_root, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("path"),
         at_root.alias("done"),
+        F.when(at_root, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("path"),
     )
-    pointers = settle(first, "paths")
-    arrived = pointers.where("done").select("cascade_id", "post_id", "path")
-    moving = pointers.where(~F.col("done"))
-    _, left = _progress(pointers)
-    while left:
-        done = arrived.select(
-            "cascade_id", F.col("post_id").alias("up"), F.lit("").alias("next"), F.col("path").alias("more"), F.lit(True).alias("arrives")
-        )
-        open_ = moving.select(
-            "cascade_id", F.col("post_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"), F.lit(False).alias("arrives")
-        )
-        jumped = moving.drop("done").join(done.unionByName(open_), ["cascade_id", "up"])
-        jumped = settle(
-            jumped.select(
-                "cascade_id",
-                "post_id",
-                F.col("next").alias("up"),
-                F.concat("path", "more").alias("path"),
-                F.col("arrives").alias("done"),
-            ),
-            "paths",
-        )
-        new, left = _progress(jumped)
-        if not new:  # what is left runs in circles
-            break
-        arrived = arrived.unionByName(jumped.where("done").select("cascade_id", "post_id", "path"))
-        moving = jumped.where(~F.col("done"))
-    return arrived
+    return _arrivals(settle(pointers, "pointers"), ["cascade_id"]).select("cascade_id", "post_id", "path")
 
 
 def _walk_depths(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from spreadlab.operators import (
 from spreadlab.operators import posts as post_ops
 from spreadlab.plans import demo
 from spreadlab.plans.dataset import SocialDataset
-from spreadlab.session import settle
+from spreadlab.session import prepare, settle
 from spreadlab.sources import posts as files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def query(make: Callable[[SocialDataset], DataFrame]) -> Callable[[SocialDataset
 
 def table_query(make: Query) -> Query:
     """Register a query that reads the given tables itself."""
-    _QUERIES[make.__name__] = lambda spark, sf_dir: rounded(make(spark, sf_dir))
+    _QUERIES[make.__name__] = lambda spark, sf_dir: rounded(make(prepare(spark), sf_dir))
     return make
 
 

@@ -17,7 +17,7 @@ SERIES = """count({x}) FILTER (WHERE NOT suspect AND party IS NULL) AS "Normal",
  count({x}) FILTER (WHERE NOT suspect AND party IS NOT NULL) AS "Politician",
  count({x}) FILTER (WHERE suspect AND party IS NOT NULL) AS "Usual suspect politician" """
 
-# name -> (is recursive body, SQL); order matters, later views may use earlier ones.
+# Order matters: later views use earlier ones, and some use themselves.
 VIEWS: dict[str, str] = {
     "ev": """SELECT event_id, ts, user_id, event_type, value,
         CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""",
@@ -191,10 +191,18 @@ VIEWS: dict[str, str] = {
     "walk": """SELECT a AS s, a AS n, 0 AS d FROM links UNION SELECT w.s, l.b, w.d + 1 FROM walk w
         JOIN links l ON l.a = w.n WHERE w.d < 6""",
     "dist": "SELECT s, n, min(d) AS d FROM walk GROUP BY ALL",
+    "mates": """SELECT '7' AS n UNION SELECT b FROM links WHERE a = '7' UNION SELECT y.b FROM links x JOIN links y ON y.a = x.b WHERE x.a = '7'""",
+    "around": """SELECT source, target, weight, weight_norm FROM edges WHERE source IN (SELECT n FROM mates) AND target IN (SELECT n FROM mates)""",
+    "strong": """SELECT e.source, e.target, e.weight FROM around e JOIN (SELECT a, count(*) AS degree FROM
+        (SELECT source AS a FROM around UNION ALL SELECT target FROM around) GROUP BY a) d ON d.a = e.source
+        WHERE pow(1 - e.weight_norm, d.degree - 1) > 0
+        ORDER BY pow(1 - e.weight_norm, d.degree - 1) DESC, e.source, e.target LIMIT 40""",
+    "strong_ends": "SELECT source AS n FROM strong UNION SELECT target FROM strong UNION SELECT '7'",
+    "strong_reach": """SELECT n, n AS m FROM strong_ends UNION SELECT r.n, CASE WHEN s.source = r.m THEN s.target ELSE s.source END
+        FROM strong_reach r JOIN strong s ON s.source = r.m OR s.target = r.m""",
     "spread_label": """SELECT a AS n, a AS label FROM links UNION SELECT l.b, s.label FROM spread_label s
         JOIN links l ON l.a = s.n""",
 }
-RECURSIVE = {"belongs", "depths", "above", "walk", "spread_label"}
 
 
 def _needed(text: str) -> list[str]:
@@ -346,6 +354,9 @@ QUERIES: dict[str, str] = {
     "ego_depth2": """SELECT source, target, weight FROM edges
         WHERE source IN (SELECT y.b FROM links x JOIN links y ON y.a = x.b WHERE x.a = '7' UNION SELECT b FROM links WHERE a = '7' UNION SELECT '7')
         AND target IN (SELECT y.b FROM links x JOIN links y ON y.a = x.b WHERE x.a = '7' UNION SELECT b FROM links WHERE a = '7' UNION SELECT '7')""",
+    "ego_capped": """SELECT source, target, weight FROM strong UNION ALL
+        SELECT '7', arg_min(p.n, ('u' || p.n, p.n)), NULL FROM (SELECT n, min(m) AS part FROM strong_reach GROUP BY n) p
+        WHERE p.part <> (SELECT min(m) FROM strong_reach WHERE n = '7') GROUP BY p.part""",
     "backbone": "SELECT source, target, weight, round(alpha, 6) AS alpha FROM alphas WHERE alpha > 0.05",
     "backbone_capped": """SELECT source, target, weight, round(alpha, 6) AS alpha FROM alphas WHERE alpha > 0.05
         ORDER BY alphas.alpha DESC, source, target LIMIT 100""",
