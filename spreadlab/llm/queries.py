@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import simhash
-from spreadlab.llm.common import table
+from spreadlab.llm import simhash, urls, warc
+from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,59 @@ def query(make: Query) -> Query:
     return make
 
 
+@query
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back from them."""
+    path = folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "valid"
+    )
+
+
+# Twenty bits are five hexadecimal digits and four base32 digits.
+_SQL["op2_warc_segments"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 1 + 5 * CAST(i AS INTEGER), 5))::BIGINT) AS groups,
+             max(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((groups[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS valid
+FROM b
+"""
+
+RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+_SQL["op5_url_filters"] = f"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(str(tuple(r)) for r in RULES)}),
+u AS (SELECT page_id,
+             translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+best AS (SELECT u.page_id, u.host, u.path, arg_max(r.host || r.path, length(r.host) * 1000 + length(r.path)) AS rule,
+                arg_max(r.verdict, length(r.host) * 1000 + length(r.path)) AS verdict
+         FROM u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+         GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best
+"""
+
+
 @query
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
