@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import neighbours, pieces, simhash, urls, warc
+from spreadlab.llm import neighbours, pieces, quality, simhash, urls, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -21,6 +21,12 @@ def query(make: Query) -> Query:
     return make
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to archives and read back from them."""
