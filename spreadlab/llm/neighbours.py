@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spreadlab.llm.common import keep
 
 # Vectors of a block and queries of a group: what one task holds at a time.
-BLOCK = 4096
+BLOCK = 16384
 GROUP = 1024
 
 
@@ -22,45 +22,55 @@ class SortedProjections:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: np.ndarray):
         self.ids, self.vectors = ids, vectors
         values = vectors @ lines.T
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(values, self.order.T.astype(np.int64), axis=0).T.copy()
+        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(values, self.order.T, axis=0).T.copy()
 
-    def search(self, own: int, query: np.ndarray, at: np.ndarray, k: int, width: float, ratio: float, share: float) -> list[tuple[float, int]]:
-        """The best ``k`` (distance, id) among the vectors that collide with the query often enough.
+    def search(self, own: np.ndarray, queries: np.ndarray, lines: np.ndarray, k: int, first: float, ratio: float, share: float) -> Iterator[tuple[int, float, int]]:
+        """(query, distance, id): the best ``k`` of the vectors that collide with each query often enough.
 
-        ``width`` is the first window. Windows around the query's own projections grow by
+        ``first`` is the first radius. Windows around the query's own projections grow by
         ``ratio`` (virtual rehashing: a window of twice the width is the bucket of twice
-        the radius). A vector that lies in the windows of at least ``share`` of the
-        projections is verified by its exact distance. The search ends when ``k`` verified
-        vectors are within the current radius, or when the windows hold the whole block.
+        the radius) until they hold the whole block. A vector that lies in the windows of
+        at least ``share`` of the projections is verified by its exact distance. The
+        search ends when ``k`` verified vectors are within the current radius.
         """
         m, n = self.values.shape
-        counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
-        high = low.copy()
-        need, seen = int(np.ceil(share * m)), np.zeros(n, bool)
-        where, found = np.empty(0, np.int64), np.empty(0)
-        radius = width
-        while True:
-            for i in range(m):
-                left = np.searchsorted(self.values[i], at[i] - radius / 2, "left")
-                right = np.searchsorted(self.values[i], at[i] + radius / 2, "right")
-                counts[self.order[i, left : low[i]]] += 1
-                counts[self.order[i, high[i] : right]] += 1
-                low[i], high[i] = min(left, low[i]), max(right, high[i])
-            fresh = np.flatnonzero((counts >= need) & ~seen)
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != own]
-            gap = self.vectors[fresh] - query
-            where, found = np.append(where, fresh), np.append(found, np.sqrt((gap * gap).sum(axis=1)))
-            if (found <= radius / WIDTH).sum() >= k or (high - low).min() == n:
-                break
-            radius *= ratio
-        best = np.lexsort((self.ids[where], found))[:k]
-        return [(float(found[b]), int(self.ids[where[b]])) for b in best]
-
-
-# The window of radius one: its width in units of the distance at which vectors are near.
+        at = queries @ lines.T
+        reach = max(float(self.values.max() - self.values.min()), float(np.abs(at).max() + np.abs(self.values).max()))
+        radii = [first]
+        while WIDTH * radii[-1] / 2 < reach:
+            radii.append(radii[-1] * ratio)
+        half = WIDTH * np.array(radii) / 2
+        low, high = (
+            np.stack([np.searchsorted(v, (x[:, None] + sign * half).ravel(), side).reshape(len(own), -1) for v, x in zip(self.values, at.T, strict=True)], axis=1).tolist()
+            for sign, side in ((-1, "left"), (1, "right"))
+        )
+        start = np.stack([np.searchsorted(v, x) for v, x in zip(self.values, at.T, strict=True)], axis=1).tolist()
+        need, orders = int(np.ceil(share * m)), list(self.order)
+        for q in range(len(own)):
+            counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+            where, found = np.empty(0, np.int64), np.empty(0)
+            inner = [(s, s) for s in start[q]]
+            for r, radius in enumerate(radii):
+                outer = [(lo[r], hi[r]) for lo, hi in zip(low[q], high[q], strict=True)]
+                newly = [
+                    part for order, (a, b), (lo, hi) in zip(orders, inner, outer, strict=True) for part in (order[lo:a], order[b:hi]) if len(part)
+                ]
+                if newly:
+                    counts += np.bincount(np.concatenate(newly), minlength=n)
+                inner = outer
+                fresh = np.flatnonzero((counts >= need) & ~seen)
+                seen[fresh] = True
+                fresh = fresh[self.ids[fresh] != own[q]]
+                gap = self.vectors[fresh] - queries[q]
+                where, found = np.append(where, fresh), np.append(found, np.sqrt((gap * gap).sum(axis=1)))
+                if (found <= radius).sum() >= k:
+                    break
+            for b in np.lexsort((self.ids[where], found))[:k]:
+                yield int(own[q]), float(found[b]), int(self.ids[where[b]])
+
+
+# The width of the window of radius one.
 WIDTH = 2.0
 
 
@@ -127,8 +137,7 @@ def _search(some, mates, size, k, projections, share, ratio, first, seed) -> Ite
     lines = np.random.default_rng(seed).standard_normal((projections, size))
     base = np.stack(mates["v"].to_numpy())
     index = SortedProjections(mates["id"].to_numpy(np.int64), base, lines)
-    width = WIDTH * first * float(np.sqrt((base * base).sum(axis=1)).mean())
-    wanted = np.stack(some["v"].to_numpy())
-    for own, query, at in zip(some["id"], wanted, wanted @ lines.T, strict=True):
-        for score, vec_id in index.search(own, query, at, k, width, ratio, share):
-            yield own, score, vec_id
+    start = first * float(np.sqrt((base * base).sum(axis=1)).mean())
+    for i in range(0, len(some), 256):
+        part = some.iloc[i : i + 256]
+        yield from index.search(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()), lines, k, start, ratio, share)
