@@ -9,11 +9,11 @@ from spreadlab.llm.common import keep, text_of
 
 # The kinds in order, and their patterns. A match starts where its first
 # characters do, or at the end of the match before; possessive quantifiers keep long
-# texts linear and do not change what matches.
+# texts linear, and runs of under 13 digits are passed over. Neither changes the result.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"(?=[0-9](?:[\x20-]?[0-9]){12})[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
@@ -47,13 +47,14 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches, in code points from 0, the end exclusive.
 
     The text is what stands between the matches and the matches in turn, so positions
     are running sums of their lengths.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     step = lambda acc, i: F.struct(
         (acc["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("at"),
         F.array_append(acc["out"], acc["at"] + F.length(F.get(between, i))).alias("out"),
@@ -66,3 +67,133 @@ def located(text: Column, pattern: str) -> Column:
     )
     spans = F.transform(F.arrays_zip(starts.alias("s"), found.alias("v")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["v"])).alias("end"), x["v"].alias("value")))
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(NO_SPANS))
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """The spans of each kind that hold, leftmost first and not overlapping within the kind; failing matches are dropped."""
+
+    def of(kind: str) -> Column:
+        return F.filter(located(text, PATTERNS[kind]), lambda s: _holds(kind, s["value"]))
+
+    return {kind: of(kind) for kind in PATTERNS}
+
+
+def words_of(text: Column) -> Column:
+    """The distinct words of a text in lower case, without what looks like personal data."""
+    plain = text
+    for pattern in PATTERNS.values():
+        plain = F.regexp_replace(plain, pattern, " ")
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(WORD), 0))
+
+
+def _written(kinds: dict[str, Column]) -> Column:
+    """All spans as kind:start:end, by kind as listed, then start, joined by commas."""
+
+    def of(kind: str) -> Column:
+        return F.transform(kinds[kind], lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    return F.array_join(F.concat(*map(of, kinds)), ",")
+
+
+def _entities() -> Column:
+    """The distinct protected values of a row: emails in lower case, digits of cards and phones."""
+    norm = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), norm[kind](s["value"])))
+
+    return F.array_distinct(F.concat(*map(of, PATTERNS)))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, threshold: float) -> DataFrame:
+    """(hash, terms): the words of each text that disclose an entity it holds.
+
+    Over all documents, n(t) hold the word t, n(e) the entity e, n(t, e) both. The word
+    discloses the entity if PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) is at least
+    ``threshold`` times the information of the entity, log2(N / n(e)), and both occur
+    together in at least ``support`` different texts. Entities in fewer texts cannot
+    pass, so only the texts of the others are taken apart.
+    """
+    texts = found.where("text IS NOT NULL").groupBy("hash").agg(
+        F.any_value("text").alias("text"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("rows")
+    )
+    texts = keep(texts, "texts")
+    counts = texts.select("rows", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.sum("rows").alias("n_entity"), F.count(F.lit(1)).alias("n_texts")
+    )
+    known = keep(counts.where(F.col("n_texts") >= support).select("entity", "n_entity"), "entities")
+    held = texts.select("hash", "rows", F.explode("entities").alias("entity")).join(known, "entity")
+    holders = keep(held, "holders")
+    worded = keep(texts.join(holders.select("hash").distinct(), "hash", "left_semi").select("hash", words_of(F.col("text")).alias("words")), "worded")
+    both = holders.join(worded, "hash").select("hash", "rows", "entity", "n_entity", F.explode("words").alias("term"))
+    pairs = both.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("n_texts"), F.max("n_entity").alias("n_entity"))
+    pairs = keep(pairs.where(F.col("n_texts") >= support), "pairs")
+    terms = docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = F.lit(float(docs.count()))
+    pmi = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    telling = pairs.join(terms, "term").where(pmi >= threshold * F.log2(total / F.col("n_entity"))).select("entity", "term")
+    telling = keep(telling, "telling")
+    return both.join(telling, ["entity", "term"]).groupBy("hash").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, email, ip, card, phone, term): arrays of the spans in every whole text.
+
+    Spans are struct<start, end, value> in code points, the end exclusive. Terms are the
+    words that disclose an entity of the same document, see ``disclosing_terms``; they
+    are never inside other spans. A null text counts as empty and has no spans. ``text``
+    is null in rows without personal data. Repeated rows and ids stay and count as often
+    as they occur, but a text supports a term once. Other columns are not read.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    spans = rows.select("doc_id", "text", *[column.alias(kind) for kind, column in base_spans(F.col("text")).items()])
+    some = F.greatest(*[F.size(kind) for kind in PATTERNS]) > 0
+    empty = F.array().cast("array<string>")
+    found = keep(
+        spans.select(
+            "doc_id", *PATTERNS, F.when(some, F.col("text")).alias("text"), F.when(some, F.sha2("text", 256)).alias("hash"),
+            F.when(some, _entities()).otherwise(empty).alias("entities"),
+        ),
+        "found",
+    )
+    terms = keep(disclosing_terms(rows, found, support, threshold), "terms")
+    told = found.join(terms, "hash", "left")
+    any_of = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    apart = lambda s: ~F.exists(F.concat(*PATTERNS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    spans_of_terms = F.when(F.size("terms") > 0, F.filter(located(F.col("text"), any_of), apart)).otherwise(F.array().cast(NO_SPANS))
+    return told.select("doc_id", "text", *PATTERNS, spans_of_terms.alias(TERM))
+
+
+def report(found: DataFrame) -> DataFrame:
+    """doc_id, the number of base spans of each kind, the digest of the base spans, and all spans as text."""
+    base = {kind: F.col(kind) for kind in PATTERNS}
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in PATTERNS], F.sha2(_written(base), 256).alias("base_sha256"),
+        _written({kind: F.col(kind) for kind in KINDS}).alias("spans"),
+    )
+
+
+def sanitised(found: DataFrame) -> DataFrame:
+    """(doc_id, sanitised): each text of ``find`` with personal data as its kind; null where nothing was found.
+
+    A disclosing term is generalised to what kind of word it is where that tells
+    nothing (a number, a capitalised word) and removed otherwise. Of overlapping spans
+    the first in text order counts, the longer of two that start together.
+    """
+
+    def label(kind: str, value: Column) -> Column:
+        if kind != TERM:
+            return F.lit(f"[{kind.upper()}]")
+        return F.when(value.rlike("^[0-9]+$"), "[NUMBER]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("")
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), label(kind, s["value"]).alias("label")))
+
+    whole = F.col("text")
+    step = lambda acc, s: F.when(
+        s["start"] >= acc["at"],
+        F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), s["label"]).alias("out")),
+    ).otherwise(acc)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(F.array_sort(F.concat(*map(of, KINDS))), start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return found.select("doc_id", F.when(whole.isNotNull(), done).alias("sanitised"))

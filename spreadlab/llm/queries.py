@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import neighbours, pieces, quality, simhash, urls, warc
+from spreadlab.llm import neighbours, personal, pieces, quality, simhash, urls, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -51,6 +51,12 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it in every document."""
+    return personal.report(personal.find(table(spark, sf_dir, "documents")))
+
+
 RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
