@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import neighbours, personal, pieces, quality, simhash, urls, warc
+from spreadlab.llm import chat, neighbours, personal, pieces, quality, simhash, urls, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -93,6 +93,32 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    turns = F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))
+    hard = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", said.alias("text"))
+    return chat.report(chat.read_back(chat.format_conversations(rows.unionByName(hard))))
+
+
+# The length is that of the template: 15 code points around a user's text, 11 around the
+# assistant's, 17 around the system's, 3 at the start; 5 and six escapes in conversation -1.
+_SQL["op7_chat_formatting"] = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(length(text) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 WHEN 'system' THEN 17 END) AS chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(chars + CASE WHEN conv_id = -1 THEN 5 + 6 ELSE 3 END AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document and the digest of the text they decode to."""
