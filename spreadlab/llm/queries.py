@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, neighbours, personal, pieces, quality, simhash, urls, warc
+from spreadlab.llm import chat, decontaminate, neighbours, personal, pieces, quality, simhash, urls, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -119,6 +119,12 @@ FROM g
 """
 
 
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document and the digest of the text they decode to."""
