@@ -149,3 +149,9 @@ def similarity(a: Column, b: Column) -> Column:
     repeats = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
     common = F.when(repeats, F.aggregate(both, F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h)))).otherwise(F.size(both))
     return common / (F.size(a) + F.size(b) - common)
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose document holds no benchmark item."""
+    held = keep(find(docs, benchmark, threshold).select(F.col("doc_id").alias("held_id")).distinct(), "held")
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")

@@ -86,7 +86,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, features: int, label:
 
     taught = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     texts = docs.select("doc_id", text_of("text").alias("text")).where(~held_out(F.col("doc_id")))
-    return texts.join(taught, "doc_id").select("doc_id", "label", of("text").alias("features"))
+    # Labels grow with the documents, so they are not broadcast whatever their size.
+    return texts.join(taught.hint("merge"), "doc_id").select("doc_id", "label", of("text").alias("features"))
 
 
 def log_count_ratios(taught: DataFrame, features: int, smoothing: float) -> np.ndarray:
@@ -200,3 +201,9 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = fit(docs, labels, **options)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(model, docs.sparkSession)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text the model does not reject."""
+    model = fit(docs, labels, **options)
+    return docs.where(score(model, docs.sparkSession)("text") >= 0.5)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, decontaminate, neighbours, personal, pieces, quality, simhash, urls, warc
+from spreadlab.llm import chat, decontaminate, lines, neighbours, personal, pieces, quality, simhash, urls, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -57,6 +57,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(personal.find(table(spark, sf_dir, "documents")))
 
 
+@query
+def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with its class, its links and whether it stays."""
+    return lines.line_duplicates(table(spark, sf_dir, "documents"))
+
+
 RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
