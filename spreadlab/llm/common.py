@@ -15,6 +15,17 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+# Rows that Spark hands to a Python worker at a time; texts are long, so the default is too many.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep what a Python worker holds at a time small, in sessions that allow more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; a lost executor then costs a re-read."""
     path = folder(df.sparkSession, name)

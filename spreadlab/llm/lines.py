@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, small_batches, text_of
 from spreadlab.operators.components import connected
 
 # Edits up to which two lines are linked, and the characters a line needs for that;
@@ -215,6 +215,7 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     No row is dropped; a text that has all its lines elsewhere becomes empty. A null text
     stays null. All other columns stay as they are.
     """
+    small_batches(docs.sparkSession)
     gone = line_duplicates(docs, doc_id, text, **options).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = keep(gone.withColumnRenamed("doc_id", "gone_id"), "gone")
 
@@ -224,7 +225,7 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             yield pd.Series([t if t is None or d is None else _rest(t, set(d)) for t, d in zip(batch, drops, strict=True)])
 
     joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left")
-    return joined.select(*[(rest(docs[text], "gone").alias(text) if c == text else docs[c]) for c in docs.columns])
+    return joined.select(*[(rest(docs[text], gone["gone"]).alias(text) if c == text else docs[c]) for c in docs.columns])
 
 
 def _rest(text: str, gone: set[int]) -> str:

@@ -10,6 +10,7 @@ gives every chunk the scores it starts from, and each is backtraced by itself.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -46,11 +47,18 @@ class Model:
     dummy_prefix: bool
     cuts: bool = field(init=False)
     longest: int = field(init=False)
+    # The lengths of the pieces of two or more characters, by the last two.
+    lengths: dict[str, tuple[int, ...]] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores), default=1)
         # Then no piece spans a space that follows something else, or a line end.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.scores)
+        ends: dict[str, set[int]] = {}
+        for piece in self.scores:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: tuple(sorted(some)) for end, some in ends.items()}
         self.worst = min(self.scores.values(), default=0) - UNKNOWN_PENALTY
 
 
@@ -97,12 +105,15 @@ def candidates(text: str, end: int, model: Model, start: int = 0) -> Iterator[tu
 
 def segment(text: str, model: Model) -> list[str]:
     """The best segmentation; of equal scores the one whose last piece is longest, at every position."""
-    longest, worst, get = model.longest, model.worst, model.scores.get
+    worst, get, lengths = model.worst, model.scores.get, model.lengths.get
     best, back = [0], [0]
     for end in range(1, len(text) + 1):
         source = end - 1
         top = best[source] + get(text[source:end], worst)
-        for at in range(end - 2, max(0, end - longest) - 1, -1):
+        for length in lengths(text[end - 2 : end] if end > 1 else "", ()):
+            at = end - length
+            if at < 0:
+                break
             score = get(text[at:end])
             if score is not None and best[at] + score >= top:
                 top, source = best[at] + score, at
@@ -128,7 +139,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            found = np.array([i for p in segment(word, self.model) for i in ids_of(p, self.model)], np.int32).tobytes()
+            known, parts = self.model.ids, segment(word, self.model)
+            found = array("i", [i for p in parts for i in ((known[p],) if p in known else ids_of(p, self.model))]).tobytes()
         if len(word) <= 64:
             if len(self) >= CACHED:
                 self.older = dict(self)
@@ -283,6 +295,7 @@ def _giants(docs: DataFrame, model, chunk: int) -> DataFrame:
 
 
 def _shared(spark: SparkSession, model: Model | str):
+    small_batches(spark)
     model = load(model) if isinstance(model, str) else model
     if len(model.pieces) > MOST_PIECES:
         raise ValueError(f"a model of {len(model.pieces)} pieces is too large to broadcast")
@@ -298,19 +311,18 @@ def encode(docs: DataFrame, model: Model | str = MODEL, chunk: int = CHUNK, doc_
     read. ``model`` is a file or a loaded model of at most ``MOST_PIECES`` pieces.
     """
     shared = _shared(docs.sparkSession, model)
-    raw = text_of(text)
-    prefix = F.lit(SPACE if shared.value.dummy_prefix else "")
-    written = F.when(raw == "", "").otherwise(F.concat(prefix, F.translate(raw, " ", SPACE)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), written.alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            yield batch.map(encoder.encode)
+            yield batch.map(lambda t: encoder.encode(normalised(t, encoder.model)))
 
     short = rows.where(F.length("text") <= chunk).select("doc_id", ids("text").alias("ids"))
-    return short.unionByName(_giants(rows.where(F.length("text") > chunk), shared, chunk))
+    prefix = F.lit(SPACE if shared.value.dummy_prefix else "")
+    giants = rows.where(F.length("text") > chunk).withColumn("text", F.concat(prefix, F.replace("text", F.lit(" "), F.lit(SPACE))))
+    return short.unionByName(_giants(giants, shared, chunk))
 
 
 def decode(coded: DataFrame, model: Model | str = MODEL, ids: str = "ids") -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, small_batches, text_of
 
 # Words and word pairs are hashed to this many features, which bounds the model: eight bytes each.
 FEATURES = 1 << 18
@@ -77,6 +77,7 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_features(docs: DataFrame, labels: DataFrame, features: int, label: str = "quality") -> DataFrame:
     """(doc_id, label, features array<int>) of the rows that may be learned from, all whole texts."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,6 +179,7 @@ def _margin(weights: np.ndarray, bias: float, ratios: np.ndarray, row: np.ndarra
 
 def score(model: Model, spark: SparkSession):
     """A function of a text column: the score, 0 to 1, of every whole text; null counts as empty."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, small_batches, text_of
 from spreadlab.operators.components import connected
 
 BITS = 64
@@ -39,6 +39,7 @@ def fingerprint(text: bytes, size: int) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint long) for every row; a null text counts as empty, an empty one has fingerprint 0."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

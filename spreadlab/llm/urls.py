@@ -98,7 +98,8 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     )
     pairs = urls.select("host", "path").distinct()
-    tried = pairs.select("host", "path", F.explode(suffixes).alias("suffix")).select("*", F.explode(stems).alias("stem"))
+    known = pairs.select("host", "path", F.explode(suffixes).alias("suffix")).join(keyed.select("suffix").distinct(), "suffix", "left_semi")
+    tried = known.select("host", "path", "suffix", F.explode(stems).alias("stem"))
     fits = tried.join(keyed, ["suffix", "stem"]).where(F.startswith("path", "rule_path"))
     rank = F.struct(F.size(F.split("suffix", r"\.")), F.length("rule_path"), "verdict", F.concat("suffix", "rule_path").alias("rule"))
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")

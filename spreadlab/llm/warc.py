@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, small_batches, text_of
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -97,6 +97,7 @@ def write(
     smallest. Responses are in chunked framing and split into records of at most
     ``segment`` bytes.
     """
+    small_batches(pages.sparkSession)
     keyed = pages.select(
         F.col(page_id).cast("string").alias("own"), F.col(page_id).alias("rank"), F.col(url).alias("url"), text_of(html).cast("binary").alias("payload")
     ).withColumn("sha", F.sha1("payload"))
@@ -225,6 +226,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             rows = [payload_of(b, s, k == "revisit") for b, s, k in zip(blocks, stated, kinds, strict=True)]
             yield pd.DataFrame(rows, columns=["payload", "length", "digest", "valid"], dtype=object)
 
+    small_batches(spark)
     whole = reassemble(read_records(spark, path))
     return whole.withColumn("found", decode("block", "digest", "type")).select(
         "page_id", "url", F.col("type").alias("record_type"), "refers_to", "found.payload", F.col("found.length").alias("payload_bytes"),
