@@ -94,8 +94,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, doc_id:
     shingle over the sum of the larger. Windows without enough shingles of any item have
     no such similarity and are not fingerprinted. Words are runs of letters and digits in
     lower case. Documents shorter than an item, null and empty texts hold none of it.
-    Repeated rows of a doc_id are one document; a null doc_id is one too. Other columns
-    are not read.
+    Repeated rows of a doc_id are one document, those of an item_id one item; a null id is
+    one too. Other columns are not read.
     """
     items = keep(benchmark_items(benchmark), "benchmark")
     rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
@@ -137,8 +137,9 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.forall(F.slice(blocks, F.lit(1), F.col("j")), lambda i: F.bit_count(_block(differ, i)) > FLIPS)
     near = probes.join(keys, ["size", "j", "value"]).where((F.bit_count(differ) <= RADIUS) & first)
-    texts = _small(printed.select("item_id", "item_hashes"))
-    pairs = near.select("doc_id", "start", "size", "hashes", "item_id").join(texts, "item_id")
+    texts = _small(printed.select(F.col("item_id").alias("own_id"), F.col("size").alias("own_size"), F.col("item_print").alias("own_print"), "item_hashes"))
+    same = F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("size") == F.col("own_size")) & (F.col("item_print") == F.col("own_print"))
+    pairs = near.select("doc_id", "start", "size", "hashes", "item_id", "item_print").join(texts, same)
     return pairs.select("doc_id", "start", "size", "item_id", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"))
 
 

@@ -38,7 +38,7 @@ def fingerprint(text: bytes, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint long) for every row; a null text counts as empty, an empty one has fingerprint 0."""
+    """(doc_id, text_hash, fingerprint long) for every row; a null text counts as empty, an empty one has fingerprint 0."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -46,7 +46,8 @@ def fingerprints(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: s
         for batch in texts:
             yield batch.map(lambda t: fingerprint(t, size)).astype("int64")
 
-    return docs.select(F.col(doc_id).alias("doc_id"), of(text_of(text).cast("binary")).alias("fingerprint"))
+    whole = text_of(text)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), of(whole.cast("binary")).alias("fingerprint"))
 
 
 def _masks(blocks: int, shared: int) -> list[int]:
@@ -112,13 +113,14 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, crowd: int = 2000
 def near_duplicates(
     docs: DataFrame, size: int = 4, radius: int = 4, blocks: int = 6, crowd: int = 2000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, fingerprint long, component_id): one row per row of ``docs``.
+    """(doc_id, text_hash, fingerprint long, component, component_id): one row per row of ``docs``.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
     component_id is the smallest doc_id that links reach. Equal fingerprints are
     always linked, so repeated rows and all empty or null texts (fingerprint 0) fall
-    together. A null doc_id keeps its row; it is component_id only where its component
-    has no other. Other columns are not read.
+    together. ``component`` is a fingerprint that stands for the component. A null doc_id
+    keeps its row; it is component_id only where its component has no other. Other
+    columns are not read.
     """
     prints = keep(fingerprints(docs, size, doc_id, text), "prints")
     distinct = keep(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least")), "distinct")
@@ -126,8 +128,8 @@ def near_duplicates(
     rooted = distinct.join(found, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("root"))
     rooted = keep(rooted, "rooted")
     least = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    labels = keep(rooted.join(least, "root").select(F.col("f").alias("fingerprint"), "component_id"), "labels")
-    return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    labels = keep(rooted.join(least, "root").select(F.col("f").alias("fingerprint"), F.col("root").alias("component"), "component_id"), "labels")
+    return prints.join(labels, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def hexadecimal(value: Column) -> Column:
@@ -135,15 +137,16 @@ def hexadecimal(value: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that represent their component: those whose doc_id is the component's smallest.
+    """``docs`` with one row of each component: one of its smallest doc_id.
 
-    Rows with a null doc_id stay only where their component has no other. Rows that
-    repeat both doc_id and text are one document and stay once; different texts of one
-    doc_id stay or go together.
+    Of different texts of that doc_id, and of rows without any in components that have
+    no other, the one with the smallest hash stays; rows that repeat it stay once.
     """
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    groups = near_duplicates(docs, **options)
-    kept = keep(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
+    first = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("component").agg(F.min("text_hash").alias("kept_hash"), F.min("component_id").alias("kept_id"))
+    kept = keep(kept.select("kept_id", "kept_hash").distinct(), "kept")
     mark = "_text_hash"
-    return stay.withColumn(mark, F.sha1(text_of(text))).dropDuplicates([doc_id, mark]).drop(mark)
+    marked = docs.withColumn(mark, F.xxhash64(text_of(text)))
+    same = marked[doc_id].eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, mark]).drop(mark)
