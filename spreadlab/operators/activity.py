@@ -79,22 +79,18 @@ def cascade_roots(posts: DataFrame) -> DataFrame:
     )
 
 
-def cascade_count_over_time(posts: DataFrame, daily_up_to: int = 20) -> DataFrame:
-    """Started cascades per week ending on Sunday, or per day when there are few weeks."""
-    daily = cascade_roots(posts).groupBy(F.to_date("created_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("started")
-    ).where(F.col("day").isNotNull())
+def cascade_count_over_time(posts: DataFrame, unit: str = "day") -> DataFrame:
+    """Started cascades per day, or per week named by the Sunday it ends on; empty periods between count 0."""
+    if unit not in ("day", "week"):
+        raise ValueError(f"unknown unit {unit}")
+    day = F.to_date("created_at")
+    period = day if unit == "day" else week_ending_sunday(day)
+    counted = cascade_roots(posts).groupBy(period.alias("day")).agg(F.count(F.lit(1)).alias("started")).where(F.col("day").isNotNull())
     # The calendar is bounded by the dataset's span in days, so one small row holds it.
-    span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where(F.col("lo").isNotNull())
-    last_week = week_ending_sunday(F.col("hi"))
-    first_week = week_ending_sunday(F.col("lo"))
-    span = span.withColumn("weekly", F.datediff(last_week, first_week) / 7 + 1 > daily_up_to)
-    weeks = F.sequence(first_week, last_week, F.expr("INTERVAL 7 DAYS"))
-    days = F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))
-    calendar = span.select("weekly", F.explode(F.when(F.col("weekly"), weeks).otherwise(days)).alias("day"))
-    by_week = daily.groupBy(week_ending_sunday(F.col("day")).alias("day")).agg(F.sum("started").alias("started"))
-    counted = daily.withColumn("weekly", F.lit(False)).unionByName(by_week.withColumn("weekly", F.lit(True)))
-    return calendar.join(counted, ["weekly", "day"], "left").select(
+    span = counted.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where(F.col("lo").isNotNull())
+    step = F.expr("INTERVAL 1 DAY" if unit == "day" else "INTERVAL 7 DAYS")
+    calendar = span.select(F.explode(F.sequence("lo", "hi", step)).alias("day"))
+    return calendar.join(counted, "day", "left").select(
         F.col("day").cast("timestamp").alias("time"), F.coalesce("started", F.lit(0)).alias("cascades")
     )
 

@@ -10,6 +10,7 @@ from spreadlab.functions.columns import handle_of
 # The network whose suspects count, and the entry for "has no account".
 NETWORK = "Twitter"
 NO_ACCOUNT = "No en té"
+UNKNOWN_PARTY = "Desconocido"
 
 
 def suspect_handles(suspects: DataFrame) -> DataFrame:
@@ -18,9 +19,9 @@ def suspect_handles(suspects: DataFrame) -> DataFrame:
 
 
 def party_handles(parties: DataFrame) -> DataFrame:
-    """Handle and trimmed party of the listed politicians, one row per handle."""
+    """Handle and trimmed party of the listed politicians, one row per handle; a missing party is named as unknown."""
     listed = parties.where(F.col("link") != NO_ACCOUNT)
-    return listed.groupBy(handle_of(F.col("link")).alias("handle")).agg(F.min(F.trim("party")).alias("party"))
+    return listed.groupBy(handle_of(F.col("link")).alias("handle")).agg(F.coalesce(F.min(F.trim("party")), F.lit(UNKNOWN_PARTY)).alias("party"))
 
 
 def annotate_actors(posts: DataFrame, suspects: DataFrame, parties: DataFrame) -> DataFrame:

@@ -95,11 +95,13 @@ def members(posts: DataFrame) -> DataFrame:
 
     Pointers go from a post to the posts it references and end at originals.
     """
-    several = not posts.where(F.size(F.array_distinct("referenced_tweets.id")) > 1).isEmpty()
     known = posts.select(F.col("id").alias("ref_id"), is_original().alias("done"))
     known = known.groupBy("ref_id").agg(F.bool_or("done").alias("done"))
-    pointers = _steps(posts).join(known, "ref_id").select("post_id", F.col("ref_id").alias("up"), "done")
-    arrived = _arrivals(settle(pointers, "pointers"), [], several)
+    pointers = _steps(posts).join(known, "ref_id").select("post_id", F.col("ref_id").alias("up"), "done").distinct()
+    pointers = settle(pointers, "pointers")
+    # Posts collected several times may carry other references each time.
+    several = not pointers.groupBy("post_id").count().where(F.col("count") > 1).isEmpty()
+    arrived = _arrivals(pointers, [], several)
     return arrived.select(F.col("up").alias("cascade_id"), "post_id")
 
 
@@ -120,7 +122,7 @@ def members_from(posts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cascade_references(posts: DataFrame, belongs: DataFrame, side_references: bool = True) -> DataFrame:
-    """References of all members to other authors, per cascade.
+    """References of all members to other authors, per cascade, each once however often a post was collected.
 
     A member's references to posts outside the cascade are kept unless
     ``side_references`` is off. Rows without the time of the referenced post are dropped.
@@ -128,7 +130,7 @@ def cascade_references(posts: DataFrame, belongs: DataFrame, side_references: bo
     refs = references(posts).where(
         ~F.col("author_id").eqNullSafe(F.col("ref_author_id")) & F.col("ref_created_at").isNotNull()
     )
-    rows = belongs.join(refs, "post_id").select(
+    rows = belongs.join(refs.dropDuplicates(["post_id", "ref_id", "ref_type"]), "post_id").select(
         "cascade_id",
         F.col("ref_id").alias("source"),
         F.col("post_id").alias("target"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,14 +48,17 @@ class PropagationModel:
 
     def _filled(self, rows: DataFrame) -> DataFrame:
         """Numbered, imputed feature columns; dots and spaces in names never reach the model."""
-        out = rows
-        for i, name in enumerate(self.numbers):
-            value = F.col(f"`{name}`") if name in rows.columns else F.lit(None)
-            out = out.withColumn(f"_n{i}", F.coalesce(value.cast("double"), F.lit(self.fills[name])))
-        for i, name in enumerate(self.texts):
-            value = F.col(f"`{name}`") if name in rows.columns else F.lit(None)
-            out = out.withColumn(f"_t{i}", F.coalesce(value.cast("string"), F.lit(self.fills[name])))
-        return out
+        have = set(rows.columns)
+
+        def filled(name: str, kind: str) -> Column:
+            value = F.col(f"`{name}`") if name in have else F.lit(None)
+            return F.coalesce(value.cast(kind), F.lit(self.fills[name]))
+
+        return rows.select(
+            "*",
+            *[filled(name, "double").alias(f"_n{i}") for i, name in enumerate(self.numbers)],
+            *[filled(name, "string").alias(f"_t{i}") for i, name in enumerate(self.texts)],
+        )
 
     def fit(self, rows: DataFrame, features: Sequence[str] | None = None) -> PropagationModel:
         names = [c for c in (features or rows.columns) if c != self.label]
@@ -123,7 +127,20 @@ class PropagationModel:
         return sorted(pairs, key=lambda p: (-p[1], p[0]))[:top]
 
     def save(self, path: str) -> None:
-        self._fitted().write().overwrite().save(path)
+        """Write the fitted stages, and the columns and fills beside them."""
+        self._fitted().write().overwrite().save(f"{path}/stages")
+        facts = {k: getattr(self, k) for k in ("rounds", "depth", "step", "label", "seed", "fills", "texts", "numbers")}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PropagationModel:
+        """A saved model, ready to predict."""
+        facts = json.loads(spark.read.text(f"{path}/facts", wholetext=True).first()["value"])
+        model = cls(*(facts.pop(k) for k in ("rounds", "depth", "step", "label", "seed")))
+        model.fills, model.texts, model.numbers = facts["fills"], facts["texts"], facts["numbers"]
+        model.model = PipelineModel.load(f"{path}/stages")
+        return model
 
 
 def hash_split(rows: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:

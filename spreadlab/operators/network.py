@@ -147,16 +147,16 @@ def components(net: Network) -> DataFrame:
 
 
 def ego_for_display(net: Network, author_id: str, depth: int = 2, max_edges: int | None = None) -> Network:
-    """Ego network cut to a number of edges, with every part linked to the author.
+    """Ego network with every part linked to the author, of the strongest edges if their number is limited.
 
-    When the cap bites, the strongest backbone edges are kept; parts cut off
-    from the author get a link to their first author by username.
+    With ``max_edges`` the edges are ranked as in the backbone and so many are kept;
+    parts cut off from the author get a link to their first author by username.
     """
     around = ego(net, author_id, depth)
     around = Network(settle(around.vertices, "ego"), settle(around.edges, "ego"))
-    if max_edges is not None and around.edges.count() > max_edges:
-        cut = backbone(around, threshold=0, max_edges=max_edges)
-        edges = settle(cut.edges.drop("alpha"), "ego")
+    if max_edges is not None:
+        cut = backbone_edges(around.edges, threshold=-1, max_edges=max_edges)
+        edges = settle(cut.drop("alpha"), "ego")
         me = around.vertices.where(F.col("author_id") == author_id)
         ends = undirected(edges).select("author_id").unionByName(me.select("author_id")).distinct()
         around = Network(settle(around.vertices.join(ends, "author_id", "left_semi"), "ego"), edges)
@@ -177,43 +177,35 @@ def network_size(net: Network) -> DataFrame:
     return nodes.withColumn("num_edges", net.edges.agg(F.count(F.lit(1))).scalar())
 
 
-def mean_closeness(net: Network, max_nodes: int = 80_000, pairs_at_once: int = 200_000_000) -> DataFrame:
-    """Mean over authors of (reachable - 1) / sum of distances, direction ignored.
+def mean_closeness(net: Network, precision: int = 12) -> DataFrame:
+    """Mean over linked authors of (reachable - 1) / sum of distances, direction ignored.
 
-    Above ``max_nodes`` authors a sample of that size, chosen by hash, is taken
-    and the network on it is measured, as this statistic is defined. Sources are
-    walked in batches so that only a bounded number of (source, author) pairs is
-    held at a time; each batch keeps two numbers per source.
+    Each author holds a sketch of the authors within some distance, at first only
+    itself; a round unites it with those of its neighbours, and what the estimate
+    gains is at that distance. A round costs one row per link, and the rounds end
+    when no estimate grows, so all authors count and no pairs of them are made.
+    Sketches of up to about a hundred authors are exact; larger ones have a relative
+    standard error of about 1.04 / sqrt(2 ** precision), 1.6 % at 12, which the
+    mean over many authors reduces.
     """
-    size = net.vertices.count()
-    if size > max_nodes:
-        chosen = net.vertices.select("author_id").orderBy(F.xxhash64("author_id"), "author_id").limit(max_nodes)
-        net = induced(net, settle(chosen, "sample"))
-        size = max_nodes
     links = settle(undirected(net.edges).distinct(), "links")
-    sources = settle(links.select("author_id").distinct(), "sources")
-    batches = max(1, -(-size * size // pairs_at_once))
-    measured = None
-    for batch in range(batches):
-        mine = sources.where(F.pmod(F.xxhash64("author_id"), F.lit(batches)) == batch)
-        seen = frontier = settle(mine.select(F.col("author_id").alias("root"), "author_id"), "walk")
-        steps, distance = None, 0
-        while True:
-            distance += 1
-            near = frontier.join(links, "author_id").select("root", F.col("other").alias("author_id")).distinct()
-            frontier = settle(near.join(seen, ["root", "author_id"], "left_anti"), "walk")
-            if frontier.isEmpty():
-                break
-            seen = seen.unionByName(frontier)
-            level = frontier.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.col("n") * distance)
-            steps = level if steps is None else steps.unionByName(level)
-        if steps is None:
-            continue
-        done = settle(steps.groupBy("root").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "walk")
-        measured = done if measured is None else measured.unionByName(done)
-    if measured is None:
-        return links.agg(F.lit(None).cast("double").alias("closeness"))
-    return measured.agg(F.avg(F.col("n") / F.col("total")).alias("closeness"))
+    nothing = F.lit(0).cast("bigint")
+    start = links.groupBy("author_id").agg(F.hll_sketch_agg("author_id", precision).alias("sketch"))
+    now = settle(start.select("author_id", "sketch", F.lit(1).cast("bigint").alias("n"), nothing.alias("total")), "sketches")
+    distance = 0
+    while True:
+        distance += 1
+        heard = links.join(now.select(F.col("author_id").alias("other"), "sketch"), "other").groupBy("author_id").agg(
+            F.hll_union_agg("sketch").alias("heard")
+        )
+        wider = now.join(heard, "author_id").withColumn("sketch", F.hll_union("sketch", "heard"))
+        reached = F.greatest(F.hll_sketch_estimate("sketch"), "n")
+        gained = reached - F.col("n")
+        now = settle(
+            wider.select("author_id", "sketch", reached.alias("n"), (F.col("total") + gained * distance).alias("total"), gained.alias("gained")), "sketches"
+        )
+        if now.where("gained > 0").isEmpty():
+            return now.agg(F.avg((F.col("n") - 1) / F.col("total")).alias("closeness"))
 
 
 def edge_positions(edges: DataFrame, layout: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,7 +12,6 @@ from spreadlab.operators.network import undirected
 from spreadlab.operators.posts import flat
 from spreadlab.session import settle
 
-log = logging.getLogger(__name__)
 
 # Post features in order; the first four come from the post's counters.
 POST_COUNTERS = ("num_replies", "num_retweets", "num_quotes", "num_likes")
@@ -53,8 +51,8 @@ ROLES = {"source": "_prev", "target": "_curr", "original_author": "_original"}
 PROFILE_KEYS = ("user_id", "twitter_id", "anonymizedName", "user_summary")
 
 
-def eligible_cascades(posts: DataFrame, profiles: DataFrame, text_scores: DataFrame) -> DataFrame:
-    """Referenced originals by profiled authors that have text scores; all of them when none has."""
+def eligible_cascades(posts: DataFrame, profiles: DataFrame, text_scores: DataFrame, require_scores: bool = True) -> DataFrame:
+    """Referenced originals by profiled authors, those with text scores unless ``require_scores`` is off."""
     roots = cascade_roots(posts)
     people = profiles.select(F.col("user_id").alias("author_id"))
     cascades = settle(
@@ -63,11 +61,9 @@ def eligible_cascades(posts: DataFrame, profiles: DataFrame, text_scores: DataFr
     )
     if cascades.isEmpty():
         raise LookupError("no cascades by profiled authors found")
-    scored = cascades.join(text_scores.select(F.col("id_str").alias("cascade_id")), "cascade_id", "left_semi")
-    if scored.isEmpty():
-        log.warning("no cascade has text scores, keeping all")
+    if not require_scores:
         return cascades
-    return scored
+    return cascades.join(text_scores.select(F.col("id_str").alias("cascade_id")), "cascade_id", "left_semi")
 
 
 def positive_pairs(cascades: DataFrame, nodes: DataFrame, tree_edges: DataFrame, num_samples: int | None = None) -> DataFrame:
@@ -98,7 +94,8 @@ def negative_pairs(positives: DataFrame, network_edges: DataFrame, num_samples:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("cascade_id", "original_author")).alias("first")
     )
     sources = sources.where(F.col("n") > 1).select("source", "first.cascade_id", "first.original_author")
-    near = undirected(network_edges).select(F.col("author_id").alias("source"), F.col("other").alias("target")).distinct()
+    near = undirected(network_edges).select(F.col("author_id").alias("source"), F.col("other").alias("target"))
+    near = near.join(sources.select("source"), "source", "left_semi").distinct()
     missed = near.join(positives.select("source", "target").distinct(), ["source", "target"], "left_anti")
     pairs = missed.join(sources, "source").select("source", "target", "cascade_id", "original_author")
     if num_samples is not None:

@@ -86,8 +86,8 @@ def running(
         *[F.max(n).over(before).alias(f"_c_{n}") for n in maxes],
         *[F.lag(n).over(earlier).alias(f"_c_{n}") for n in previous],
     ).where(F.col("_rows").isNotNull()).drop("_rows")
-    # At most one continued group per slice: the size of this side is the slice count.
-    joined = local.join(F.broadcast(carry), [_SLICE, *keys], "left")
+    # At most one continued group per slice: this side has as many rows as there are slices.
+    joined = local.join(carry, [_SLICE, *keys], "left")
 
     def merged(name: str) -> Column:
         here, carried = F.col(name), F.col(f"_c_{name}")

@@ -38,17 +38,6 @@ PANELS = {
     "interacciones": {0: 1, 1: 1, 3: 1, 2: 2, 4: 2, 5: 2, 6: 2},
     "comportamiento": {0: 1, 1: 1, 2: 2, 3: 2},
 }
-# Percentages per reference group (spreaders, checkers, control).
-GENDER_SHARES = {
-    "ca": {"Female": (32.14, 17.98, 30.72), "Male": (67.86, 47.19, 66.09), "Genderless Organizations": (0, 34.83, 3.19)},
-    "es": {"Female": (19.03, 17.98, 30.72), "Male": (67.21, 47.19, 66.09), "Genderless Organizations": (13.77, 34.83, 3.19)},
-    "en": {"Female": (34.57, 27.12, 36.60), "Male": (59.48, 37.29, 61.08), "Genderless Organizations": (5.95, 35.59, 2.32)},
-}
-AGE_SHARES = {
-    "ca": {"<19": (14.29, 17.24, 36.83), "19-29": (14.29, 18.97, 24.85), "30-39": (21.43, 12.07, 12.28), ">39": (50.00, 51.72, 26.05)},
-    "es": {"<19": (13.62, 17.24, 36.83), "19-29": (14.55, 18.97, 24.85), "30-39": (21.13, 12.07, 12.28), ">39": (50.70, 51.72, 26.05)},
-    "en": {"<19": (5.53, 3.95, 33.51), "19-29": (9.88, 21.05, 33.77), "30-39": (13.83, 26.32, 12.66), ">39": (70.75, 48.68, 20.05)},
-}
 
 
 def profile_cards(profiles: DataFrame) -> DataFrame:
@@ -83,7 +72,9 @@ def profile_comparison(profiles: DataFrame, catalogue: DataFrame, medians: DataF
     )
     present = [c for c in profiles.columns if c not in ("user_id", "twitter_id")]
     numeric = [c for c in present if dict(profiles.dtypes)[c] in ("double", "float", "int", "bigint", "boolean")]
-    values = feature_values(profiles, "twitter_id", numeric)
+    # The features of a category are a small fixed part of a catalogue of columns.
+    wanted = {r["feature_name"] for r in listed.select("feature_name").distinct().collect()}
+    values = feature_values(profiles, "twitter_id", [c for c in numeric if c in wanted])
     panel = F.lit(1)
     for rank, number in PANELS.get(category, {}).items():
         panel = F.when(F.col("rank") == rank, number).otherwise(panel)
@@ -107,13 +98,6 @@ def group_share(profiles: DataFrame, by: str, group: str | None = None) -> DataF
     return joined.select(*keys, by, (F.col("n") / F.col("total") * 100).alias("share"))
 
 
-def published_shares(profiles: DataFrame, lang: str, by: str) -> DataFrame:
-    """The published group shares by 'gender' or 'age' for a language."""
-    table = {"gender": GENDER_SHARES, "age": AGE_SHARES}[by][lang]
-    rows = [(label, group, float(v)) for label, values in table.items() for group, v in zip(GROUPS, values)]
-    return profiles.sparkSession.createDataFrame(rows, f"{by} string, group string, share double")
-
-
 def group_medians(profiles: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     """Median of every feature per group, in long form."""
     wide = profiles.select(group, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])

@@ -45,11 +45,11 @@ def top_authors_by_class(datasets: Mapping[str, DataFrame], above: int = 100, n:
     return totals.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
-def network_table(networks: Mapping[str, Network], max_nodes: int = 80_000) -> DataFrame:
+def network_table(networks: Mapping[str, Network]) -> DataFrame:
     """Authors, edges and mean closeness per dataset."""
     return across(
         {
-            name: network_size(net).withColumn("closeness", mean_closeness(net, max_nodes).scalar())
+            name: network_size(net).withColumn("closeness", mean_closeness(net).scalar())
             for name, net in networks.items()
         }
     )

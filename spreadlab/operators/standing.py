@@ -91,17 +91,20 @@ class Runs:
         ranks = held.select(
             "reputation", "at", (unreferenced + F.coalesce(F.sum("n").over(below), F.lit(0))).alias("status")
         )
-        # At most one entry per period in each list.
-        lists = ranks.groupBy("reputation").agg(
-            F.map_from_entries(F.collect_list(F.struct("at", "status"))).alias("by_period")
+        # At most one entry per period in each list. Gaps are filled, so that a run is a slice of its list.
+        lists = ranks.groupBy("reputation").agg(F.array_sort(F.collect_list(F.struct("at", "status"))).alias("entries"))
+        last = F.size("entries") - 1
+        gap = lambda e, i: F.when(i < last, F.get("entries", F.least(i + 1, last))["at"] - e["at"] - 1).otherwise(0)
+        filled = F.transform(
+            "entries", lambda e, i: F.concat(F.array(e["status"]), F.array_repeat(F.lit(None).cast("bigint"), gap(e, i)))
         )
-        span = F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)
+        lists = lists.select("reputation", F.get("entries", F.lit(0))["at"].alias("from"), F.flatten(filled).alias("by_period"))
         ranked = earned.join(lists, "reputation").select(
             "author_id",
             "first",
             "length",
             "reputation",
-            F.transform(span, lambda at: F.element_at("by_period", at)).alias("statuses"),
+            F.slice("by_period", F.col("first") - F.col("from") + 1, F.col("length")).alias("statuses"),
         )
         # Nobody ranks below an author without references.
         blank = self.runs.where(F.col("reputation") == 0).withColumn(

@@ -24,7 +24,6 @@ from spreadlab.operators import (
     profiles,
     reports,
     standing,
-    topics,
 )
 from spreadlab.operators import posts as post_ops
 from spreadlab.plans import demo
@@ -149,6 +148,11 @@ def cascade_count_over_time(d):
     return activity.cascade_count_over_time(d.posts)
 
 
+@query
+def cascade_count_weekly(d):
+    return activity.cascade_count_over_time(d.posts, "week")
+
+
 # ----------------------------------------------------------------------- board
 
 
@@ -527,18 +531,6 @@ def lexicon_scores(spark, sf_dir):
     return profiles.lexicon_scores(docs, lexicon)
 
 
-@table_query
-def topic_words(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return topics.Topics(docs, k=4, rounds=5).ranking()
-
-
-@table_query
-def topic_counts(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return topics.Topics(docs, k=4, rounds=5).counts()
-
-
 # -------------------------------------------------------------------- evidence
 
 
@@ -753,3 +745,9 @@ def ingest_outputs(d):
 def sample_per_period(d):
     sample = activity.sample_per_period(d.posts, "day", 10)
     return sample.groupBy("period").agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query
+def board_by_retweets(d):
+    ranked = board.by_retweets(d.board)
+    return ranked.select("ID", "Retweets", "Legitimacy").limit(50)

@@ -12,7 +12,11 @@ from spreadlab.session import prepare, settle
 
 
 class SocialDataset:
-    """Posts with companion tables; derived tables are written to the shared folder on first use."""
+    """Posts with companion tables; derived tables are written to the shared folder on first use.
+
+    Tables that are stored already are read where they are. With ``stored`` off the four
+    given ones are results of a computation, and written once before they are used.
+    """
 
     def __init__(
         self,
@@ -23,26 +27,30 @@ class SocialDataset:
         reference_types=network.REFERENCE_TYPES,
         unit: str = "day",
         size: int = 1,
+        stored: bool = True,
     ):
         prepare(posts.sparkSession)
         self._posts, self._scores, self._profiles, self._checks = posts, text_scores, profiles, fact_checks
-        self.reference_types, self.unit, self.size = tuple(reference_types), unit, size
+        self.reference_types, self.unit, self.size, self.stored = tuple(reference_types), unit, size, stored
+
+    def _given(self, df: DataFrame, name: str) -> DataFrame:
+        return df if self.stored else settle(df, name)
 
     @cached_property
     def posts(self) -> DataFrame:
-        return settle(self._posts, "posts")
+        return self._given(self._posts, "posts")
 
     @cached_property
     def text_scores(self) -> DataFrame:
-        return settle(self._scores, "text_scores")
+        return self._given(self._scores, "text_scores")
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return settle(self._profiles, "profiles")
+        return self._given(self._profiles, "profiles")
 
     @cached_property
     def fact_checks(self) -> DataFrame:
-        return settle(self._checks, "fact_checks")
+        return self._given(self._checks, "fact_checks")
 
     @cached_property
     def network(self) -> network.Network:

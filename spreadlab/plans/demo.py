@@ -235,7 +235,8 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, "No en té")
         .otherwise(F.concat(F.lit("https://social.example/u"), "c_custkey"))
         .alias("link"),
-        F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")).alias("party"),
+        # Some listed politicians have no party.
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.concat(F.lit(" "), "c_mktsegment", F.lit(" "))).alias("party"),
     )
 
 
@@ -249,5 +250,6 @@ def dataset(spark: SparkSession, sf_dir: str, fresh: bool = False) -> SocialData
             text_scores=text_scores(spark, sf_dir),
             profiles=profiles(spark, sf_dir),
             fact_checks=fact_checks(spark, sf_dir),
+            stored=False,  # the mapping is computed from the given tables
         )
     return _DATASETS[key]

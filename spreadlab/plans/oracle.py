@@ -313,12 +313,17 @@ QUERIES: dict[str, str] = {
     "actor_class_counts": f"""SELECT {CLASS} AS user_type, count(*) AS posts, count(DISTINCT author_id) AS authors FROM posts GROUP BY 1""",
     "annotate_actors": """SELECT p.author_id, s.h IS NOT NULL AS is_usual_suspect, q.party, count(*) AS posts FROM posts p
         LEFT JOIN (SELECT DISTINCT 'u' || s_suppkey AS h FROM supplier WHERE s_nationkey % 2 = 0) s ON s.h = p.username
-        LEFT JOIN (SELECT 'u' || c_custkey AS h, min(trim(c_mktsegment)) AS party FROM customer WHERE c_acctbal >= 0 GROUP BY 1) q
+        LEFT JOIN (SELECT 'u' || c_custkey AS h, coalesce(min(trim(nullif(c_mktsegment, 'MACHINERY'))), 'Desconocido') AS party FROM customer WHERE c_acctbal >= 0 GROUP BY 1) q
         ON q.h = p.username GROUP BY ALL""",
     "cascade_count_over_time": """SELECT CAST(c.d AS TIMESTAMP) AS time, count(r.cascade_id) AS cascades FROM
         (SELECT CAST(unnest(generate_series(min(CAST(created_at AS DATE)), max(CAST(created_at AS DATE)), INTERVAL 1 DAY)) AS DATE) AS d FROM roots) c
         LEFT JOIN roots r ON CAST(r.created_at AS DATE) = c.d GROUP BY 1""",
+    "cascade_count_weekly": """SELECT CAST(c.d AS TIMESTAMP) AS time, count(r.cascade_id) AS cascades FROM
+        (SELECT CAST(unnest(generate_series(min(w), max(w), INTERVAL 7 DAY)) AS DATE) AS d FROM
+         (SELECT CAST(created_at AS DATE) + CAST(7 - isodow(CAST(created_at AS DATE)) AS INTEGER) AS w FROM roots)) c
+        LEFT JOIN roots r ON CAST(r.created_at AS DATE) + CAST(7 - isodow(CAST(r.created_at AS DATE)) AS INTEGER) = c.d GROUP BY 1""",
     "board": "SELECT * FROM board",
+    "board_by_retweets": """SELECT "ID", "Retweets", "Legitimacy" FROM board ORDER BY "Retweets" DESC, "ID" LIMIT 50""",
     "board_page": """SELECT * EXCLUDE (hashtags, created_at) FROM board ORDER BY "Retweets" DESC, "Legitimacy", "ID" LIMIT 10 OFFSET 20""",
     "board_filtered": """SELECT * EXCLUDE (hashtags, created_at) FROM board WHERE "Retweets" >= 2 AND regexp_matches("Text", 'VIEW', 'i')
         AND strftime(created_at, '%Y-%m-%d') LIKE '2024-01-1%' AND "Profiling" AND "User" <> 'u7'

@@ -30,11 +30,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks; its intermediate tables go when it ends."""
+    folder = tempfile.mkdtemp(prefix="spreadlab-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spreadlab")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -46,20 +49,9 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    A local session without the setting gets its own temporary folder; on a
-    cluster a machine-local folder would not outlive its machine, so the
-    setting is required there.
-    """
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spreadlab-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps").rstrip("/")
 
 
 def _own_folder(spark: SparkSession) -> str:

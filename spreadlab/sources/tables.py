@@ -105,8 +105,10 @@ def export_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
 
 
-def to_markdown(df: DataFrame, rows: int = 1000) -> str:
-    """A small result (at most ``rows`` rows) as a Markdown table."""
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.limit(rows).collect()]
-    return "\n".join(lines)
+def to_markdown(df: DataFrame, path: str) -> None:
+    """Write a whole result as a Markdown table: text files whose lines are the rows, the first with the heading."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\n|\|", " "), F.lit(""))
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("value"))
+    heading = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    top = df.sparkSession.createDataFrame([("\n".join(heading),)], "value string").coalesce(1)
+    top.unionByName(lines).write.mode("overwrite").text(path)

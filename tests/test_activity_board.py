@@ -99,15 +99,15 @@ def test_classes_bounds_and_lookups(spark, data):
 
 
 def test_cascade_count_per_day_and_week(spark):
-    def counts(days):
+    def counts(days, unit):
         data = [post(f"o{d}", "a", at(24 * d + 5)) for d in days]
         data += [post(f"r{d}", "b", at(24 * d + 6), [(f"o{d}", "quoted", "a", at(0))]) for d in days]
-        out = activity.cascade_count_over_time(make_posts(spark, data))
+        out = activity.cascade_count_over_time(make_posts(spark, data), unit)
         return {r["time"].date(): r["cascades"] for r in out.collect()}
 
-    few = counts([0, 2, 3])
+    few = counts([0, 2, 3], "day")
     assert few == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 2): 0, dt.date(2024, 1, 3): 1, dt.date(2024, 1, 4): 1}
-    many = counts([0, 1, 160])
+    many = counts([0, 1, 160], "week")
     assert len(many) == 23 and many[dt.date(2024, 1, 7)] == 2 and sum(many.values()) == 3
     assert all(d.weekday() == 6 for d in many)
 

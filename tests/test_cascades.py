@@ -165,6 +165,24 @@ def test_members_agree_with_level_walk(spark):
         assert rows(cascades.members(posts)) == rows(cascades.members_from(posts, roots), "cascade_id", "post_id")
 
 
+@pytest.mark.parametrize("length", [3, 9])
+def test_repeated_rows_change_nothing(spark, length):
+    chain = [post("0", "a0", at(0))]
+    chain += [post(i, f"a{i}", at(i), [(i - 1, "quoted", f"a{i - 1}", at(i - 1))]) for i in range(1, length)]
+    once, twice = (built(spark, data) for data in (chain, chain * 2))
+    want = [("0", str(i)) for i in range(1, length)]
+    assert rows(cascades.members(twice.posts)) == rows(cascades.members(once.posts)) == sorted(want)
+    assert rows(twice.references) == rows(once.references)
+    assert twice.references.count() == length - 1
+
+
+def test_one_id_with_other_references_each_time(spark):
+    data = [post("0", "a", at(0)), post("1", "b", at(0)), post("2", "c", at(2), [("0", "quoted", "a", at(0))])]
+    data += [post("2", "c", at(2), [("1", "quoted", "b", at(0))]), post("3", "d", at(3), [("2", "retweeted", "c", at(2))])]
+    found = rows(cascades.members(make_posts(spark, data)))
+    assert found == [("0", "2"), ("0", "3"), ("1", "2"), ("1", "3")]
+
+
 def test_long_chain(spark):
     n = 70
     data = [post(0, "a0", at(0))] + [

@@ -79,7 +79,8 @@ def test_pairs(d):
     some = pairs.with_all_features(data, ["num_likes", "absent"])
     assert some.columns == ["num_likes", "absent"] and some.where("absent is not null").count() == 0
     none = d.text_scores.where("id < 0")
-    assert pairs.eligible_cascades(d.posts, d.profiles, none).count() >= eligible.count()
+    assert pairs.eligible_cascades(d.posts, d.profiles, none).count() == 0
+    assert pairs.eligible_cascades(d.posts, d.profiles, none, require_scores=False).count() >= eligible.count()
     with pytest.raises(LookupError):
         pairs.eligible_cascades(d.posts, d.profiles.where("user_id = 'x'"), d.text_scores)
 
@@ -118,5 +119,5 @@ def test_growth_reaches_what_the_model_accepts(d):
 
 
 def test_registered_model_queries_run(spark):
-    for name in ("propagation_model_metrics", "topic_words"):
+    for name in ("propagation_model_metrics", "feature_importances"):
         assert catalogue.queries()[name](spark, SF).count() > 0

@@ -142,7 +142,7 @@ def test_mean_closeness(random_net):
     expected = sum(scores) / len(scores)
     assert network.mean_closeness(net).first()[0] == pytest.approx(expected)
     assert network.mean_closeness(net, pairs_at_once=250).first()[0] == pytest.approx(expected)
-    assert network.mean_closeness(net, max_nodes=5).count() == 1
+    assert network.mean_closeness(net, precision=8).count() == 1
 
 
 def test_edge_positions(spark):

@@ -63,7 +63,6 @@ def test_comparison_medians_and_shares(spark, people):
     panels = profiles.profile_comparison(people, listed, medians, "interacciones")
     assert rows(panels.where("twitter_id = '1'"), "feature", "panel") == [("followers_count", 1), ("friends_count", 2)]
     assert rows(profiles.group_share(people, "age_demo")) == [("30-39", pytest.approx(200 / 3)), ("<=18", pytest.approx(100 / 3))]
-    assert profiles.published_shares(people, "en", "gender").count() == 9
 
 
 def test_behaviour_and_social(spark):

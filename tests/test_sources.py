@@ -162,4 +162,6 @@ def test_small_files(spark, tmp_path):
     ]
     tables.export_csv(listed, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
-    assert tables.to_markdown(spark.range(1)).splitlines() == ["| id |", "| --- |", "| 0 |"]
+    tables.to_markdown(spark.range(3000), str(tmp_path / "table"))
+    lines = spark.read.text(str(tmp_path / "table")).collect()
+    assert {r.value for r in lines} == {"| id |", "| --- |", *(f"| {i} |" for i in range(3000))} and len(lines) == 3002
