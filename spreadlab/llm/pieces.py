@@ -31,7 +31,7 @@ NONE = -(1 << 60)
 # The most pieces of a model that is broadcast.
 MOST_PIECES = 1 << 20
 # Words whose segmentation a worker remembers.
-CACHED = 200_000
+CACHED = 400_000
 
 
 @dataclass
@@ -47,6 +47,8 @@ class Model:
     dummy_prefix: bool
     cuts: bool = field(init=False)
     longest: int = field(init=False)
+    # Neighbours within some piece; between two other characters none spans.
+    neighbours: set[str] = field(init=False)
     # The lengths of the pieces of two or more characters, by the last two.
     lengths: dict[str, tuple[int, ...]] = field(init=False)
 
@@ -54,6 +56,7 @@ class Model:
         self.longest = max(map(len, self.scores), default=1)
         # Then no piece spans a space that follows something else, or a line end.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.scores)
+        self.neighbours = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         ends: dict[str, set[int]] = {}
         for piece in self.scores:
             if len(piece) > 1:
@@ -138,7 +141,9 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
-        if found is None:
+        if found is None and len(word) > 1 and word[-2:] not in self.model.neighbours:
+            found = self[word[:-1]] + self[word[-1]]  # a mark behind a word
+        elif found is None:
             known, parts = self.model.ids, segment(word, self.model)
             found = array("i", [i for p in parts for i in ((known[p],) if p in known else ids_of(p, self.model))]).tobytes()
         if len(word) <= 64:
