@@ -96,11 +96,11 @@ def cascade_count_over_time(posts: DataFrame, unit: str = "day") -> DataFrame:
 
 
 def sample_per_period(posts: DataFrame, unit: str = "day", quantity: int = 10, seed: int = 42) -> DataFrame:
-    """Up to ``quantity`` posts of every period, chosen by a hash of the id.
+    """Up to ``quantity`` posts of every period, those with the smallest md5 of the id and ``seed``.
 
     The rank limit is applied inside each task before the shuffle, so a period
     sends at most ``quantity`` rows per task.
     """
     chosen = posts.withColumn("period", time_bin(F.col("created_at"), unit))
-    by_hash = Window.partitionBy("period").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    by_hash = Window.partitionBy("period").orderBy(F.md5(F.concat("id", F.lit(str(seed)))), "id")
     return chosen.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= quantity).drop("_rank")

@@ -647,6 +647,28 @@ def propagation_dataset(d):
     return _labelled(d)
 
 
+def _by_rule(d: SocialDataset) -> DataFrame:
+    """Labelled rows with the prediction of a rule, so that the scores can be checked by SQL."""
+    return _labelled(d).withColumn("prediction", (F.coalesce("num_retweets", F.lit(0)) % 2).cast("int"))
+
+
+@query
+def rule_confusion_matrix(d):
+    return classifier.confusion_matrix(_by_rule(d))
+
+
+@query
+def rule_metrics(d):
+    return classifier.classification_metrics(_by_rule(d))
+
+
+@query
+def feature_modes(d):
+    rows = _labelled(d).select("num_retweets", "propagated", "Miedo")
+    best = classifier.modes(rows, rows.columns)
+    return d.posts.sparkSession.createDataFrame([(k, float(v)) for k, v in best.items()], "feature string, value double")
+
+
 @query
 def propagation_model_metrics(d):
     _, report = classifier.performance(settle(_labelled(d), "labelled"))
@@ -679,8 +701,8 @@ def grow_cascade(d):
 @query
 def cast_times(d):
     back = files.cast_times(files.encode_times(d.posts))
-    first = F.try_element_at("referenced_tweets", F.lit(1))
-    return back.select("id", "created_at", first["created_at"].alias("ref_created_at"))
+    each = back.select("id", "created_at", F.explode_outer("referenced_tweets").alias("ref"))
+    return each.select("id", "created_at", F.col("ref.created_at").alias("ref_created_at"))
 
 
 @query
@@ -715,13 +737,13 @@ def flatten_pages(d):
         ).alias("includes"),
     )
     flat = files.flatten_pages(pages)
-    first = F.try_element_at("referenced_tweets", F.lit(1))
-    return flat.select(
+    each = flat.select("id", F.col("author.username").alias("username"), F.explode_outer("referenced_tweets").alias("ref"))
+    return each.select(
         "id",
-        F.col("author.username").alias("username"),
-        first["id"].alias("ref_id"),
-        first["author"]["username"].alias("ref_username"),
-        first["created_at"].alias("ref_created_at"),
+        "username",
+        F.col("ref.id").alias("ref_id"),
+        F.col("ref.author.username").alias("ref_username"),
+        F.col("ref.created_at").alias("ref_created_at"),
     )
 
 
@@ -731,20 +753,16 @@ def ingest_outputs(d):
     media = F.struct(F.array(F.struct(F.concat(F.lit("m"), "id").alias("media_key"))).alias("media"))
     number = F.substring(digit, 2, 1).cast("int")
     withmedia = d.posts.withColumn("attachments", F.when(number % 2 == 0, media))
-    counts = [
-        rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("output"), "rows")
-        for name, rows in files.ingest_outputs(withmedia).items()
-    ]
-    out = counts[0]
-    for part in counts[1:]:
+    parts = [rows.select(F.lit(name).alias("output"), "id") for name, rows in files.ingest_outputs(withmedia).items()]
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
 @query
 def sample_per_period(d):
-    sample = activity.sample_per_period(d.posts, "day", 10)
-    return sample.groupBy("period").agg(F.count(F.lit(1)).alias("posts"))
+    return activity.sample_per_period(d.posts, "day", 10).select("period", "id")
 
 
 @query

@@ -479,10 +479,26 @@ QUERIES: dict[str, str] = {
     "propagation_dataset": f"SELECT * EXCLUDE (source, target, cascade_id, original_author) FROM ({_LABELLED})",
     "cast_times": """SELECT p.id, p.created_at, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
     "flatten_pages": """SELECT p.id, p.username, r.ref_id, r.ref_username, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
-    "ingest_outputs": """SELECT 'preprocessed' AS output, count(*) AS "rows" FROM posts UNION ALL SELECT 'mongoimport', count(*) FROM posts
-        UNION ALL SELECT 'usual_suspects_and_politicians', count(*) FROM posts WHERE suspect OR party IS NOT NULL
-        UNION ALL SELECT 'media', count(*) FROM posts WHERE (k % 10) % 2 = 0""",
-    "sample_per_period": f"""SELECT {_day('created_at')} AS period, least(count(*), 10) AS posts FROM posts GROUP BY 1""",
+    "ingest_outputs": """SELECT 'preprocessed' AS output, id FROM posts UNION ALL SELECT 'mongoimport', id FROM posts
+        UNION ALL SELECT 'usual_suspects_and_politicians', id FROM posts WHERE suspect OR party IS NOT NULL
+        UNION ALL SELECT 'media', id FROM posts WHERE (k % 10) % 2 = 0""",
+    "sample_per_period": f"""SELECT {_day('created_at')} AS period, id FROM posts
+        QUALIFY row_number() OVER (PARTITION BY {_day('created_at')} ORDER BY md5(id || '42'), id) <= 10""",
+    "rule_confusion_matrix": f"""SELECT propagated AS actual, CAST(coalesce(num_retweets, 0) % 2 AS INTEGER) AS predicted, count(*) AS "rows"
+        FROM ({_LABELLED}) GROUP BY ALL""",
+    "rule_metrics": f"""SELECT round((c00 + c11) / (c00 + c01 + c10 + c11), 6) AS accuracy,
+               round((coalesce(c00 / nullif(c00 + c10, 0), 0) + coalesce(c11 / nullif(c11 + c01, 0), 0)) / 2, 6) AS precision,
+               round((coalesce(c00 / nullif(c00 + c01, 0), 0) + coalesce(c11 / nullif(c11 + c10, 0), 0)) / 2, 6) AS recall,
+               round((coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2, 6) AS f1_score,
+               c00 + c01 AS no_propagation_support, c10 + c11 AS propagation_support
+        FROM (SELECT count(*) FILTER (a = 0 AND p = 0) AS c00, count(*) FILTER (a = 0 AND p = 1) AS c01,
+                     count(*) FILTER (a = 1 AND p = 0) AS c10, count(*) FILTER (a = 1 AND p = 1) AS c11
+              FROM (SELECT propagated AS a, CAST(coalesce(num_retweets, 0) % 2 AS INTEGER) AS p FROM ({_LABELLED})))""",
+    "feature_modes": " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(v, 6) AS value FROM (SELECT CAST("{c}" AS DOUBLE) AS v, count(*) AS n FROM ({_LABELLED})
+        WHERE "{c}" IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)"""
+        for c in ("num_retweets", "propagated", "Miedo")
+    ),
 }
 
 
