@@ -16,6 +16,8 @@ from spreadlab.operators.components import connected
 # shorter lines repeat only as they are, since an edit makes another word of them.
 EDITS = 2
 MIN_CHARS = 20
+# White space that is not part of a line.
+BLANKS = " \t\r\v\f"
 # Index entries of one segment beyond which its lines are compared by a second segment too.
 CROWD = 500
 # How many further segments crowded entries are told apart by.
@@ -27,7 +29,7 @@ BROADCAST_ROWS = 500_000
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line): the lines that are not blank, without white space around them."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
-    return each.select("doc_id", "line_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    return each.select("doc_id", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
 
 
 def line_id(line: Column) -> list[Column]:
@@ -35,51 +37,49 @@ def line_id(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2")]
 
 
-def _cut(text: Column, length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """(start from 1, length) of segment ``i`` from 0 of a text of ``length``: even parts, the longer ones last."""
-    short = F.floor(length / (edits + 1)).cast("int")
-    longer = length - short * (edits + 1)
-    before = F.greatest(longer - (edits + 1 - i), F.lit(0))
-    return short * i + before + 1, short + F.when(longer >= edits + 1 - i, 1).otherwise(0)
+def _index(edits: int) -> list[tuple[int, int, int]]:
+    """The segments of a line, what it is found by, as (how much shorter, segment, displacement)."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def _entry(text: Column, target: Column, i: int, start: Column, size: Column) -> Column:
-    rest = F.concat(F.substring(text, F.lit(1), start - 1), F.substring(text, start + size, F.length(text)))
-    return F.struct(F.xxhash64("prefix", target, F.lit(i), F.substring(text, start, size)).alias("key"), rest.alias("rest"))
-
-
-def _index(edits: int) -> Column:
-    """The segments of a line: what it is found by."""
-    text, length = F.col("text"), F.length("text")
-    return F.array(*[_entry(text, length, i, *_cut(text, length, edits, i)) for i in range(edits + 1)])
-
-
-def _probes(edits: int) -> Column:
+def _probes(edits: int) -> list[tuple[int, int, int]]:
     """The substrings of a line that a line at most ``edits`` shorter may have as a segment.
 
     For a line shorter by d, segment i may be displaced by at most i edits to the left
     part and by at most edits - i to the right part; both limits hold at once.
     """
-    text, length = F.col("text"), F.length("text")
     out = []
     for d in range(edits + 1):
         for i in range(edits + 1):
-            start, size = _cut(text, length - d, edits, i)
-            low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
-            for shift in range(low, high + 1):
-                fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (length - d > edits)
-                out.append(F.when(fits, _entry(text, length - d, i, start + shift, size)))
-    return F.array_compact(F.array(*out))
+            out += [(d, i, s) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    return out
+
 
+def _entries(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int, rest: bool = False) -> DataFrame:
+    """(key, id[, rest]) of the substrings ``shapes`` of ``lines(prefix, id, text, n)``; n is the length.
 
-def _entries(lines: DataFrame, entries: Column, rest: bool) -> DataFrame:
-    """(key, id[, rest]) of the entries of ``lines(prefix, id, text)``."""
-    each = lines.select("id", F.explode(entries).alias("e"))
-    return each.select("e.key", "id", *(["e.rest"] if rest else []))
+    A line of a length is cut evenly, the longer segments last. ``rest`` is the text
+    without the substring.
+    """
+    text, parts = F.col("text"), edits + 1
+    listed = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in shapes])
+    each = lines.select("prefix", "id", "text", "n", F.explode(listed).alias("e"))
+    target, i = F.col("n") - F.col("e.d"), F.col("e.i")
+    longer = target % parts
+    short = ((target - longer) / parts).cast("int")
+    start = short * i + F.greatest(longer + i - parts, F.lit(0)) + 1 + F.col("e.s")
+    size = short + F.when(longer + i >= parts, 1).otherwise(0)
+    placed = each.select("prefix", "id", "text", "n", target.alias("target"), i.alias("i"), start.alias("start"), size.alias("size"))
+    placed = placed.where("start >= 1 AND start + size - 1 <= n").where(F.col("target") >= parts)
+    out = [F.xxhash64("prefix", "target", "i", F.substring(text, F.col("start"), F.col("size"))).alias("key"), "id"]
+    if rest:
+        left = F.substring(text, F.lit(1), F.col("start") - 1)
+        out.append(F.concat(left, F.substring(text, F.col("start") + F.col("size"), F.col("n"))).alias("rest"))
+    return placed.select(*out)
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs (a, b) of ids of ``lines(id, text)`` among which are all within ``edits``.
+    """Pairs (a, b) of ids of ``lines(id, text, n)``, n the length of the text, among which are all within ``edits``.
 
     A line is cut into edits + 1 segments; one of them is untouched by ``edits`` edits, so
     it is a substring of any line that close, near the same place. Each line is entered
@@ -88,10 +88,10 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds:
     length share is no key by itself: what remains of its lines without it is within as
     many edits, and is cut and looked up in turn, ``rounds`` times at most.
     """
-    todo = lines.select("id", "text", F.lit(0).cast("long").alias("prefix"))
+    todo = lines.select("id", "text", "n", F.lit(0).cast("long").alias("prefix"))
     entered, sought, found = todo, todo, None
     for again in range(rounds + 1):
-        index, probes = _entries(entered, _index(edits), False), _entries(sought, _probes(edits), False)
+        index, probes = _entries(entered, _index(edits), edits), _entries(sought, _probes(edits), edits)
         last = again == rounds
         if not last:
             crowded = keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
@@ -105,7 +105,11 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds:
             break
         entered, sought = (
             keep(
-                _entries(x, e(edits), True).join(crowded, "key", "left_semi").select(F.col("key").alias("prefix"), "id", F.col("rest").alias("text")).distinct(), "rest"
+                _entries(x, e(edits), edits, True)
+                .join(crowded, "key", "left_semi")
+                .select(F.col("key").alias("prefix"), "id", F.col("rest").alias("text"), F.length("rest").alias("n"))
+                .distinct(),
+                "rest",
             )
             for x, e in ((entered, _index), (sought, _probes))
         )
@@ -177,9 +181,11 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     other lines. What links reach is a class, named by its smallest line id. Its keeper
     is the smallest doc_id that holds one of its lines; null counts as the largest.
     """
-    distinct = lines.groupBy(F.col("line").alias("text")).agg(F.min("doc_id").alias("least")).select(*line_id(F.col("text")), "least", "text")
+    distinct = lines.groupBy(F.col("line").alias("text")).agg(F.min("doc_id").alias("least")).select(
+        *line_id(F.col("text")), "least", "text", F.length("text").alias("n")
+    )
     distinct = keep(distinct, "distinct")
-    long = distinct.where(F.length("text") >= min_chars).select("id", "id2", "text")
+    long = distinct.where(F.col("n") >= min_chars).select("id", "id2", "text", "n")
     pairs = keep(candidates(long, edits, crowd, rounds), "candidates")
     links = keep(_verified(pairs, long, edits), "links")
     classes = connected(links)
