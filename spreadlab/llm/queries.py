@@ -57,6 +57,65 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(personal.find(table(spark, sf_dir, "documents")))
 
 
+def _personal_sql(support: int = 3, threshold: float = 0.9) -> str:
+    """The same by counting everything: matches with the pieces between them give positions."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    luhn = """list_sum(list_transform(range(length(g)), lambda j: CASE WHEN j % 2 = 0 THEN substr(reverse(g), CAST(j + 1 AS INTEGER), 1)::INT
+        ELSE substr(reverse(g), CAST(j + 1 AS INTEGER), 1)::INT * 2 - CASE WHEN substr(reverse(g), CAST(j + 1 AS INTEGER), 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    holds = {
+        "email": "TRUE",
+        "ip": "len(list_filter(string_split(v, '.'), lambda q: length(ltrim(q, '0')) > 3 OR TRY_CAST('0' || right(q, 3) AS INT) > 255)) = 0",
+        "card": f"length(g) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": "length(g) BETWEEN 9 AND 15",
+    }
+    entity = {"email": "lower(v)", "ip": "v", "card": "g", "phone": "g"}
+    spans = " UNION ALL ".join(
+        f"""SELECT r, {order} AS o, '{kind}' AS kind, s, s + length(v) AS e, '{kind}:' || {entity[kind]} AS entity FROM (
+            SELECT r, v, regexp_replace(v, '[^0-9]', '', 'g') AS g, CAST(list_sum(list_transform(b[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+            FROM (SELECT r, m, string_split_regex(text, '{pattern}') AS b, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i
+                  FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS m FROM d))) WHERE {holds[kind]}"""
+        for order, (kind, pattern) in enumerate(patterns.items())
+    )
+    plain = "text"
+    for pattern in patterns.values():
+        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
+    word = r"[\p{L}\p{N}]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+b AS MATERIALIZED ({spans}),
+w AS MATERIALIZED (SELECT DISTINCT r, unnest(regexp_extract_all(lower({plain}), '{word}')) AS term FROM d),
+e AS MATERIALIZED (SELECT DISTINCT r, entity FROM b),
+ne AS (SELECT entity, count(*) AS n FROM e GROUP BY 1),
+nt AS (SELECT term, count(*) AS n FROM w GROUP BY 1),
+both_ AS (SELECT entity, term, count(*) AS n FROM e JOIN w USING (r) JOIN d USING (r) GROUP BY 1, 2 HAVING count(DISTINCT text) >= {support}),
+told AS (SELECT entity, term FROM both_ x JOIN ne USING (entity) JOIN nt USING (term)
+         WHERE log2((SELECT count(*) FROM d) * x.n / CAST(ne.n * nt.n AS DOUBLE)) >= {threshold} * log2((SELECT count(*) FROM d) / CAST(ne.n AS DOUBLE))),
+mine AS (SELECT DISTINCT r, term FROM told JOIN e USING (entity) JOIN w USING (r, term)),
+t AS (SELECT r, s, s + length(v) AS e FROM (
+        SELECT r, v, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+        FROM (SELECT r, m, string_split_regex(text, '{word}') AS b, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i
+              FROM (SELECT r, text, regexp_extract_all(text, '{word}') AS m FROM d WHERE r IN (SELECT r FROM mine))))
+      WHERE (r, lower(v)) IN (SELECT (r, term) FROM mine)),
+a AS (SELECT r, o, kind, s, e FROM b UNION ALL
+      SELECT r, 4, 'term', s, e FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = t.r AND b.s < t.e AND t.s < b.e))
+SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+       count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (kind <> 'term'), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s), '') AS spans
+FROM d LEFT JOIN a USING (r) GROUP BY r, doc_id
+"""
+
+
+_SQL["op3_personal_data"] = _personal_sql()
+
+
+
 @query
 def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with its class, its links and whether it stays."""
