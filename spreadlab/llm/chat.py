@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CONTROL = r"([<\[])(\\*)(/?INST\]|ANS\]|/?s>|s:[0-9]>|</?SYS>>|/SYS>>|\|role:|\|
 ESCAPED = r"([<\[])\\(\\*)(/?INST\]|ANS\]|/?s>|s:[0-9]>|</?SYS>>|/SYS>>|\|role:|\|end\|>)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def escape(text: Column) -> Column:
     """A backslash more behind the first character of each control string, so that none is left."""
     return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
@@ -73,9 +80,11 @@ def parsed(document: Column) -> Column:
         plain = F.when(start == START, x["text"]).otherwise(unescape(x["text"]))
         return F.struct(role.alias("role"), plain.alias("text"), right.alias("right"), F.length(x["mark"]).alias("before"), F.length(x["text"]).alias("long"), F.length(x["end"]).alias("after"))
 
-    turns = F.transform(found, turn)
-    length = F.aggregate(turns, F.lit(0), lambda n, t: n + t["before"] + t["long"] + t["after"])
-    return F.when((length == F.length(body)) & F.forall(turns, lambda t: t["right"]), turns)
+    def checked(turns: Column) -> Column:
+        length = F.aggregate(turns, F.lit(0), lambda n, t: n + t["before"] + t["long"] + t["after"])
+        return F.when((length == F.length(body)) & F.forall(turns, lambda t: t["right"]), turns)
+
+    return _once(F.transform(found, turn), checked)
 
 
 def _same(turns: Column, back: Column) -> Column:
@@ -95,11 +104,16 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", F.struct("turn", text_of("role").alias("role"), text_of("text").alias("text")).alias("row"))
     gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     turns = gathered.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    plain = turns.withColumn("plain", rendered(F.col("turns"), START)).withColumn("identical", _same(F.col("turns"), parsed(F.col("plain"))))
     escaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
-    tried = plain.withColumn("formatted", F.when(F.col("identical"), F.col("plain")).otherwise(rendered(escaped, START_ESCAPED)))
-    safe = F.col("identical") | _same(F.col("turns"), parsed(F.col("formatted")))
-    return tried.select("conv_id", F.when(safe, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back identically"))).alias("formatted"))
+    source, lost = F.col("turns"), F.raise_error(F.lit("a conversation is not read back identically"))
+
+    def until_identical(ways: list[Column]) -> Column:
+        if not ways:
+            return lost
+        return _once(ways[0], lambda tried: F.when(_same(source, parsed(tried)), tried).otherwise(until_identical(ways[1:])))
+
+    ways = [rendered(source, START), rendered(escaped, START_ESCAPED)]
+    return turns.select("conv_id", until_identical(ways).alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
