@@ -141,7 +141,6 @@ def test_mean_closeness(random_net):
         scores.append((len(d) - 1) / sum(d.values()))
     expected = sum(scores) / len(scores)
     assert network.mean_closeness(net).first()[0] == pytest.approx(expected)
-    assert network.mean_closeness(net, pairs_at_once=250).first()[0] == pytest.approx(expected)
     assert network.mean_closeness(net, precision=8).count() == 1
 
 
