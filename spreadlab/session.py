@@ -22,6 +22,10 @@ SETTINGS = {
 }
 
 
+# Folders to be removed at the end.
+_LEFT: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job in this package relies on."""
     for key, value in SETTINGS.items():
@@ -49,9 +53,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else a folder in its warehouse."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else one in its warehouse.
+
+    The latter is removed when a local session's program ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps-{context.applicationId}"
+    if context.master.startswith("local") and folder.startswith("file:") and folder not in _LEFT:
+        _LEFT.add(folder)
+        atexit.register(shutil.rmtree, "/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return folder
 
 
 def _own_folder(spark: SparkSession) -> str:
