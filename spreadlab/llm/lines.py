@@ -19,7 +19,7 @@ MIN_CHARS = 20
 # White space that is not part of a line.
 BLANKS = " \t\r\v\f"
 # Index entries of one segment beyond which its lines are compared by a second segment too.
-CROWD = 500
+CROWD = 100
 # How many further segments crowded entries are told apart by.
 ROUNDS = 2
 # Line ids up to which a set of them is broadcast; a larger one is joined by a shuffle.
