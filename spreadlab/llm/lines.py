@@ -27,9 +27,10 @@ BROADCAST_ROWS = 500_000
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): the lines that are not blank, without white space around them."""
-    each = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
-    return each.select("doc_id", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
+    """(doc_id, text_hash, line_no, line): the lines that are not blank, without white space around them."""
+    own = [F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash")]
+    each = docs.select(*own, F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
+    return each.select("doc_id", "text_hash", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
 
 
 def line_id(line: Column) -> list[Column]:
@@ -198,21 +199,28 @@ def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return rows.join(keeper, "class").select("id", "id2", F.col("class.id").alias("class"), "keeper", "n_links")
 
 
+def _placed(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
+    """``line_duplicates`` with the text_hash of the row."""
+    lines = lines_of(docs, doc_id, text)
+    classes = keep(line_classes(lines, **options), "classes")
+    placed = lines.select("doc_id", "text_hash", "line_no", *line_id(F.col("line"))).join(classes, ["id", "id2"])
+    mine = keep(placed.select("doc_id", "text_hash", "line_no", "class", "keeper", "n_links"), "placed")
+    place = F.struct("text_hash", "line_no")
+    home = mine.where(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("class").agg(F.min(place).alias("first"))
+    home = keep(home, "home")
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper")) & (place == F.col("first"))
+    return mine.join(home, "class").select("doc_id", "text_hash", "line_no", F.col("class").alias("class_id"), "n_links", kept.alias("kept"))
+
+
 def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, line_no, class_id, n_links, kept) for every line that is not blank.
 
     See ``line_classes``. Of each class the first line in the document with the smallest
-    doc_id is kept. Rows that repeat a doc_id are one document; those with a null doc_id
-    are another. A null text counts as empty and has no lines. Other columns are not read.
+    doc_id is kept. Rows that repeat a doc_id and its text are one document; different
+    texts of a doc_id, or without one, are as many documents, the one with the smallest
+    hash first. A null text counts as empty and has no lines. Other columns are not read.
     """
-    lines = lines_of(docs, doc_id, text)
-    classes = keep(line_classes(lines, **options), "classes")
-    placed = lines.select("doc_id", "line_no", *line_id(F.col("line"))).join(classes, ["id", "id2"])
-    mine = keep(placed.select("doc_id", "line_no", "class", "keeper", "n_links"), "placed")
-    home = mine.where(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("class").agg(F.min("line_no").alias("first"))
-    home = keep(home, "home")
-    kept = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("line_no") == F.col("first"))
-    return mine.join(home, "class").select("doc_id", "line_no", F.col("class").alias("class_id"), "n_links", kept.alias("kept"))
+    return _placed(docs, doc_id, text, **options).drop("text_hash")
 
 
 def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -222,15 +230,17 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stays null. All other columns stay as they are.
     """
     small_batches(docs.sparkSession)
-    gone = line_duplicates(docs, doc_id, text, **options).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = keep(gone.withColumnRenamed("doc_id", "gone_id"), "gone")
+    dropped = _placed(docs, doc_id, text, **options).where(~F.col("kept"))
+    own = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    gone = keep(dropped.groupBy(*own).agg(F.collect_set("line_no").alias("gone")), "gone")
 
     @F.pandas_udf("string")
     def rest(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for batch, drops in texts:
             yield pd.Series([t if t is None or d is None else _rest(t, set(d)) for t, d in zip(batch, drops, strict=True)])
 
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left")
+    same = docs[doc_id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["gone_hash"])
+    joined = docs.join(gone, same, "left")
     return joined.select(*[(rest(docs[text], gone["gone"]).alias(text) if c == text else docs[c]) for c in docs.columns])
 
 

@@ -88,6 +88,18 @@ def test_texts_without_duplicates(spark):
     )
 
 
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    rows = [(1, "said before"), (None, "said before\nfirst alone"), (None, "second alone\nsaid before"), (7, "third alone\nsaid before"), (7, "said before\nfourth alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in L.without_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, "said before"), (None, "first alone"), (None, "second alone"), (7, "third alone"), (7, "fourth alone")], key=str)
+
+
+def test_one_line_stays_of_those_without_id(spark):
+    docs = spark.createDataFrame([(None, "twice here\none"), (None, "twice here\nother"), (3, "a\nb"), (3, "b\na")], "doc_id long, text string")
+    assert sorted("".join(r.text for r in L.without_duplicates(docs).collect())) == sorted("twice here\none" + "other" + "a\nb")
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_duplicates(docs).count() == 0 and L.without_duplicates(docs).count() == 0
