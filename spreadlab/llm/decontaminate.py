@@ -66,15 +66,15 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _starts(hits: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, size, k, starts): the windows of ``size`` words that can be similar enough to an item of that size.
+    """(doc_id, text_hash, size, k, n, starts): the windows of ``size`` words that can be similar enough to an item of that size.
 
     A window and an item of its size have equally many shingles n; similarity t takes
     2tn / (1 + t) common ones. Windows with fewer known shingles are left out.
     """
     n = F.col("size") - F.col("k") + 1
     need = F.greatest(F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int"), F.lit(1))
-    at = F.array_sort(F.collect_list("pos")).alias("at")
-    grouped = hits.groupBy("doc_id", "size", "k").agg(at).withColumns({"n": n, "need": need}).where(F.size("at") >= F.col("need"))
+    at = F.array_sort(F.collect_set("pos")).alias("at")
+    grouped = hits.groupBy("doc_id", "text_hash", "size", "k").agg(at).withColumns({"n": n, "need": need}).where(F.size("at") >= F.col("need"))
 
     def ranges(i: Column) -> Column:
         first, last = F.get("at", i), F.get("at", i + F.col("need") - 1)
@@ -82,48 +82,54 @@ def _starts(hits: DataFrame, threshold: float) -> DataFrame:
         return F.when(low <= first, F.sequence(low, F.greatest(first, low))).otherwise(F.array().cast("array<int>"))
 
     starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), ranges)))
-    return grouped.select("doc_id", "size", "k", "n", starts.alias("starts")).where(F.size("starts") > 0)
+    return grouped.select("doc_id", "text_hash", "size", "k", "n", starts.alias("starts")).where(F.size("starts") > 0)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words): the benchmark items that documents hold, once per pair, where they are most similar.
-
-    Windows with as many words as an item are fingerprinted and compared with the items
-    of their size: every item within RADIUS bits is a candidate, whose weighted
-    similarity is computed exactly, the sum of the smaller counts of each five-word
-    shingle over the sum of the larger. Windows without enough shingles of any item have
-    no such similarity and are not fingerprinted. Words are runs of letters and digits in
-    lower case. Documents shorter than an item, null and empty texts hold none of it.
-    Repeated rows of a doc_id are one document, those of an item_id one item; a null id is
-    one too. Other columns are not read.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, item_id, similarity, start, size) of all similar windows; see ``find``."""
     items = keep(benchmark_items(benchmark), "benchmark")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), words_of(text_of(text)).alias("words"))
     known = _small(items.select("size", "k", F.explode("hashes").alias("h")).distinct())
     lengths = [r["k"] for r in items.select("k").distinct().collect()]  # at most SHINGLE rows
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
+        none = [F.lit(0).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("size")]
+        return rows.select("doc_id", "text_hash", *none).limit(0)
     found = None
     for k in lengths:
-        each = rows.select("doc_id", F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
-        hits = each.join(known.where(F.col("k") == k), "h").select("doc_id", "size", "k", "pos")
+        each = rows.select("doc_id", "text_hash", F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
+        hits = each.join(known.where(F.col("k") == k), "h").select("doc_id", "text_hash", "size", "k", "pos")
         windows = keep(_starts(hits, threshold), "starts")
-        same = rows["doc_id"].eqNullSafe(windows["doc_id"])
-        cut = rows.join(windows, same).select(rows["doc_id"], "size", "n", "starts", shingles(F.col("words"), k).alias("h"))
+        same = rows["doc_id"].eqNullSafe(windows["doc_id"]) & (rows["text_hash"] == windows["text_hash"])
+        cut = rows.join(windows, same).select(rows["doc_id"], rows["text_hash"], "size", "n", "starts", shingles(F.col("words"), k).alias("h"))
         inside = F.filter("starts", lambda s: s + F.col("n") <= F.size("h"))
         part = F.transform(inside, lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n")).alias("hashes")))
-        parts = cut.select("doc_id", "size", "n", F.explode(part).alias("w")).select("doc_id", "size", "n", "w.*")
+        parts = cut.select("doc_id", "text_hash", "size", "n", F.explode(part).alias("w")).select("doc_id", "text_hash", "size", "n", "w.*")
         found = parts if found is None else found.unionByName(parts)
     printed = keep(found.withColumn("print", simhash(F.col("hashes"))), "windows")
+    return matches(printed, items).where(F.col("similarity") >= threshold)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, n_words): the benchmark items that documents hold, once per pair, where they are most similar.
+
+    Windows with as many words as an item are fingerprinted and compared with the items
+    of their size: every item within RADIUS bits is a candidate, whose weighted
+    similarity is computed exactly, the sum of the smaller counts of each five-word
+    shingle over the sum of the larger. Windows without enough shingles of any item have
+    no such similarity and are not fingerprinted. Words are runs of letters and digits in
+    lower case. Documents shorter than an item, null and empty texts hold none of it.
+    Rows are searched each by itself; of those of a doc_id the best window counts. Rows
+    of an item_id are one item; a null id is one too. Other columns are not read.
+    """
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "size")).alias("best")
-    similar = matches(printed, items).where(F.col("similarity") >= threshold)
+    similar = _found(docs, benchmark, threshold, doc_id, text)
     return similar.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.start")).cast("int").alias("start_word"), F.col("best.size").alias("n_words")
     )
 
 
 def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, start, size, item_id, similarity) of all windows and items of one size within RADIUS bits, each pair once.
+    """(doc_id, text_hash, start, size, item_id, similarity) of all windows and items of one size within RADIUS bits, each pair once.
 
     The blocks of an item are entered with all changes of up to FLIPS bits, those of a
     window as they are. A pair is taken at the first block in which they meet.
@@ -139,8 +145,8 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
     near = probes.join(keys, ["size", "j", "value"]).where((F.bit_count(differ) <= RADIUS) & first)
     texts = _small(printed.select(F.col("item_id").alias("own_id"), F.col("size").alias("own_size"), F.col("item_print").alias("own_print"), "item_hashes"))
     same = F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("size") == F.col("own_size")) & (F.col("item_print") == F.col("own_print"))
-    pairs = near.select("doc_id", "start", "size", "hashes", "item_id", "item_print").join(texts, same)
-    return pairs.select("doc_id", "start", "size", "item_id", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"))
+    pairs = near.select("doc_id", "text_hash", "start", "size", "hashes", "item_id", "item_print").join(texts, same)
+    return pairs.select("doc_id", "text_hash", "start", "size", "item_id", similarity(F.col("hashes"), F.col("item_hashes")).alias("similarity"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -153,6 +159,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose document holds no benchmark item."""
-    held = keep(find(docs, benchmark, threshold).select(F.col("doc_id").alias("held_id")).distinct(), "held")
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]), "left_anti")
+    """The rows of ``docs``, unchanged, whose own text holds no benchmark item."""
+    held = _found(docs, benchmark, threshold).select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash")).distinct()
+    held = keep(held, "held")
+    same = docs["doc_id"].eqNullSafe(held["held_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held["held_hash"])
+    return docs.join(held, same, "left_anti")

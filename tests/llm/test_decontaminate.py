@@ -74,6 +74,16 @@ def test_documents_with_items_go(spark, made):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in made[0] if d not in held)
 
 
+def test_clean_rows_of_an_id_with_items_stay(spark):
+    said = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, said)], "item_id long, text string")
+    rows = [(None, said), (None, "nothing of it"), (None, None), (7, "x " + said), (7, "clean text"), (8, said[:18]), (8, said[18:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in D.without_items(docs, items).collect()), key=str)
+    assert kept == sorted([r for r in rows if said not in (r[1] or "")], key=str)
+    assert {r.doc_id for r in D.find(docs, items).collect()} == {None, 7}
+
+
 def test_blocks_guarantee_the_radius():
     dice = random.Random(9)
     for _ in range(500):
