@@ -133,16 +133,20 @@ _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 class Encoder(dict):
-    """Word to the bytes of its ids. Between words no piece spans, so each is segmented by itself and remembered."""
+    """Word to the bytes of its ids. Between words no piece spans, so each is segmented by itself and remembered.
+
+    Nor does one span two characters that are not neighbours, so a word is cut there.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.older = model, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None and len(word) > 1 and word[-2:] not in self.model.neighbours:
-            found = self[word[:-1]] + self[word[-1]]  # a mark behind a word
+        found, near = self.older.get(word), self.model.neighbours
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in near] if found is None else []
+        if cuts:
+            found = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
         elif found is None:
             known, parts = self.model.ids, segment(word, self.model)
             found = array("i", [i for p in parts for i in ((known[p],) if p in known else ids_of(p, self.model))]).tobytes()

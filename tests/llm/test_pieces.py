@@ -40,6 +40,14 @@ def test_chunks_do_not_matter_and_text_comes_back(spark, model, chunk):
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in coded.collect()), key=str) == want
 
 
+def test_long_words_without_spaces(model):
+    dice = random.Random(6)
+    for signs in ("漢字中文日本語", "0123456789", "กขคงจ", "a漢1"):
+        text = "".join(dice.choices(signs, k=5000))
+        whole = P.normalised(text, model)
+        assert P.Encoder(model).encode(whole).tolist() == slow_ids(text, model)
+
+
 def test_matrices_of_any_vocabulary(model):
     """A vocabulary whose pieces span words: no cuts, only matrices."""
     dice = random.Random(2)
