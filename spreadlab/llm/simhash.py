@@ -143,7 +143,12 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     no other, the one with the smallest hash stays; rows that repeat it stay once.
     """
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    first = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(docs, near_duplicates(docs, **options), doc_id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``first_of_each`` of the components ``found(doc_id, text_hash, component, component_id)``."""
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.groupBy("component").agg(F.min("text_hash").alias("kept_hash"), F.min("component_id").alias("kept_id"))
     kept = keep(kept.select("kept_id", "kept_hash").distinct(), "kept")
     mark = "_text_hash"
