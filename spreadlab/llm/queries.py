@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, decontaminate, lines, neighbours, personal, pieces, quality, simhash, urls, warc
+from spreadlab.llm import alignment, chat, decontaminate, languages, lines, neighbours, personal, pieces, quality, simhash, urls, variants, warc
 from spreadlab.llm.common import folder, table
 from spreadlab.session import prepare
 
@@ -203,6 +203,49 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, form and root."""
+    found = variants.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# The checksum goes byte by byte through a table that is made of its polynomial.
+_SQL["op11_spelling_variants"] = """
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
+    list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+    translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+each AS MATERIALIZED (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS x FROM runs GROUP BY 1, 2),
+hashed AS MATERIALIZED (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295) AS h FROM each, crc),
+damaged AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) + 2 AS INT)) ELSE run END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM less a JOIN v b ON a.d = b.word UNION SELECT b.word, a.word FROM less a JOIN v b ON a.d = b.word),
+best AS (SELECT x.word, count(*) AS n_near, first(x.near ORDER BY v.n DESC, x.near) AS form, max(v.n) AS form_n FROM near x JOIN v ON v.word = x.near GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+    CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (SELECT word, word AS root FROM f UNION SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL) w ON w.word = f.word
+"""
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers' tokens of every document aligned, with how usual their links are."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return languages.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
