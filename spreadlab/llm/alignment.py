@@ -1,8 +1,9 @@
 """Alignment of two tokenizers: groups of tokens between common cuts, and how usual each pair of ids is.
 
-The spans that the libraries report are coarse cuts: character offsets of one tokenizer, byte
-spans of the other's immutable result. Where a cut falls inside a multibyte character or
-belongs to a byte-fallback token, it is refined with the bytes that the tokens decode to.
+The spans that the libraries report are coarse cuts: character offsets of one tokenizer, and the
+other's spans of its immutable result, which its newer versions return as an offset mapping. Where a cut falls
+inside a multibyte character or belongs to a byte-fallback token, it is refined with the bytes that
+the tokens decode to.
 
 A text is cut at single spaces and line ends between other characters, which no token of
 either tokenizer crosses, so the alignment of a whole text is that of its parts in a row, and
@@ -30,9 +31,11 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Between characters that are no white space, before a space or line end.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-# Parts that a worker remembers, and the longest that it does.
-KNOWN_PARTS = 400_000
-LONGEST_KNOWN = 64
+# Parts and links that a worker remembers.
+KNOWN_PARTS = 500_000
+KNOWN_LINKS = 8_000_000
+# Characters of new parts that are encoded as one text.
+TOGETHER = 1 << 14
 # Links of a block: documents whose ids are counted and looked up together.
 BLOCK_LINKS = 1 << 21
 # Ids of the second tokenizer are below this.
@@ -52,22 +55,23 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def refined_ends(starts: Sequence[int], ends: Sequence[int], decoded: Sequence[bytes]) -> list[int]:
-    """Byte ends of tokens from coarse byte spans and decoded bytes.
+def refined_ends(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from their character spans, the byte each character starts at, and the bytes they decode to.
 
-    A coarse end holds unless the token's span is empty, or the next token starts before it: then
-    both share a character, and the cut is where the token's bytes end.
+    A coarse end holds unless the token's span is empty or shares a character with the next token's: then
+    the cut is as many bytes behind the last one that held as the tokens since decode to.
     """
-    out, at = [], 0
-    for i, (end, part) in enumerate(zip(ends, decoded)):
-        shared = end <= at or end == starts[i] or (i + 1 < len(starts) and (starts[i + 1] < end or ends[i + 1] <= end))
-        at = at + len(part) if shared else end
-        out.append(at)
-    return out
+    if not len(ends):
+        return np.empty(0, np.int64)
+    coarse, read = at[ends], np.cumsum(sizes)
+    next_start, next_end = np.append(starts[1:], ends[-1]), np.append(ends[1:], ends[-1] + 1)
+    shared = (starts == ends) | (next_start < ends) | (next_end <= ends)
+    last = np.maximum.accumulate(np.where(shared, -1, np.arange(len(ends))))
+    return np.where(last < 0, read, coarse[last] + read - read[last])
 
 
-class Aligner(dict):
-    """Parts of texts to their place in the lists of what is known of them."""
+class Aligner:
+    """What is known of the parts of texts: tokens, groups, and the id pair of every link."""
 
     def __init__(self, byte_level: str = BYTE_LEVEL, pieces: str = PIECES):
         import sentencepiece
@@ -87,100 +91,121 @@ class Aligner(dict):
         self.second_bytes = [
             bytes([int(name[3:5], 16)]) if self.second.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)
         ]
+        self.sizes = [np.array([len(b) for b in table], np.int64) for table in (self.first_bytes, self.second_bytes)]
         self.mark = self.second.piece_to_id(SPACE)
         # Only then may a text be cut: pieces have a space mark at their start alone and hold no line end.
         self.cuts = not any(SPACE in name.lstrip(SPACE) or "\n" in name for name in names)
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.counts: list[tuple[int, int, int]] = []
-        self.groups: list[str | None] = []
-        self.codes: list[np.ndarray] = []
+        self.places: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.empty((0, 4), np.int64)
+        self.starts = np.empty(0, np.int64)
+        self.codes = np.empty(0, np.int64)
+        self.used = 0
 
     def parts(self, text: str) -> list[str]:
         """A space and the text, cut."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
     def learn(self, parts: list[str]) -> None:
-        """Align parts; one whose tokens do not spell it out has no groups."""
-        ours = self.first.encode_batch(parts, add_special_tokens=False)
+        """Align new parts, many in a row as one text: each starts where a text may be cut."""
+        row, size = [], 0
+        for part in parts:
+            # Behind white space nothing may follow.
+            alone = not self.cuts or part[-1].isspace()
+            if row and (alone or size > TOGETHER):
+                self._learn(row)
+                row, size = [], 0
+            if alone:
+                self._learn([part])
+            else:
+                row.append(part)
+                size += len(part)
+        if row:
+            self._learn(row)
+
+    def _learn(self, parts: list[str]) -> None:
+        text = "".join(parts)
+        raw = text.encode()
+        ours = self.first.encode(text, add_special_tokens=False)
         # The second tokenizer puts a space before what it gets.
-        theirs = self.second.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1, return_type="proto")
-        for part, a, b in zip(parts, ours, theirs):
-            self[part] = len(self.counts)
-            self._add(part, a, b)
-
-    def _add(self, part: str, a, b) -> None:
-        raw = part.encode()
-        if len(raw) == len(part):
-            at: Sequence[int] = range(len(part) + 1)
-        else:
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in part])]).tolist()
-        a_ids = a.ids
-        a_bytes = [self.first_bytes[i] for i in a_ids]
-        spans = a.offsets
-        a_ends = refined_ends([at[s] for s, _ in spans], [at[e] for _, e in spans], a_bytes)
-        spaced = part[0] == " "
-        pieces = [(p.id, p.begin + 1, p.end + 1) if spaced else (p.id, p.begin, p.end) for p in b.pieces]
-        if not spaced and pieces and pieces[0][0] == self.mark:
-            pieces = pieces[1:]
-        elif spaced and pieces:
-            pieces[0] = (pieces[0][0], 0, pieces[0][2])
-        b_ids = [p[0] for p in pieces]
-        b_bytes = [self.second_bytes[i] for i in b_ids]
-        b_ends = refined_ends([p[1] for p in pieces], [p[2] for p in pieces], b_bytes)
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            self.counts.append((0, 0, 0))
-            self.groups.append(None)
-            self.codes.append(np.empty(0, np.int64))
+        spaced = text[0] == " "
+        theirs = self.second.encode(text[1:] if spaced else text, return_type="offset_mapping")
+        a_ids, b_ids = np.array(ours.ids, np.int64), np.array(theirs["ids"], np.int64)
+        a_spans = np.array(ours.offsets, np.int64).reshape(-1, 2)
+        b_spans = np.array(theirs["offsets"], np.int64).reshape(-1, 2) + spaced
+        if spaced and len(b_ids):
+            b_spans[0, 0] = 0
+        elif len(b_ids) and b_ids[0] == self.mark:
+            b_ids, b_spans = b_ids[1:], b_spans[1:]
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]).astype(np.int64)
+        spelled = [b"".join([table[i] for i in ids.tolist()]) for table, ids in ((self.first_bytes, a_ids), (self.second_bytes, b_ids))]
+        if spelled[0] != raw or spelled[1] != raw:
+            if len(parts) == 1:
+                self._add(parts, [""], np.array([[-1, -1, -1, 0]]), np.empty(0, np.int64))
+            else:
+                self._learn(parts[: len(parts) // 2])
+                self._learn(parts[len(parts) // 2 :])
             return
-        groups, codes = _merge(a_ids, a_ends, b_ids, b_ends)
-        self.counts.append((len(a_ids), len(b_ids), len(groups)))
-        self.groups.append(";".join(groups))
-        self.codes.append(np.array(codes, np.int64))
+        a_ends = refined_ends(a_spans[:, 0], a_spans[:, 1], at, self.sizes[0][a_ids])
+        b_ends = refined_ends(b_spans[:, 0], b_spans[:, 1], at, self.sizes[1][b_ids])
+        # Between two neighbouring cuts of either tokenizer lies one token of each: a link.
+        cuts = np.union1d(a_ends, b_ends)
+        a, b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        common = (a_ends[a] == cuts) & (b_ends[b] == cuts)
+        a_names, b_names = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        groups, i, j = [], 0, 0
+        for i1, j1 in zip((a[common] + 1).tolist(), (b[common] + 1).tolist()):
+            groups.append(",".join(a_names[i:i1]) + "|" + ",".join(b_names[j:j1]))
+            i, j = i1, j1
+        stops = at[np.cumsum([len(p) for p in parts])]
+        upto = [np.searchsorted(a_ends, stops) + 1, np.searchsorted(b_ends, stops) + 1, np.cumsum(common)[np.searchsorted(cuts, stops)], np.searchsorted(cuts, stops) + 1]
+        counts = np.diff(np.stack(upto, 1), axis=0, prepend=0)
+        of_part, k = [], 0
+        for k1 in upto[2].tolist():
+            of_part.append(";".join(groups[k:k1]))
+            k = k1
+        self._add(parts, of_part, counts, a_ids[a] * IDS + b_ids[b])
+
+    def _add(self, parts: list[str], groups: list[str], counts: np.ndarray, codes: np.ndarray) -> None:
+        n, links = len(self.groups), self.used
+        self.places.update(zip(parts, range(n, n + len(parts))))
+        self.groups += groups
+        if n + len(parts) > len(self.counts):
+            self.counts = np.concatenate([self.counts[:n], np.empty((n + len(parts), 4), np.int64)])
+            self.starts = np.concatenate([self.starts[:n], np.empty(n + len(parts), np.int64)])
+        if links + len(codes) > len(self.codes):
+            self.codes = np.concatenate([self.codes[:links], np.empty(links + len(codes), np.int64)])
+        self.counts[n : n + len(parts)] = counts
+        self.starts[n : n + len(parts)] = links + np.cumsum(counts[:, 3]) - counts[:, 3]
+        self.codes[links : links + len(codes)] = codes
+        self.used += len(codes)
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """Per text the counts of tokens and groups, the digest of the groups, and the id pair of every link."""
         cut = [self.parts(t) if t else [] for t in texts]
-        missing = {p for parts in cut for p in parts if p not in self}
-        if missing:
-            self.learn(list(missing))
+        new = set().union(*cut).difference(self.places)
+        if new:
+            self.learn(list(new))
         out = []
         for parts in cut:
-            places = [self[p] for p in parts]
-            groups = [self.groups[i] for i in places]
-            if not parts or None in groups:
+            places = [self.places[p] for p in parts]
+            counts = self.counts[places]
+            if not parts or counts[:, 0].min() < 0:
                 out.append((0, 0, 0, "", np.empty(0, np.int64)))
                 continue
-            a, b, n = np.array([self.counts[i] for i in places], np.int64).sum(0).tolist()
-            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-            out.append((a, b, n, digest, np.concatenate([self.codes[i] for i in places])))
-        if len(self) > KNOWN_PARTS:
+            a, b, n, links = counts.sum(0).tolist()
+            digest = hashlib.sha256(";".join([self.groups[i] for i in places]).encode()).hexdigest()
+            skipped = self.starts[places] - np.cumsum(counts[:, 3]) + counts[:, 3]
+            out.append((a, b, n, digest, self.codes[np.arange(links) + np.repeat(skipped, counts[:, 3])]))
+        if len(self.places) > KNOWN_PARTS or self.used > KNOWN_LINKS:
             self.forget()
-        else:
-            for part in [p for p in missing if len(p) > LONGEST_KNOWN]:
-                place = self.pop(part)
-                self.groups[place], self.codes[place] = None, np.empty(0, np.int64)
         return out
 
 
-def _merge(a_ids: Sequence[int], a_ends: Sequence[int], b_ids: Sequence[int], b_ends: Sequence[int]) -> tuple[list[str], list[int]]:
-    """The groups between common ends, written ``a1,a2|b1``, and the id pairs of tokens that overlap."""
-    groups, codes, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    while i < len(a_ids):
-        codes.append(a_ids[i] * IDS + b_ids[j])
-        x, y = a_ends[i], b_ends[j]
-        if x <= y:
-            i += 1
-        if y <= x:
-            j += 1
-        if x == y:
-            groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-            i0, j0 = i, j
-    return groups, codes
-
-
 @lru_cache(maxsize=2)
 def _aligner(byte_level: str, pieces: str) -> Aligner:
     """One per worker: what it knows outlives a task."""

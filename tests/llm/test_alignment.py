@@ -3,11 +3,10 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
-import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from spreadlab.llm import alignment
 
@@ -22,9 +21,12 @@ TEXTS = [
 ]
 
 
+ALIGNER = alignment.Aligner()
+
+
 @pytest.fixture(scope="module")
 def aligner():
-    return alignment.Aligner()
+    return ALIGNER
 
 
 def whole(aligner, text):
@@ -67,11 +69,27 @@ def test_cut_texts_equal_whole_ones(aligner, text):
     same(aligner, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n.'aeé世▁")), max_size=20), max_size=12))
+def test_parts_learned_together(texts):
+    fresh = ALIGNER
+    fresh.forget()
+    for text, found in zip(texts, fresh.align(texts)):
+        a, b, groups, digest, links = brute(fresh, text)
+        assert found[:4] == (a, b, groups, digest)
+        assert Counter(found[4].tolist()) == Counter(x * alignment.IDS + y for x, y in links)
+
+
 def test_refined_ends():
+    def ends(spans, widths, decoded):
+        spans, at = np.array(spans), np.concatenate([[0], np.cumsum(widths)])
+        return alignment.refined_ends(spans[:, 0], spans[:, 1], at, np.array([len(d) for d in decoded])).tolist()
+
     # Three tokens of one character, reported as one span each, then a plain one.
-    assert alignment.refined_ends([0, 0, 0, 3], [3, 3, 3, 4], [b"\xe4", b"\xb8", b"\x96", b"x"]) == [1, 2, 3, 4]
-    assert alignment.refined_ends([0, 3, 3, 3], [3, 3, 3, 6], [b"abc", b"\xe9", b"\xbe", b"\x98"]) == [3, 4, 5, 6]
-    assert alignment.refined_ends([0, 4], [4, 5], [b"abcd", b"e"]) == [4, 5]
+    assert ends([(0, 1), (0, 1), (0, 1), (1, 2)], [3, 1], [b"\xe4", b"\xb8", b"\x96", b"x"]) == [1, 2, 3, 4]
+    # Byte fallback: all but the last token have an empty span.
+    assert ends([(0, 3), (3, 3), (3, 3), (3, 4)], [1, 1, 1, 3], [b"abc", b"\xe9", b"\xbe", b"\x98"]) == [3, 4, 5, 6]
+    assert ends([(0, 4), (4, 5)], [1] * 5, [b"abcd", b"e"]) == [4, 5]
 
 
 def expected(aligner, texts):
