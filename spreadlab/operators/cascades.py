@@ -19,12 +19,16 @@ from spreadlab.session import settle
 
 # -------------------------------------------------------------- pointer chains
 
+# Ancestors that are listed for a post; longer ways are counted only.
+LONGEST_PATH = 64
 
-def _arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> DataFrame:
+
+def arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> DataFrame:
     """Follow pointers (scope, post_id, up, done) to where they arrive, by doubling their reach.
 
-    ``done`` marks pointers whose ``up`` is already the end of the chain; an
-    optional ``path`` is joined along the way. Each round lets a pointer jump to
+    ``done`` marks pointers whose ``up`` is already the end of the chain; optional
+    ``steps`` are added up along the way, and an optional ``path`` is joined until it is
+    longer than ``LONGEST_PATH``, then it is null. Each round lets a pointer jump to
     where its target points, so a chain of n posts takes log2(n) joins. The
     rounds run only over posts that others point to; the rest, most posts of a
     widely shared original, take a single join at the end, and posts pointing
@@ -32,7 +36,8 @@ def _arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> D
     round without an arrival is the last. ``several`` says that a post may have
     more than one pointer, so that ways can meet and repeated pairs are removed.
     """
-    path = "path" in pointers.columns
+    path, steps = "path" in pointers.columns, "steps" in pointers.columns
+    fits = F.size("path") + F.size("more") <= LONGEST_PATH
 
     def jump(moving: DataFrame, ahead: DataFrame) -> DataFrame:
         target = ahead.select(
@@ -41,6 +46,7 @@ def _arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> D
             F.col("up").alias("next"),
             F.col("done").alias("arrives"),
             *([F.col("path").alias("more")] if path else []),
+            *([F.col("steps").alias("further")] if steps else []),
         )
         out = (
             moving.drop("done")
@@ -50,7 +56,8 @@ def _arrivals(pointers: DataFrame, scope: list[str], several: bool = False) -> D
                 "post_id",
                 F.col("next").alias("up"),
                 F.col("arrives").alias("done"),
-                *([F.concat("path", "more").alias("path")] if path else []),
+                *([F.when(fits, F.concat("path", "more")).alias("path")] if path else []),
+                *([(F.col("steps") + F.col("further")).alias("steps")] if steps else []),
             )
         )
         return out.distinct() if several else out
@@ -101,7 +108,7 @@ def members(posts: DataFrame) -> DataFrame:
     pointers = settle(pointers, "pointers")
     # Posts collected several times may carry other references each time.
     several = not pointers.groupBy("post_id").count().where(F.col("count") > 1).isEmpty()
-    arrived = _arrivals(pointers, [], several)
+    arrived = arrivals(pointers, [], several)
     return arrived.select(F.col("up").alias("cascade_id"), "post_id")
 
 
@@ -349,49 +356,70 @@ def cascade_tree(nodes: DataFrame, refs: DataFrame, network_edges: DataFrame) ->
 
 
 def _tree_paths(edges: DataFrame) -> DataFrame:
-    """(cascade_id, post_id, path): the ancestors of a post below the root."""
+    """(cascade_id, post_id, depth, path): steps to the root, and the ancestors below it unless they are too many."""
     at_root = F.col("parent") == F.col("cascade_id")
     pointers = edges.select(
         "cascade_id",
         F.col("child").alias("post_id"),
         F.col("parent").alias("up"),
         at_root.alias("done"),
+        F.lit(1).alias("steps"),
         F.when(at_root, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("path"),
     )
-    return _arrivals(settle(pointers, "pointers"), ["cascade_id"]).select("cascade_id", "post_id", "path")
+    arrived = arrivals(settle(pointers, "pointers"), ["cascade_id"])
+    return arrived.select("cascade_id", "post_id", F.col("steps").alias("depth"), "path")
 
 
-def _walk_depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cascade_id, post_id, depth) by walking all cascades one level at a time."""
-    steps = edges.select("cascade_id", F.col("parent").alias("at"), F.col("child").alias("post_id"))
-    frontier = settle(roots.select("cascade_id", F.col("cascade_id").alias("post_id")), "walk")
-    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
-    while True:
-        depth += 1
-        near = frontier.withColumnRenamed("post_id", "at").join(steps, ["cascade_id", "at"])
-        near = near.select("cascade_id", "post_id").distinct()
-        frontier = settle(near.join(seen, ["cascade_id", "post_id"], "left_anti"), "walk")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+def _least_depths(edges: DataFrame) -> DataFrame:
+    """(cascade_id, post_id, depth): the fewest steps from the root to every post it reaches, the root itself included.
+
+    Posts with one parent point up, and doubling leads each to the next post above with several parents, or to
+    the root, with a number of steps. Among those posts alone, ways are relaxed round by round: a chain of any length
+    is one step there.
+    """
+    edges = settle(edges.distinct(), "edges")
+    parents = edges.groupBy("cascade_id", "child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("up"))
+    parents = settle(parents.withColumnRenamed("child", "post_id"), "parents")
+    meets = parents.where(F.col("n") > 1).select("cascade_id", F.col("post_id").alias("up"), F.lit(True).alias("meet"))
+    pointers = parents.where(F.col("n") == 1).join(meets, ["cascade_id", "up"], "left")
+    done = (F.col("up") == F.col("cascade_id")) | F.col("meet").isNotNull()
+    pointers = settle(pointers.select("cascade_id", "post_id", "up", done.alias("done"), F.lit(1).alias("steps")), "pointers")
+    chains = settle(arrivals(pointers, ["cascade_id"]).select("cascade_id", "post_id", F.col("up").alias("end"), "steps"), "chains")
+    ends = meets.select("cascade_id", F.col("up").alias("post_id")).unionByName(edges.select("cascade_id", F.col("cascade_id").alias("post_id")).distinct())
+    placed = chains.unionByName(ends.select("cascade_id", "post_id", F.col("post_id").alias("end"), F.lit(0).alias("steps")))
+    into = edges.join(meets.select("cascade_id", F.col("up").alias("child")), ["cascade_id", "child"], "left_semi")
+    ways = into.join(placed.withColumnRenamed("post_id", "parent"), ["cascade_id", "parent"])
+    ways = settle(ways.groupBy("cascade_id", "end", "child").agg((F.min("steps") + 1).alias("long")), "ways")
+    known = settle(edges.select("cascade_id", F.col("cascade_id").alias("end"), F.lit(0).alias("depth")).distinct(), "depths")
+    fresh = known
+    while not fresh.isEmpty():
+        offers = fresh.join(ways, ["cascade_id", "end"]).groupBy("cascade_id", F.col("child").alias("end")).agg(F.min(F.col("depth") + F.col("long")).alias("offer"))
+        merged = settle(known.join(offers, ["cascade_id", "end"], "full"), "depths")
+        better = F.col("depth").isNull() | (F.col("offer") < F.col("depth"))
+        fresh = merged.where(better).select("cascade_id", "end", F.col("offer").alias("depth"))
+        known = merged.select("cascade_id", "end", F.least("depth", "offer").alias("depth"))
+    return placed.join(known, ["cascade_id", "end"]).select("cascade_id", "post_id", (F.col("depth") + F.col("steps")).alias("depth"))
+
+
+def _nearest_parents(edges: DataFrame) -> DataFrame:
+    """Of several parents the one nearest to the root, of those the first by id; unreached posts have none."""
+    depths = settle(_least_depths(edges), "depths")
+    above = depths.select("cascade_id", F.col("post_id").alias("parent"), F.col("depth").alias("above"))
+    near = edges.join(above, ["cascade_id", "parent"]).groupBy("cascade_id", "child").agg(F.min(F.struct("above", "parent")).alias("best"))
+    return near.select("cascade_id", F.col("best.parent").alias("parent"), "child").where(F.col("child") != F.col("cascade_id"))
 
 
 def cascade_positions(nodes: DataFrame, tree: Tree) -> DataFrame:
     """Depth of every post below the root (-1 when it cannot be reached) and its path.
 
-    ``path`` lists the ancestors below the root, and is null in cascades that
-    are not trees.
+    ``path`` lists the ancestors below the root, nearest first; where posts have several parents, by the
+    nearest one. It is null for unreached posts and for those with more than ``LONGEST_PATH`` ancestors.
     """
-    simple = tree.edges if tree.tangled is None else tree.edges.join(tree.tangled, "cascade_id", "left_anti")
-    paths = _tree_paths(simple).withColumn("depth", F.size("path") + 1)
-    placed = paths.select("cascade_id", "post_id", "depth", "path")
+    edges = tree.edges
     if tree.tangled is not None:
-        walked = _walk_depths(tree.edges.join(tree.tangled, "cascade_id", "left_semi"), tree.tangled)
-        placed = placed.unionByName(
-            walked.where(F.col("depth") > 0).select(
-                "cascade_id", "post_id", "depth", F.lit(None).cast("array<string>").alias("path")
-            )
-        )
+        inside = tree.edges.join(tree.tangled, "cascade_id", "left_semi")
+        edges = tree.edges.join(tree.tangled, "cascade_id", "left_anti").unionByName(_nearest_parents(inside))
+    placed = _tree_paths(edges)
     heads = nodes.where(F.col("post_id") == F.col("cascade_id")).select(
         "cascade_id", "post_id", "created_at", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")
     )

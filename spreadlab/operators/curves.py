@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.operators.cascades import Tree
+from spreadlab.operators.distances import KEY, distances_by_walks, distances_in_tangles, shared_in_long_trees
 from spreadlab.operators.prefix import GROUP_ROWS, running
 from spreadlab.session import settle
 
-KEY = ["cascade_id", "created_at"]
-
 
 def _breadth(placed: DataFrame, group_rows: int, at_most: int) -> DataFrame:
     """Posts at a depth so far, at each time a post of that depth arrives."""
@@ -36,38 +35,15 @@ def _shared_in_trees(placed: DataFrame, group_rows: int, at_most: int) -> DataFr
     return counted.groupBy(*KEY).agg(F.sum(now * now - was * was).alias("shared"))
 
 
-def _distances_in_graphs(placed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Growth of the sum of distances between two posts in cascades that are not trees.
-
-    Without the tree structure the average distance needs a walk from every
-    post; walks run one level at a time over all such cascades, keyed by
-    (cascade, start, post), and are reduced to times at every level.
-    """
-    links = edges.select("cascade_id", F.col("parent").alias("at"), F.col("child").alias("to"))
-    links = links.unionByName(links.select("cascade_id", F.col("to").alias("at"), F.col("at").alias("to"))).distinct()
-    links = settle(links, "links")
-    nodes = placed.select("cascade_id", "post_id", "created_at")
-    frontier = settle(
-        nodes.select("cascade_id", F.col("post_id").alias("start"), F.col("post_id").alias("at"), F.col("created_at").alias("began")),
-        "walk",
-    )
-    seen, length, total = frontier.select("cascade_id", "start", "at"), 0, None
-    while True:
-        length += 1
-        near = frontier.join(links, ["cascade_id", "at"]).select("cascade_id", "start", F.col("to").alias("at"), "began")
-        near = near.distinct().join(seen, ["cascade_id", "start", "at"], "left_anti")
-        frontier = settle(near, "walk")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.select("cascade_id", "start", "at"))
-        met = frontier.join(nodes.withColumnRenamed("post_id", "at"), ["cascade_id", "at"])
-        level = met.groupBy("cascade_id", F.greatest("began", "created_at").alias("created_at")).agg(
-            (F.count(F.lit(1)) * length).cast("double").alias("apart")
-        )
-        total = level if total is None else total.unionByName(level)
-    if total is None:
-        return nodes.select(*KEY, F.lit(0.0).alias("apart")).limit(0)
-    return total.groupBy(*KEY).agg(F.sum("apart").alias("apart"))
+def _kinds(positions: DataFrame, tree: Tree) -> DataFrame:
+    """(cascade_id, kind) of the cascades that are no shallow trees: 'long', 'tangled' or 'walked'."""
+    unplaced = positions.where(F.col("path").isNull())
+    marks = unplaced.groupBy("cascade_id").agg(F.bool_or(F.col("depth") < 0).alias("lost"), F.bool_or(F.col("depth") > 0).alias("long"))
+    tangled = marks.select("cascade_id").limit(0) if tree.tangled is None else tree.tangled
+    marks = marks.join(tangled.withColumn("tangled", F.lit(True)), "cascade_id", "full")
+    lost, is_long, is_tangled = (F.coalesce(name, F.lit(False)) for name in ("lost", "long", "tangled"))
+    kind = F.when(lost | (is_long & is_tangled), "walked").when(is_tangled, "tangled").otherwise("long")
+    return settle(marks.select("cascade_id", kind.alias("kind")), "kinds")
 
 
 def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -76,16 +52,18 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
     Values at equal times are those after all posts of that time. Virality is
     the mean distance over all ordered pairs of posts so far, a post with itself
     included. ``positions`` is read several times and should be a stored table.
+    Shallow trees take a row per post and ancestor, long ones are taken apart into heavy
+    paths, tangled cascades into bridges and blocks; cascades with posts that the root
+    does not reach, and long ones that are tangled, are walked from every post.
     """
     placed = positions.where(F.col("created_at").isNotNull())
-    count, steps_up, unplaced = placed.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("depth"), F.lit(0)), F.count_if(F.col("path").isNull())
-    ).first()
-    trees, odd = placed, None
-    if unplaced:
-        # Paths are unknown in cascades that are not trees or have unreachable posts.
-        odd = settle(placed.where(F.col("path").isNull()).select("cascade_id").distinct(), "odd")
-        trees = placed.join(odd, "cascade_id", "left_anti")
+    steps = F.coalesce(F.sum(F.when(F.col("path").isNotNull(), F.size("path") + 1)), F.lit(0))
+    count, steps_up, unplaced = placed.agg(F.count(F.lit(1)), steps, F.count_if(F.col("path").isNull())).first()
+    kinds = None
+    trees = placed
+    if unplaced or tree.tangled is not None:
+        kinds = _kinds(positions, tree)
+        trees = placed.join(kinds, "cascade_id", "left_anti")
     parts = [
         placed.groupBy(*KEY).agg(
             F.count(F.lit(1)).alias("n"),
@@ -95,9 +73,18 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
         _breadth(placed, group_rows, count).groupBy(*KEY).agg(F.max("wide").alias("wide")),
         _shared_in_trees(trees, group_rows, count + steps_up),
     ]
-    if odd is not None:
-        graphs = placed.join(odd, "cascade_id", "left_semi")
-        parts.append(_distances_in_graphs(graphs, tree.edges.join(odd, "cascade_id", "left_semi")))
+    if kinds is not None:
+        present = {r["kind"] for r in kinds.select("kind").distinct().collect()}
+
+        def of(kind: str, df: DataFrame) -> DataFrame:
+            return df.join(kinds.where(F.col("kind") == kind), "cascade_id", "left_semi")
+
+        if "long" in present:
+            parts.append(shared_in_long_trees(of("long", placed), of("long", tree.edges), group_rows).withColumnRenamed("growth", "shared"))
+        if "tangled" in present:
+            parts.append(distances_in_tangles(of("tangled", positions), of("tangled", tree.edges), group_rows))
+        if "walked" in present:
+            parts.append(distances_by_walks(of("walked", placed), of("walked", tree.edges)))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
@@ -122,13 +109,11 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
         at_most=count,
     )
     size = F.col("size")
-    in_tree = 2 * (size * F.col("all_depths") - F.col("all_shared"))
+    distance = 2 * (size * F.col("all_depths") - F.col("all_shared")) + F.col("all_apart")
     out = curve
-    if odd is not None:
-        out = out.join(odd.withColumn("odd", F.lit(True)), "cascade_id", "left")
-        distance = F.when(F.col("odd"), F.col("all_apart")).otherwise(in_tree)
-    else:
-        distance = in_tree
+    if kinds is not None:
+        out = out.join(kinds, "cascade_id", "left")
+        distance = F.when(F.col("kind") == "walked", F.col("all_apart")).otherwise(distance)
     return out.select(
         "cascade_id", "created_at", "size", "depth", "max_breadth", (distance / (size * size)).alias("virality")
     )
