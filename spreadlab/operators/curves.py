@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.operators.cascades import Tree
-from spreadlab.operators.distances import KEY, distances_by_walks, distances_in_tangles, shared_in_long_trees
+from spreadlab.operators.distances import KEY, distances_by_walks, distances_in_tangles, shared_in_long_trees, spanning_positions
 from spreadlab.operators.prefix import GROUP_ROWS, running
 from spreadlab.session import settle
 
@@ -35,15 +35,17 @@ def _shared_in_trees(placed: DataFrame, group_rows: int, at_most: int) -> DataFr
     return counted.groupBy(*KEY).agg(F.sum(now * now - was * was).alias("shared"))
 
 
-def _kinds(positions: DataFrame, tree: Tree) -> DataFrame:
+def _kinds(positions: DataFrame, tangled: DataFrame | None, left_out: DataFrame | None) -> DataFrame:
     """(cascade_id, kind) of the cascades that are no shallow trees: 'long', 'tangled' or 'walked'."""
     unplaced = positions.where(F.col("path").isNull())
-    marks = unplaced.groupBy("cascade_id").agg(F.bool_or(F.col("depth") < 0).alias("lost"), F.bool_or(F.col("depth") > 0).alias("long"))
-    tangled = marks.select("cascade_id").limit(0) if tree.tangled is None else tree.tangled
-    marks = marks.join(tangled.withColumn("tangled", F.lit(True)), "cascade_id", "full")
-    lost, is_long, is_tangled = (F.coalesce(name, F.lit(False)) for name in ("lost", "long", "tangled"))
-    kind = F.when(lost | (is_long & is_tangled), "walked").when(is_tangled, "tangled").otherwise("long")
-    return settle(marks.select("cascade_id", kind.alias("kind")), "kinds")
+    if tangled is not None:
+        unplaced = unplaced.join(tangled, "cascade_id", "left_anti")
+    lost = F.bool_or(F.col("depth") < 0)
+    kinds = unplaced.groupBy("cascade_id").agg(F.when(lost, "walked").otherwise("long").alias("kind"))
+    if tangled is not None:
+        left = left_out.select("cascade_id", F.lit("walked").alias("kind")).distinct()
+        kinds = kinds.unionByName(left).unionByName(tangled.join(left, "cascade_id", "left_anti").withColumn("kind", F.lit("tangled")))
+    return settle(kinds, "kinds")
 
 
 def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -53,8 +55,8 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
     the mean distance over all ordered pairs of posts so far, a post with itself
     included. ``positions`` is read several times and should be a stored table.
     Shallow trees take a row per post and ancestor, long ones are taken apart into heavy
-    paths, tangled cascades into bridges and blocks; cascades with posts that the root
-    does not reach, and long ones that are tangled, are walked from every post.
+    paths, tangled cascades into bridges and blocks; cascades with posts that no way joins to
+    the root, and tangled ones that are long, are walked from every post.
     """
     placed = positions.where(F.col("created_at").isNotNull())
     steps = F.coalesce(F.sum(F.when(F.col("path").isNotNull(), F.size("path") + 1)), F.lit(0))
@@ -62,7 +64,11 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
     kinds = None
     trees = placed
     if unplaced or tree.tangled is not None:
-        kinds = _kinds(positions, tree)
+        spanning = left_out = None
+        if tree.tangled is not None:
+            inside = [df.join(tree.tangled, "cascade_id", "left_semi") for df in (positions, tree.edges)]
+            spanning, left_out = spanning_positions(*inside)
+        kinds = _kinds(positions, tree.tangled, left_out)
         trees = placed.join(kinds, "cascade_id", "left_anti")
     parts = [
         placed.groupBy(*KEY).agg(
@@ -82,7 +88,7 @@ def cascade_curves(positions: DataFrame, tree: Tree, group_rows: int = GROUP_ROW
         if "long" in present:
             parts.append(shared_in_long_trees(of("long", placed), of("long", tree.edges), group_rows).withColumnRenamed("growth", "shared"))
         if "tangled" in present:
-            parts.append(distances_in_tangles(of("tangled", positions), of("tangled", tree.edges), group_rows))
+            parts.append(distances_in_tangles(of("tangled", spanning), of("tangled", tree.edges), group_rows))
         if "walked" in present:
             parts.append(distances_by_walks(of("walked", placed), of("walked", tree.edges)))
     merged = parts[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.operators.cascades import arrivals
+from spreadlab.operators.cascades import LONGEST_PATH, arrivals
 from spreadlab.operators.components import connected
 from spreadlab.operators.prefix import running
 from spreadlab.session import settle
@@ -122,11 +122,39 @@ def _way(post: Column) -> Column:
     return F.concat(F.array(post), F.col("path"))
 
 
+def spanning_positions(positions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions in a spanning tree, whatever the edges' direction, and those of posts that it leaves out.
+
+    Reached posts keep their way to the root. The others (mostly posts from outside that a reply refers to as well)
+    hang on a neighbour, round by round. ``was`` is the depth before. Left out are posts that no way joins to
+    the root and those with too many ancestors.
+    """
+    links = settle(_both_ways(_links(edges)), "links")
+    columns = ["cascade_id", "post_id", "created_at", "depth", "was", "path"]
+    rows = positions.withColumn("was", F.col("depth")).select(columns)
+    known = settle(rows.where(F.col("path").isNotNull()), "spanning")
+    lost = settle(rows.where(F.col("path").isNull()), "lost")
+    fresh = known
+    while not lost.isEmpty():
+        way = F.when(F.col("post_id") == F.col("cascade_id"), F.array().cast("array<string>")).otherwise(_way(F.col("post_id")))
+        beside = fresh.select("cascade_id", F.col("post_id").alias("at"), way.alias("way")).where(F.size("way") <= LONGEST_PATH)
+        offers = beside.join(links, ["cascade_id", "at"]).select("cascade_id", F.col("to").alias("post_id"), "way")
+        offers = offers.join(lost.select("cascade_id", "post_id"), ["cascade_id", "post_id"], "left_semi")
+        best = offers.groupBy("cascade_id", "post_id").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("best"))
+        fresh = lost.join(best, ["cascade_id", "post_id"])
+        fresh = settle(fresh.select("cascade_id", "post_id", "created_at", (F.col("best.n") + 1).alias("depth"), "was", F.col("best.way").alias("path")), "spanning")
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+        lost = settle(lost.join(fresh, ["cascade_id", "post_id"], "left_anti").select(columns), "lost")
+    return known, lost
+
+
 class Blocks:
     """What bridges separate: the posts whose edge to the spanning tree's parent is no bridge, and the parts they form."""
 
     def __init__(self, positions: DataFrame, edges: DataFrame):
-        """``positions`` have the paths of a spanning tree with the root's distances as depths."""
+        """``positions`` are those in a spanning tree."""
         up = F.when(F.size("path") > 0, F.col("path")[0]).otherwise(F.col("cascade_id"))
         tree = positions.where(F.col("depth") > 0).select("cascade_id", F.col("post_id").alias("child"), up.alias("parent"), "path")
         tree = settle(tree, "spanning")
@@ -166,7 +194,8 @@ def distances_in_tangles(positions: DataFrame, edges: DataFrame, group_rows: int
     The sum of distances over ordered pairs of n posts is 2 (n * depths - shared) + apart. Every edge that is a
     bridge counts as in a tree. Inside a block, all posts beyond one of its posts weigh there; distances are taken by
     way of the block's top, which adds to ``depths``, and ``apart`` corrects that for two posts x and y, neither the top,
-    by d(x, y) - d(x, top) - d(y, top). ``depths`` is what comes on top of the depths in the spanning tree.
+    by d(x, y) - d(x, top) - d(y, top). ``positions`` are those in a spanning tree; ``depths`` is what is to be added
+    to the depths that were there before.
     """
     blocks = Blocks(positions, edges)
     timed = positions.where(F.col("created_at").isNotNull() & (F.col("depth") > 0))
@@ -184,6 +213,8 @@ def distances_in_tangles(positions: DataFrame, edges: DataFrame, group_rows: int
     depths = raised.select(*KEY, (F.col("n") * F.col("rise")).cast("double").alias("growth")).unionByName(
         ways.where("closed").groupBy(*KEY).agg((-F.count(F.lit(1))).cast("double").alias("growth"))
     )
+    hung = timed.where(F.col("was") != F.col("depth")).select(*KEY, (F.col("depth") - F.col("was")).cast("double").alias("growth"))
+    depths = depths.unionByName(hung)
 
     weights = raised.select("cascade_id", "block", "x", "created_at", "n", "rise")
     alone = _growth(weights, ["cascade_id", "block", "x"], {"r": "n"}, lambda r: -2 * r * r * F.col("rise"), group_rows)

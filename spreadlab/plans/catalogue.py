@@ -396,6 +396,32 @@ def cascade_curves(d):
     return d.curves
 
 
+def tangled_query(make: Callable[[SocialDataset], DataFrame]) -> Callable[[SocialDataset], DataFrame]:
+    """Register a query over the demo dataset in which replies may hang on two posts."""
+    _QUERIES[make.__name__] = lambda spark, sf_dir: rounded(make(demo.dataset(spark, sf_dir, second=True)))
+    return make
+
+
+@tangled_query
+def tangled_nodes(d):
+    return d.nodes.select("cascade_id", "post_id", "author_id", "type")
+
+
+@tangled_query
+def tangled_edges(d):
+    return d.tree.edges
+
+
+@tangled_query
+def tangled_depths(d):
+    return d.positions.select("cascade_id", "post_id", "depth")
+
+
+@tangled_query
+def tangled_curves(d):
+    return d.curves
+
+
 @query
 def cascade_node_count(d):
     return cascades.node_counts(d.nodes)

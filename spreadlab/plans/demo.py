@@ -14,7 +14,7 @@ from spreadlab import schemas
 from spreadlab.plans.dataset import SocialDataset
 from spreadlab.session import prepare
 
-_DATASETS: dict[tuple[str, str], SocialDataset] = {}
+_DATASETS: dict[tuple[str, str, bool], SocialDataset] = {}
 
 # Image names a fact check needs, also used to name the demo images.
 IMAGE_NAMES = (
@@ -31,7 +31,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    """The posts; with ``second``, a third of the replies refer to another post as well."""
     events = _table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -66,8 +67,14 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     joined = rows.join(parents, "parent", "left").join(received, "event_id", "left")
-    reference = F.col("ref").withField("type", F.col("kind"))
-    refs = F.when(F.col("ref").isNotNull(), F.array(reference)).when(
+    found = F.array(F.col("ref").withField("type", F.col("kind")))
+    if second:
+        other = F.when((F.col("kind") == "replied_to") & (F.col("k") % 3 == 0), F.col("event_id") - 1 - (F.col("k") * 7 + 11) % 100)
+        joined = joined.withColumn("other", F.when(other != F.col("parent"), other))
+        joined = joined.join(parents.withColumnsRenamed({"parent": "other", "ref": "other_ref"}), "other", "left")
+        quoted = F.array(F.col("other_ref").withField("type", F.lit("quoted")))
+        found = F.when(F.col("other_ref").isNull(), found).otherwise(F.concat(found, quoted))
+    refs = F.when(F.col("ref").isNotNull(), found).when(
         F.col("kind").isNotNull(), F.array().cast(schemas.POST["referenced_tweets"].dataType)
     )
     tags = F.array(
@@ -240,13 +247,13 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dataset(spark: SparkSession, sf_dir: str, fresh: bool = False) -> SocialDataset:
+def dataset(spark: SparkSession, sf_dir: str, fresh: bool = False, second: bool = False) -> SocialDataset:
     """The demo dataset; its tables are built once per session and directory."""
-    key = (spark.sparkContext.applicationId, str(sf_dir))
+    key = (spark.sparkContext.applicationId, str(sf_dir), second)
     if fresh or key not in _DATASETS:
         prepare(spark)
         _DATASETS[key] = SocialDataset(
-            posts(spark, sf_dir),
+            posts(spark, sf_dir, second),
             text_scores=text_scores(spark, sf_dir),
             profiles=profiles(spark, sf_dir),
             fact_checks=fact_checks(spark, sf_dir),

@@ -205,6 +205,68 @@ VIEWS: dict[str, str] = {
 }
 
 
+# The same with a second reference in a third of the replies: posts may belong to several cascades, hang on two
+# posts, and be known only as something that a member refers to.
+TANGLED = {
+    "refs": """SELECT p.id AS post_id, p.author_id, p.username, p.created_at, p.tag1, p.tag2, q.id AS ref_id, p.rtype AS ref_type,
+        q.author_id AS ref_author_id, q.username AS ref_username, q.created_at AS ref_created_at, q.is_original AS ref_original
+        FROM (SELECT *, parent AS target, kind AS rtype FROM posts UNION ALL
+              SELECT *, event_id - 1 - (k * 7 + 11) % 100 AS target, 'quoted' AS rtype FROM posts
+              WHERE kind = 'replied_to' AND k % 3 = 0 AND event_id - 1 - (k * 7 + 11) % 100 <> parent
+              AND parent IN (SELECT event_id FROM posts)) p
+        JOIN posts q ON q.event_id = p.target""",
+    # A post whose references all go to its own author ends a branch; else all of them count.
+    "steps": """SELECT post_id, ref_id, ref_original FROM refs
+        WHERE post_id IN (SELECT post_id FROM refs WHERE author_id <> ref_author_id)""",
+    "nodes": """SELECT cascade_id, cascade_id AS post_id, author_id, username, created_at, 'original' AS type FROM roots
+        UNION ALL SELECT cascade_id, post_id, any_value(author_id), any_value(username), any_value(created_at),
+          coalesce(max(type), 'other') FROM (
+            SELECT cascade_id, target AS post_id, target_author_id AS author_id, target_username AS username, target_created_at AS created_at, type FROM crefs
+            UNION ALL SELECT cascade_id, source, source_author_id, source_username, source_created_at, NULL FROM crefs)
+          WHERE post_id <> cascade_id GROUP BY cascade_id, post_id""",
+    "grown": """SELECT DISTINCT c.cascade_id, c.source AS parent, c.target AS child FROM crefs c
+        JOIN nodes n ON n.cascade_id = c.cascade_id AND n.post_id = c.target AND n.type = 'replied_to'
+        UNION ALL SELECT cascade_id, parent, child FROM spread""",
+    "loose": """SELECT n.cascade_id, n.post_id, n.created_at FROM nodes n WHERE n.post_id <> n.cascade_id AND NOT EXISTS
+        (SELECT 1 FROM grown g WHERE g.cascade_id = n.cascade_id AND g.child = n.post_id)""",
+    "sides": """SELECT cascade_id, parent AS a, child AS b FROM grown UNION SELECT cascade_id, child, parent FROM grown""",
+    "parts": """SELECT cascade_id, post_id AS head, post_id AS at FROM loose
+        UNION SELECT p.cascade_id, p.head, s.b FROM parts p JOIN sides s ON s.cascade_id = p.cascade_id AND s.a = p.at""",
+    "tree": """SELECT * FROM grown UNION ALL SELECT l.cascade_id, l.cascade_id, l.post_id FROM loose l
+        WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.cascade_id = l.cascade_id AND p.head = l.post_id AND p.at = l.cascade_id)
+        AND NOT EXISTS (SELECT 1 FROM parts p JOIN loose m ON m.cascade_id = p.cascade_id AND m.post_id = p.at
+          WHERE p.cascade_id = l.cascade_id AND p.head = l.post_id AND (m.created_at, m.post_id) < (l.created_at, l.post_id))""",
+    "steps_down": """SELECT cascade_id, cascade_id AS post_id, 0 AS depth FROM roots
+        UNION SELECT t.cascade_id, t.child, d.depth + 1 FROM steps_down d
+        JOIN tree t ON t.cascade_id = d.cascade_id AND t.parent = d.post_id""",
+    "depths": """SELECT n.cascade_id, n.post_id, coalesce(min(d.depth), -1) AS depth FROM nodes n
+        LEFT JOIN steps_down d USING (cascade_id, post_id) GROUP BY ALL""",
+    "ends": """SELECT cascade_id, parent AS a, child AS b FROM tree UNION SELECT cascade_id, child, parent FROM tree""",
+    # Walks in either direction, none longer than the posts of the largest cascade allow; the shortest count.
+    "walks": """SELECT cascade_id, post_id AS p, post_id AS q, 0 AS len FROM nodes
+        UNION SELECT w.cascade_id, w.p, e.b, w.len + 1 FROM walks w JOIN ends e ON e.cascade_id = w.cascade_id AND e.a = w.q
+        WHERE w.len < (SELECT 2 * max(depth) + 4 FROM depths)""",
+    "apart": """SELECT x.cascade_id, greatest(m.created_at, n.created_at) AS created_at, sum(x.len) AS dist
+        FROM (SELECT cascade_id, p, q, min(len) AS len FROM walks GROUP BY ALL) x
+        JOIN nodes m ON m.cascade_id = x.cascade_id AND m.post_id = x.p
+        JOIN nodes n ON n.cascade_id = x.cascade_id AND n.post_id = x.q GROUP BY ALL""",
+}
+
+
+def _tangled(select: str) -> str:
+    """A statement over the views with the second references."""
+    order = ["loose", "sides", "parts"], ["steps_down"], ["ends", "walks"]
+    names = list(VIEWS)
+    for extra, before in zip(order, ("tree", "depths", "apart")):
+        names[names.index(before) : names.index(before)] = extra
+    views, wanted, todo = VIEWS | TANGLED, set(), [select]
+    while todo:
+        for name in set(re.findall(r"(?:FROM|JOIN)\s+\(?\s*([a-z_]+)", todo.pop())) & set(views) - wanted:
+            wanted.add(name)
+            todo.append(views[name])
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({views[n]})" for n in names if n in wanted) + "\n" + select
+
+
 def _needed(text: str) -> list[str]:
     """Views a statement mentions, directly or through other views, in order."""
     wanted: set[str] = set()
@@ -502,5 +564,14 @@ QUERIES: dict[str, str] = {
 }
 
 
+TANGLED_QUERIES = {
+    "tangled_nodes": "SELECT cascade_id, post_id, author_id, type FROM nodes",
+    "tangled_edges": "SELECT cascade_id, parent, child FROM tree",
+    "tangled_depths": "SELECT cascade_id, post_id, depth FROM depths",
+    "tangled_curves": QUERIES["cascade_curves"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(select) for name, select in QUERIES.items()}
+    found = {name: with_views(select) for name, select in QUERIES.items()}
+    return found | {name: _tangled(select) for name, select in TANGLED_QUERIES.items()}
