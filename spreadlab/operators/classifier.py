@@ -143,10 +143,21 @@ class PropagationModel:
         return model
 
 
-def hash_split(rows: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test parts by a hash of the row: the same row always falls on the same side."""
-    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)), F.lit(1_000_000))
-    test = bucket < int(test_share * 1_000_000)
+def hash_split(
+    rows: DataFrame, test_share: float = 0.2, seed: int = 42, keys: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test parts by the MD5 of a row's keys (all columns, if none are named).
+
+    The same row falls on the same side whatever the order and number of partitions, and any
+    engine can state the split: the first eight digits are a share of their range. A null key is empty.
+    """
+    if keys is None:
+        key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    else:
+        key = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in keys])
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    test = share < test_share
     return rows.where(~test), rows.where(test)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from spreadlab import schemas
 from spreadlab.functions.columns import hashtag_tokens, hashtags_in_text
+from spreadlab.functions.columns import actor_class
 from spreadlab.operators import (
     activity,
     actors,
@@ -673,6 +674,21 @@ def propagation_dataset(d):
     return _labelled(d)
 
 
+@query
+def train_test_split(d):
+    keys = ["source", "target", "cascade_id", "original_author"]
+    parts = classifier.hash_split(_labelled(d, with_keys=True), keys=keys)
+    named = [part.select(*keys, F.lit(name).alias("part")) for part, name in zip(parts, ("train", "test"))]
+    return named[0].unionByName(named[1])
+
+
+@query
+def sampled_cascades(d):
+    heads = post_ops.flat(post_ops.originals(d.posts))
+    kind = actor_class(F.col("is_usual_suspect"), F.col("party"))
+    return reports.sampled_cascades(heads.select(F.lit("demo").alias("dataset"), kind.alias("user_type"), "id", "created_at"))
+
+
 def _by_rule(d: SocialDataset) -> DataFrame:
     """Labelled rows with the prediction of a rule, so that the scores can be checked by SQL."""
     return _labelled(d).withColumn("prediction", (F.coalesce("num_retweets", F.lit(0)) % 2).cast("int"))

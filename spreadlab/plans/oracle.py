@@ -539,6 +539,11 @@ QUERIES: dict[str, str] = {
         JOIN posts p ON p.id = x.cascade_id LEFT JOIN scores s ON s.id_str = x.cascade_id
         JOIN users u ON u.author_id = x.source JOIN users v ON v.author_id = x.target JOIN users w ON w.author_id = x.original_author""",
     "propagation_dataset": f"SELECT * EXCLUDE (source, target, cascade_id, original_author) FROM ({_LABELLED})",
+    "train_test_split": f"""SELECT source, target, cascade_id, original_author,
+        CASE WHEN CAST('0x' || substr(md5('42:' || coalesce(source, '') || chr(31) || coalesce(target, '') || chr(31) || coalesce(cascade_id, '')
+          || chr(31) || coalesce(original_author, '')), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM ({_LABELLED})""",
+    "sampled_cascades": f"""SELECT 'demo' AS dataset, {CLASS} AS user_type, id, created_at FROM posts WHERE is_original
+        QUALIFY row_number() OVER (PARTITION BY {CLASS} ORDER BY md5('demo' || chr(31) || id), id) <= 10""",
     "cast_times": """SELECT p.id, p.created_at, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
     "flatten_pages": """SELECT p.id, p.username, r.ref_id, r.ref_username, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
     "ingest_outputs": """SELECT 'preprocessed' AS output, id FROM posts UNION ALL SELECT 'mongoimport', id FROM posts

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from spreadlab.operators import classifier, growth, pairs
@@ -38,7 +37,10 @@ def test_fit_predict_and_report(spark, training, tmp_path):
     _, report = classifier.performance(training)
     assert {r["part"] for r in report.collect()} == {"train", "test"}
     model.save(str(tmp_path / "m"))
-    assert len(PipelineModel.load(str(tmp_path / "m")).stages) == len(model.model.stages)
+    loaded = classifier.PropagationModel.load(spark, str(tmp_path / "m"))
+    assert (loaded.texts, loaded.numbers, loaded.fills, loaded.rounds) == (model.texts, model.numbers, model.fills, model.rounds)
+    assert rows(loaded.predict(training)) == rows(model.predict(training))
+    assert loaded.importances(1) == model.importances(1)
     with pytest.raises(ValueError):
         classifier.PropagationModel().fit(training.where("propagated = 1"))
 
@@ -57,6 +59,7 @@ def test_split_is_stable(training):
     assert train.count() + test.count() == 200
     again = classifier.hash_split(training.repartition(3))[1]
     assert rows(test) == rows(again)
+    assert 0 < classifier.hash_split(training, 0.3, keys=["noise"])[1].count() < 200
 
 
 def test_pairs(d):
