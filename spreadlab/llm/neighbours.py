@@ -39,7 +39,9 @@ class SortedProjections:
         reach = max(float(self.values.max() - self.values.min()), float(np.abs(at).max() + np.abs(self.values).max()))
         radii = [first]
         while WIDTH * radii[-1] / 2 < reach:
-            radii.append(radii[-1] * ratio)
+            wider = radii[-1] * ratio
+            # A radius too small to grow is followed by one that holds all.
+            radii.append(wider if wider > radii[-1] else max(reach, 2 * reach / WIDTH))
         half = WIDTH * np.array(radii) / 2
         low, high = (
             np.stack([np.searchsorted(v, (x[:, None] + sign * half).ravel(), side).reshape(len(own), -1) for v, x in zip(self.values, at.T, strict=True)], axis=1).tolist()
@@ -135,9 +137,14 @@ def nearest(
 
 def _search(some, mates, size, k, projections, share, ratio, first, seed) -> Iterator[tuple[int, float, int]]:
     lines = np.random.default_rng(seed).standard_normal((projections, size))
-    base = np.stack(mates["v"].to_numpy())
+    base, asked = np.stack(mates["v"].to_numpy()), np.stack(some["v"].to_numpy())
+    # A power of two that brings the largest component near one: squares of very small or large components
+    # would be zero or infinite, and it changes no digit of the others' distances.
+    power = int(np.frexp(max(np.abs(base).max(), np.abs(asked).max()))[1])
+    base, asked = np.ldexp(base, -power), np.ldexp(asked, -power)
     index = SortedProjections(mates["id"].to_numpy(np.int64), base, lines)
     start = first * float(np.sqrt((base * base).sum(axis=1)).mean())
     for i in range(0, len(some), 256):
-        part = some.iloc[i : i + 256]
-        yield from index.search(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()), lines, k, start, ratio, share)
+        own = some["id"].iloc[i : i + 256].to_numpy(np.int64)
+        for query, distance, vec in index.search(own, asked[i : i + 256], lines, k, start, ratio, share):
+            yield query, float(np.ldexp(distance, power)), vec

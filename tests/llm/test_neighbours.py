@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spreadlab.llm import neighbours as N
 
@@ -60,3 +61,17 @@ def test_few_or_no_vectors(spark):
     assert [tuple(r) for r in N.nearest(vectors, N.F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
     assert N.nearest(vectors, N.F.lit(False)).count() == 0
     assert N.nearest(vectors.limit(0), N.F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e-310, 1e200, 1e290])
+def test_very_small_and_large_components(spark, size):
+    random = np.random.default_rng(4)
+    plain = random.integers(-50, 50, (60, 6)) / 64
+    rows = [(i, [float(x) * size for x in v]) for i, v in enumerate(plain)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in N.nearest(vectors, F.col("vec_id") % 20 == 0, k=5).collect()}
+    for q in (0, 20, 40):
+        away = np.sqrt(((plain - plain[q]) ** 2).sum(axis=1))
+        order = [i for i in np.argsort(away, kind="stable") if i != q][:5]
+        for rank, i in enumerate(order, 1):
+            assert found[q, rank][1] == pytest.approx(away[i] * size, rel=1e-6)
