@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, text_of
+from spreadlab.llm.common import keep, once, text_of
 
 # The kinds in order, and their patterns. A match starts where its first
 # characters do, or at the end of the match before; possessive quantifiers keep long
@@ -19,6 +19,8 @@ PATTERNS = {
 TERM = "term"
 KINDS = [*PATTERNS, TERM]
 WORD = r"[\p{L}\p{N}]++"
+# Matches whose positions are summed up together.
+BLOCK = 256
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -47,26 +49,39 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _starts(lengths: Column) -> Column:
+    """Where each part begins, by the lengths of the parts: running sums, within blocks and over the blocks."""
+
+    def sums(values: Column) -> Column:
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, zero, step)
+
+    count = F.ceil(F.size(lengths) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), count), lambda k: sums(F.slice(lengths, (k - 1) * BLOCK + 1, BLOCK)))
+    moved = lambda done, before: F.transform(done["out"], lambda at: at + before)
+    return once(blocks, lambda done: F.flatten(F.zip_with(done, sums(F.transform(done, lambda x: x["at"]))["out"], moved)))
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches, in code points from 0, the end exclusive.
 
     The text is what stands between the matches and the matches in turn, so positions
-    are running sums of their lengths.
+    are running sums of their lengths. The text is taken apart once, however many
+    matches it has.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(between, i)) + F.length(F.get(found, i))).alias("at"),
-        F.array_append(acc["out"], acc["at"] + F.length(F.get(between, i))).alias("out"),
-    )
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    spans = F.transform(F.arrays_zip(starts.alias("s"), found.alias("v")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["v"])).alias("end"), x["v"].alias("value")))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(NO_SPANS))
+    taken = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"))
+
+    def spans(parts: Column) -> Column:
+        # Each part is a match and what stands before it.
+        lengths = F.transform(parts["found"], lambda v, i: F.length(F.get(parts["between"], i)) + F.length(v))
+        start = lambda i, at: at + F.length(F.get(parts["between"], i))
+        span = lambda v, i, at: F.struct(start(i, at).alias("start"), (start(i, at) + F.length(v)).alias("end"), v.alias("value"))
+        placed = once(lengths, lambda n: once(_starts(n), lambda at: F.transform(parts["found"], lambda v, i: span(v, i, F.get(at, i)))))
+        return F.when(F.size(parts["found"]) > 0, placed).otherwise(F.array().cast(NO_SPANS))
+
+    return once(taken, spans)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -105,63 +120,54 @@ def _entities() -> Column:
     return F.array_distinct(F.concat(*map(of, PATTERNS)))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, threshold: float) -> DataFrame:
-    """(hash, terms): the words of each text that disclose an entity it holds.
+def disclosing_terms(found: DataFrame, support: int, threshold: float) -> DataFrame:
+    """(hash, terms): the words of each text that disclose an entity, whether or not the text holds the entity.
 
     Over all documents, n(t) hold the word t, n(e) the entity e, n(t, e) both. The word
     discloses the entity if PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) is at least
     ``threshold`` times the information of the entity, log2(N / n(e)), and both occur
     together in at least ``support`` different texts. Entities in fewer texts cannot
-    pass, so only the texts of the others are taken apart.
+    pass, so only the texts of the others are paired with their words.
     """
-    texts = found.where("text IS NOT NULL").groupBy("hash").agg(
-        F.any_value("text").alias("text"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("rows")
-    )
-    texts = keep(texts, "texts")
+    texts = found.groupBy("hash").agg(F.any_value("text").alias("text"), F.any_value("entities").alias("entities"), F.count(F.lit(1)).alias("rows"))
+    texts = keep(texts.select("hash", "rows", "entities", words_of(F.col("text")).alias("words")), "texts")
     counts = texts.select("rows", F.explode("entities").alias("entity")).groupBy("entity").agg(
         F.sum("rows").alias("n_entity"), F.count(F.lit(1)).alias("n_texts")
     )
     known = keep(counts.where(F.col("n_texts") >= support).select("entity", "n_entity"), "entities")
-    held = texts.select("hash", "rows", F.explode("entities").alias("entity")).join(known, "entity")
-    holders = keep(held, "holders")
-    worded = keep(texts.join(holders.select("hash").distinct(), "hash", "left_semi").select("hash", words_of(F.col("text")).alias("words")), "worded")
-    both = holders.join(worded, "hash").select("hash", "rows", "entity", "n_entity", F.explode("words").alias("term"))
+    worded = texts.select("hash", "rows", F.explode("words").alias("term"))
+    total = found.count()
+    terms = keep(worded.groupBy("term").agg(F.sum("rows").alias("n_term")), "terms")
+    held = keep(texts.select("hash", "rows", "words", F.explode("entities").alias("entity")).join(known, "entity"), "held")
+    both = held.select("rows", "entity", "n_entity", F.explode("words").alias("term"))
     pairs = both.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("n_texts"), F.max("n_entity").alias("n_entity"))
-    pairs = keep(pairs.where(F.col("n_texts") >= support), "pairs")
-    terms = docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = F.lit(float(docs.count()))
-    pmi = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    telling = pairs.join(terms, "term").where(pmi >= threshold * F.log2(total / F.col("n_entity"))).select("entity", "term")
+    pairs = pairs.where(F.col("n_texts") >= support)
+    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    telling = pairs.join(terms, "term").where(pmi >= threshold * F.log2(F.lit(float(total)) / F.col("n_entity"))).select("term").distinct()
     telling = keep(telling, "telling")
-    return both.join(telling, ["entity", "term"]).groupBy("hash").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return worded.join(telling, "term").groupBy("hash").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, email, ip, card, phone, term): arrays of the spans in every whole text.
 
     Spans are struct<start, end, value> in code points, the end exclusive. Terms are the
-    words that disclose an entity of the same document, see ``disclosing_terms``; they
-    are never inside other spans. A null text counts as empty and has no spans. ``text``
-    is null in rows without personal data. Repeated rows and ids stay and count as often
-    as they occur, but a text supports a term once. Other columns are not read.
+    words that disclose an entity of any document, see ``disclosing_terms``; they are
+    marked in all documents and never inside other spans. A null text counts as empty
+    and has no spans. ``text`` is null in rows without spans. Repeated rows and ids stay
+    and count as often as they occur, but a text supports a term once. Other columns are
+    not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     spans = rows.select("doc_id", "text", *[column.alias(kind) for kind, column in base_spans(F.col("text")).items()])
-    some = F.greatest(*[F.size(kind) for kind in PATTERNS]) > 0
-    empty = F.array().cast("array<string>")
-    found = keep(
-        spans.select(
-            "doc_id", *PATTERNS, F.when(some, F.col("text")).alias("text"), F.when(some, F.sha2("text", 256)).alias("hash"),
-            F.when(some, _entities()).otherwise(empty).alias("entities"),
-        ),
-        "found",
-    )
-    terms = keep(disclosing_terms(rows, found, support, threshold), "terms")
+    found = keep(spans.select("doc_id", *PATTERNS, "text", F.sha2("text", 256).alias("hash"), _entities().alias("entities")), "found")
+    terms = keep(disclosing_terms(found, support, threshold), "terms")
     told = found.join(terms, "hash", "left")
     any_of = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     apart = lambda s: ~F.exists(F.concat(*PATTERNS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     spans_of_terms = F.when(F.size("terms") > 0, F.filter(located(F.col("text"), any_of), apart)).otherwise(F.array().cast(NO_SPANS))
-    return told.select("doc_id", "text", *PATTERNS, spans_of_terms.alias(TERM))
+    marked = told.select("doc_id", "text", *PATTERNS, spans_of_terms.alias(TERM))
+    return marked.withColumn("text", F.when(F.greatest(*[F.size(kind) for kind in KINDS]) > 0, F.col("text")))
 
 
 def report(found: DataFrame) -> DataFrame:

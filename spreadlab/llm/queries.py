@@ -94,9 +94,9 @@ e AS MATERIALIZED (SELECT DISTINCT r, entity FROM b),
 ne AS (SELECT entity, count(*) AS n FROM e GROUP BY 1),
 nt AS (SELECT term, count(*) AS n FROM w GROUP BY 1),
 both_ AS (SELECT entity, term, count(*) AS n FROM e JOIN w USING (r) JOIN d USING (r) GROUP BY 1, 2 HAVING count(DISTINCT text) >= {support}),
-told AS (SELECT entity, term FROM both_ x JOIN ne USING (entity) JOIN nt USING (term)
+told AS (SELECT DISTINCT term FROM both_ x JOIN ne USING (entity) JOIN nt USING (term)
          WHERE log2((SELECT count(*) FROM d) * x.n / CAST(ne.n * nt.n AS DOUBLE)) >= {threshold} * log2((SELECT count(*) FROM d) / CAST(ne.n AS DOUBLE))),
-mine AS (SELECT DISTINCT r, term FROM told JOIN e USING (entity) JOIN w USING (r, term)),
+mine AS (SELECT r, term FROM told JOIN w USING (term)),
 t AS (SELECT r, s, s + length(v) AS e FROM (
         SELECT r, v, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
         FROM (SELECT r, m, string_split_regex(text, '{word}') AS b, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS i
