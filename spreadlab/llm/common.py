@@ -27,11 +27,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+class Steps:
+    """Tables that a job writes on its way and drops when later tables have taken up what they hold."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = folder(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; a lost executor then costs a re-read."""
-    path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).keep(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
