@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.llm.common import keep, small_batches, text_of
+from spreadlab.llm.common import Steps, keep, small_batches, text_of
 from spreadlab.operators.components import connected
 
 # Edits up to which two lines are linked, and the characters a line needs for that;
@@ -154,11 +154,11 @@ def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return out & (score <= edits)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int, steps: Steps) -> DataFrame:
     """The candidate pairs whose texts are within ``edits``."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = steps.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = keep(lines.join(ids, "id", "left_semi").select("id", "id2", "text"), "texts")
+    texts = steps.keep(lines.join(ids, "id", "left_semi").select("id", "id2", "text"), "texts")
     side = lambda x: texts.select(F.col("id").alias(x), F.struct("id", "id2").alias(f"{x}2"), F.col("text").alias(f"{x}_text"))
 
     @F.pandas_udf("boolean")
@@ -174,35 +174,107 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.where(close("a_text", "b_text")).select(F.col("a2").alias("u"), F.col("b2").alias("v"))
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+def class_links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) of ``lines(id, id2, text, n)`` that connect what all pairs within ``edits`` connect.
+
+    As ``candidates``, but of a segment that more than ``crowd`` lines share, all lines
+    that can hold it are first compared with one of them, the hub: the one whose
+    segments the most lines share. What that connects needs no more comparing. Lines
+    that stay apart from their hub, the strangers, are compared with the other classes
+    of the segment if they are at most ``crowd``; if they are more, what remains of the
+    lines without the segment is cut in turn, ``rounds`` times at most.
+    """
+    steps = Steps(lines.sparkSession)
+    todo = lines.select("id", "text", "n", F.lit(0).cast("long").alias("prefix"))
+    entered, sought, links = todo, todo, None
+    for again in range(rounds + 1):
+        index, probes = _entries(entered, _index(edits), edits), _entries(sought, _probes(edits), edits)
+        crowded = steps.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
+        rare = [x.join(crowded, "key", "left_anti") for x in (index, probes)]
+        pairs = rare[0].select("key", F.col("id").alias("a")).join(rare[1].select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b")
+        owners = steps.keep(index.join(crowded, "key"), "owners")
+        scored = owners.join(owners.groupBy("id").agg(F.sum("n").alias("score")), "id")
+        hubs = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("top")).select("key", F.col("top.id").alias("hub"))
+        holders = steps.keep(probes.join(hubs, "key"), "holders")
+        pairs = pairs.unionByName(holders.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        pairs = steps.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        found = steps.keep(_verified(pairs, lines, edits, steps), "links")
+        links = found if links is None else links.unionByName(found)
+        if crowded.isEmpty():
+            break
+        known = steps.keep(connected(links).select(F.col("node.id").alias("id"), F.col("component.id").alias("part")).distinct(), "known")
+        part_of = lambda x, out: known.select(F.col("id").alias(x), F.col("part").alias(out))
+        named = holders.join(part_of("id", "own"), "id", "left").join(part_of("hub", "hubs"), "hub", "left")
+        named = named.select("key", "id", F.coalesce("own", "id").alias("part"), F.coalesce("hubs", "hub").alias("hub_part"))
+        members = steps.keep(named.select("key", "id", "part", (F.col("part") != F.col("hub_part")).alias("stranger")), "members")
+        strange = steps.keep(members.where("stranger").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "strange")
+        last = again == rounds
+        few = (strange if last else strange.where(F.col("n") <= crowd)).select("key")
+        some = members.join(few, "key", "left_semi")
+        strangers = some.where("stranger").select("key", F.col("id").alias("s"), F.col("part").alias("s_part"))
+        # Two strangers meet twice, once from each side, and are taken once.
+        met = strangers.join(some, "key").where("part <> s_part AND (NOT stranger OR s < id)")
+        more = met.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
+        found = steps.keep(_verified(steps.keep(more, "met"), lines, edits, steps), "links")
+        links = links.unionByName(found)
+        many = steps.keep(strange.where(F.col("n") > crowd).select("key"), "many")
+        if last or many.isEmpty():
+            break
+        entered, sought = (
+            steps.keep(
+                _entries(x, e(edits), edits, True)
+                .join(many, "key", "left_semi")
+                .select(F.col("key").alias("prefix"), "id", F.col("rest").alias("text"), F.length("rest").alias("n"))
+                .distinct(),
+                "rest",
+            )
+            for x, e in ((entered, _index), (sought, _probes))
+        )
+    links = keep(links.distinct(), "links")
+    steps.drop()
+    return links
+
+
+def line_classes(
+    lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD, rounds: int = ROUNDS, all_links: bool = True
+) -> DataFrame:
     """(id, id2, class, keeper, n_links) of the different lines of ``lines_of``.
 
     Lines within ``edits`` insertions, deletions or substitutions of each other are
     linked, if both have ``min_chars`` characters; n_links counts the links of a line to
     other lines. What links reach is a class, named by its smallest line id. Its keeper
     is the smallest doc_id that holds one of its lines; null counts as the largest.
+    Without ``all_links`` the classes are the same, but found without all pairs of a
+    class, and n_links counts only the links that were taken.
     """
+    steps = Steps(lines.sparkSession)
     distinct = lines.groupBy(F.col("line").alias("text")).agg(F.min("doc_id").alias("least")).select(
         *line_id(F.col("text")), "least", "text", F.length("text").alias("n")
     )
-    distinct = keep(distinct, "distinct")
+    distinct = steps.keep(distinct, "distinct")
     long = distinct.where(F.col("n") >= min_chars).select("id", "id2", "text", "n")
-    pairs = keep(candidates(long, edits, crowd, rounds), "candidates")
-    links = keep(_verified(pairs, long, edits), "links")
+    if all_links:
+        pairs = steps.keep(candidates(long, edits, crowd, rounds), "candidates")
+        links = steps.keep(_verified(pairs, long, edits, steps), "links")
+    else:
+        links = class_links(long, edits, crowd, rounds)
     classes = connected(links)
     degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = keep(classes.join(degrees, "node").select("node.*", F.col("component").alias("class"), "n_links"), "linked")
+    linked = steps.keep(classes.join(degrees, "node").select("node.*", F.col("component").alias("class"), "n_links"), "linked")
     rows = distinct.select("id", "id2", "least").join(linked, ["id", "id2"], "left")
     own = F.struct("id", "id2")
-    rows = keep(rows.select("id", "id2", "least", F.coalesce("class", own).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
-    keeper = keep(rows.groupBy("class").agg(F.min("least").alias("keeper")), "keeper")
-    return rows.join(keeper, "class").select("id", "id2", F.col("class.id").alias("class"), "keeper", "n_links")
+    rows = rows.select("id", "id2", "least", F.coalesce("class", own).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = steps.keep(rows, "rows")
+    keeper = rows.groupBy("class").agg(F.min("least").alias("keeper"))
+    done = keep(rows.join(keeper, "class").select("id", "id2", F.col("class.id").alias("class"), "keeper", "n_links"), "classes")
+    steps.drop()
+    return done
 
 
 def _placed(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """``line_duplicates`` with the text_hash of the row."""
     lines = lines_of(docs, doc_id, text)
-    classes = keep(line_classes(lines, **options), "classes")
+    classes = line_classes(lines, **options)
     placed = lines.select("doc_id", "text_hash", "line_no", *line_id(F.col("line"))).join(classes, ["id", "id2"])
     mine = keep(placed.select("doc_id", "text_hash", "line_no", "class", "keeper", "n_links"), "placed")
     place = F.struct("text_hash", "line_no")
@@ -230,7 +302,7 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stays null. All other columns stay as they are.
     """
     small_batches(docs.sparkSession)
-    dropped = _placed(docs, doc_id, text, **options).where(~F.col("kept"))
+    dropped = _placed(docs, doc_id, text, all_links=False, **options).where(~F.col("kept"))
     own = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
     gone = keep(dropped.groupBy(*own).agg(F.collect_set("line_no").alias("gone")), "gone")
 

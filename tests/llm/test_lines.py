@@ -78,6 +78,26 @@ def test_classes_match_brute_force(spark, crowd, rounds):
     assert len({(got[k].class_id, want[k][0]) for k in want}) == len({got[k].class_id for k in want}) == len({want[k][0] for k in want})
 
 
+@pytest.mark.parametrize("crowd, rounds", [(3, 1), (3, 0), (500, 2)])
+def test_classes_without_all_links_are_the_same(spark, crowd, rounds):
+    dice = random.Random(6)
+    lines = corpus(dice, 120)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r for r in L._placed(docs, "doc_id", "text", crowd=crowd, rounds=rounds, all_links=False).collect()}
+    want = brute(rows)
+    assert set(got) == set(want) and all(got[k].kept == want[k][2] for k in want)
+    assert len({(got[k].class_id, want[k][0]) for k in want}) == len({got[k].class_id for k in want}) == len({want[k][0] for k in want})
+
+
+def test_copies_in_a_crowd_take_few_links(spark):
+    base = "a line that thousands of documents hold with a mark at its end or within it "
+    lines = [base] + [base[:i] + x + base[i:] for i in range(len(base)) for x in "qz"]
+    rows = L.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    distinct = rows.select(*L.line_id(L.F.col("line")), L.F.col("line").alias("text"), L.F.length("line").alias("n")).distinct()
+    assert L.class_links(distinct, crowd=10).count() <= 30 * len(lines)
+
+
 def test_texts_without_duplicates(spark):
     rows = [(2, "a line\n\nkept here\na line", "x"), (1, "a line\nand more", "y"), (3, "a line", "z"), (4, None, None), (4, None, None), (5, "", "q"), (None, "kept here\nnew", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
