@@ -5,110 +5,64 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-LABEL = "propagated"
 
+from spreadlab.operators.boosting import BoostedTrees, Tree, free_name
+from spreadlab.operators.encoding import Encoder, modes
 
-def modes(rows: DataFrame, columns: Sequence[str]) -> dict:
-    """Most frequent value of each column (the smallest of equals), nulls ignored.
+__all__ = ["LABEL", "PropagationModel", "classification_metrics", "confusion_matrix", "hash_split", "modes", "performance"]
 
-    Values are counted as (column, value) pairs in one pass; one row per column
-    reaches the driver.
-    """
-    kinds = {c: rows.schema[c].dataType for c in columns}
-    out: dict = {}
-    for text in (False, True):
-        chosen = [c for c in columns if isinstance(kinds[c], T.StringType) == text]
-        if not chosen:
-            continue
-        kind = "string" if text else "double"
-        long = rows.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in chosen])
-        long = long.unpivot([], [F.col(f"`{c}`") for c in chosen], "c", "v")
-        counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("c").agg(F.min(F.struct(-F.col("n"), "v")).alias("b")).select("c", "b.v")
-        out.update({r["c"]: r["v"] for r in best.collect()})
-    return out
+LABEL = "propagated"
 
 
 class PropagationModel:
-    """Mode imputation, one-hot text columns, scaling and boosted trees with a weighted positive class."""
+    """Mode imputation, categories and boosted trees with a weighted positive class.
 
-    def __init__(self, rounds: int = 4, depth: int = 6, step: float = 0.3, label: str = LABEL, seed: int = 42):
-        self.rounds, self.depth, self.step, self.label, self.seed = rounds, depth, step, label, seed
-        self.model: PipelineModel | None = None
-        self.fills: dict = {}
-        self.texts: list[str] = []
-        self.numbers: list[str] = []
+    Values are not scaled for the trees, which only ask for their order.
+    """
 
-    def _filled(self, rows: DataFrame) -> DataFrame:
-        """Numbered, imputed feature columns; dots and spaces in names never reach the model."""
-        have = set(rows.columns)
+    def __init__(self, rounds: int = 4, depth: int = 6, step: float = 0.3, label: str = LABEL):
+        self.rounds, self.depth, self.step, self.label = rounds, depth, step, label
+        self.encoder = Encoder()
+        self.model: BoostedTrees | None = None
 
-        def filled(name: str, kind: str) -> Column:
-            value = F.col(f"`{name}`") if name in have else F.lit(None)
-            return F.coalesce(value.cast(kind), F.lit(self.fills[name]))
+    @property
+    def fills(self) -> dict:
+        return self.encoder.fills
 
-        return rows.select(
-            "*",
-            *[filled(name, "double").alias(f"_n{i}") for i, name in enumerate(self.numbers)],
-            *[filled(name, "string").alias(f"_t{i}") for i, name in enumerate(self.texts)],
-        )
+    @property
+    def texts(self) -> list[str]:
+        return self.encoder.texts
+
+    @property
+    def numbers(self) -> list[str]:
+        return self.encoder.numbers
 
     def fit(self, rows: DataFrame, features: Sequence[str] | None = None) -> PropagationModel:
+        """Learn from labelled rows; ``features`` are all other columns if not named."""
         names = [c for c in (features or rows.columns) if c != self.label]
-        self.fills = modes(rows, names)
-        usable = [c for c in names if c in self.fills]  # columns without any value carry nothing
-        self.texts = [c for c in usable if isinstance(rows.schema[c].dataType, T.StringType)]
-        self.numbers = [c for c in usable if c not in self.texts]
         negatives, positives = rows.agg(F.count_if(F.col(self.label) == 0), F.count_if(F.col(self.label) == 1)).first()
         if not positives or not negatives:
             raise ValueError("training needs rows of both classes")
+        self.encoder = Encoder().fit(rows, names)
         weight = F.when(F.col(self.label) == 1, negatives / positives).otherwise(1.0)
-        prepared = self._filled(rows).withColumn("_w", weight).withColumn("_y", F.col(self.label).cast("double"))
-        coded = [f"_c{i}" for i in range(len(self.texts))]
-        hot = [f"_h{i}" for i in range(len(self.texts))]
-        raw = [f"_t{i}" for i in range(len(self.texts))]
-        stages = []
-        if self.texts:
-            stages.append(StringIndexer(inputCols=raw, outputCols=coded, handleInvalid="keep"))
-            stages.append(OneHotEncoder(inputCols=coded, outputCols=hot, dropLast=False))
-        stages += [
-            VectorAssembler(inputCols=[*hot, *[f"_n{i}" for i in range(len(self.numbers))]], outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
-            GBTClassifier(
-                featuresCol="_x",
-                labelCol="_y",
-                weightCol="_w",
-                maxIter=self.rounds,
-                maxDepth=self.depth,
-                stepSize=self.step,
-                seed=self.seed,
-            ),
-        ]
-        self.model = Pipeline(stages=stages).fit(prepared)
+        labelled = rows.where(F.col(self.label).isin(0, 1))
+        self.model = BoostedTrees(self.rounds, self.depth, self.step).fit(labelled, self.encoder, F.col(self.label), weight)
         return self
 
-    def _fitted(self) -> PipelineModel:
+    def _fitted(self) -> BoostedTrees:
         if self.model is None:
             raise RuntimeError("model not fitted")
         return self.model
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """The rows with ``prediction`` (0/1) and ``probability`` (array of two)."""
-        from pyspark.ml.functions import vector_to_array
-
-        scored = self._fitted().transform(self._filled(rows))
-        return scored.select(
-            *[F.col(f"`{c}`") for c in rows.columns],
-            F.col("prediction").cast("int").alias("prediction"),
-            vector_to_array("probability").alias("probability"),
-        )
+        kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("prediction", "probability")]
+        name = free_name(rows, "_margin")
+        scored = self._fitted().scored(rows, self.encoder, name)
+        chance = 1 / (1 + F.exp(-F.col(name)))
+        return scored.select(*kept, (F.col(name) > 0).cast("int").alias("prediction"), F.array(1 - chance, chance).alias("probability"))
 
     def score(self, rows: DataFrame) -> float:
         """Accuracy on labelled rows."""
@@ -116,30 +70,31 @@ class PropagationModel:
         return self.predict(rows).agg(F.avg(right)).first()[0]
 
     def importances(self, top: int = 20) -> list[tuple[str, float]]:
-        """The most important input columns; categories are shown as column=category."""
-        model = self._fitted()
-        names: list[str] = []
-        if self.texts:
-            for column, labels in zip(self.texts, model.stages[0].labelsArray):
-                names += [f"{column}={value}" for value in labels] + [f"{column}=?"]
-        names += self.numbers
-        pairs = zip(names, model.stages[-1].featureImportances.toArray().tolist())
-        return sorted(pairs, key=lambda p: (-p[1], p[0]))[:top]
+        """The most important features; categories are shown as column=category, hashed ones as column#bucket."""
+        found = self._fitted().importances(self.encoder)
+        return sorted(found.items(), key=lambda p: (-p[1], p[0]))[:top]
 
     def save(self, path: str) -> None:
-        """Write the fitted stages, and the columns and fills beside them."""
-        self._fitted().write().overwrite().save(f"{path}/stages")
-        facts = {k: getattr(self, k) for k in ("rounds", "depth", "step", "label", "seed", "fills", "texts", "numbers")}
+        """Write what was fitted as one JSON text."""
+        model, code = self._fitted(), self.encoder
+        facts = {k: getattr(self, k) for k in ("rounds", "depth", "step", "label")}
+        facts["encoder"] = {k: getattr(code, k) for k in ("share", "width", "fills", "texts", "numbers", "frequent", "scales")}
+        facts["cuts"] = model.cuts
+        facts["trees"] = [[list(t.splits.items()), list(t.leaves.items())] for t in model.trees]
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PropagationModel:
         """A saved model, ready to predict."""
-        facts = json.loads(spark.read.text(f"{path}/facts", wholetext=True).first()["value"])
-        model = cls(*(facts.pop(k) for k in ("rounds", "depth", "step", "label", "seed")))
-        model.fills, model.texts, model.numbers = facts["fills"], facts["texts"], facts["numbers"]
-        model.model = PipelineModel.load(f"{path}/stages")
+        facts = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+        model = cls(facts["rounds"], facts["depth"], facts["step"], facts["label"])
+        vars(model.encoder).update(facts["encoder"])
+        model.model = BoostedTrees(model.rounds, model.depth, model.step)
+        model.model.cuts = facts["cuts"]
+        model.model.trees = [
+            Tree({n: tuple(split) for n, split in splits}, dict(map(tuple, leaves))) for splits, leaves in facts["trees"]
+        ]
         return model
 
 
@@ -198,10 +153,12 @@ def classification_metrics(predictions: DataFrame, label: str = LABEL) -> DataFr
     )
 
 
-def performance(rows: DataFrame, model: PropagationModel | None = None) -> tuple[PropagationModel, DataFrame]:
-    """Fit on the train part and report the metrics of both parts."""
-    train, test = hash_split(rows)
-    fitted = (model or PropagationModel()).fit(train)
+def performance(
+    rows: DataFrame, model: PropagationModel | None = None, keys: Sequence[str] | None = None
+) -> tuple[PropagationModel, DataFrame]:
+    """Fit on the train part and report the metrics of both parts; ``keys`` split the rows and are no features."""
+    train, test = hash_split(rows, keys=keys)
+    fitted = (model or PropagationModel()).fit(train, [c for c in rows.columns if c not in (keys or ())])
     report = [
         classification_metrics(fitted.predict(part)).withColumn("part", F.lit(name))
         for name, part in (("train", train), ("test", test))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.operators.classifier import PropagationModel
@@ -15,7 +15,7 @@ def grow_cascades(
     cascades: DataFrame,
     nodes: DataFrame,
     network_edges: DataFrame,
-    model: PropagationModel,
+    scorer: PropagationModel | Column,
     by_post: DataFrame,
     users: DataFrame,
 ) -> DataFrame:
@@ -25,6 +25,7 @@ def grow_cascades(
     tested pair by pair; accepted ones join and are expanded in the next round.
     All cascades advance together, one round of joins per step. Rows are
     (cascade_id, author_id, source, ground_truth); observed authors have no source.
+    ``scorer`` is a fitted model, or a condition over the features of a pair; null does not accept.
     """
     links = settle(undirected(network_edges).distinct(), "links").select(
         F.col("author_id").alias("source"), F.col("other").alias("target")
@@ -38,9 +39,10 @@ def grow_cascades(
         near = frontier.join(links, "source").join(
             visited.withColumnRenamed("author_id", "target"), ["cascade_id", "target"], "left_anti"
         )
-        scored = model.predict(pair_features(near.distinct(), by_post, users))
+        seen = pair_features(near.distinct(), by_post, users)
+        accepted = seen.where(scorer) if isinstance(scorer, Column) else scorer.predict(seen).where(F.col("prediction") == 1)
         joined = (
-            scored.where(F.col("prediction") == 1)
+            accepted
             .groupBy("cascade_id", "target")
             .agg(F.min("source").alias("source"), F.min("original_author").alias("original_author"))
         )

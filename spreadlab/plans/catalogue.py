@@ -18,6 +18,7 @@ from spreadlab.operators import (
     cascades,
     classifier,
     emotions,
+    encoding,
     evidence,
     growth,
     network,
@@ -711,30 +712,74 @@ def feature_modes(d):
     return d.posts.sparkSession.createDataFrame([(k, float(v)) for k, v in best.items()], "feature string, value double")
 
 
+PAIR_KEYS = ["source", "target", "cascade_id", "original_author"]
+
+
+def _training(d: SocialDataset) -> DataFrame:
+    """Labelled rows as the registered queries show them, to six decimals."""
+    return settle(rounded(_labelled(d, with_keys=True)), "labelled")
+
+
+def _features(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in (*PAIR_KEYS, "propagated")]
+
+
+def _fitted(rows: DataFrame) -> classifier.PropagationModel:
+    return classifier.PropagationModel().fit(rows, _features(rows))
+
+
+@query
+def encoded_features(d):
+    rows = _training(d)
+    names = _features(rows)
+    coded = encoding.Encoder().fit(rows, names).fit_scales(rows).encoded(rows, PAIR_KEYS)
+    texts = F.filter("features", lambda e: e["feature"].rlike("[=#]"))
+    return coded.select(
+        *PAIR_KEYS,
+        F.array_join(F.transform(texts, lambda e: e["feature"]), ",").alias("categories"),
+        F.size("features").cast("long").alias("n_features"),
+        F.aggregate("features", F.lit(0.0), lambda total, e: total + e["value"]).alias("total"),
+    )
+
+
 @query
 def propagation_model_metrics(d):
-    _, report = classifier.performance(settle(_labelled(d), "labelled"))
+    _, report = classifier.performance(_training(d), keys=PAIR_KEYS)
     return report
 
 
 @query
 def confusion_matrix(d):
-    rows = settle(_labelled(d), "labelled")
-    return classifier.confusion_matrix(classifier.PropagationModel().fit(rows).predict(rows))
+    rows = _training(d)
+    return classifier.confusion_matrix(_fitted(rows).predict(rows))
 
 
 @query
 def feature_importances(d):
-    rows = settle(_labelled(d), "labelled")
-    best = classifier.PropagationModel().fit(rows).importances(20)
+    best = _fitted(_training(d)).importances(20)
     return d.posts.sparkSession.createDataFrame(best, "feature string, importance double")
 
 
+def _largest_eligible(d: SocialDataset) -> DataFrame:
+    """The eligible cascade with the most posts, of equals the first."""
+    sizes = d.nodes.groupBy("cascade_id").count()
+    return _eligible(d).distinct().join(sizes, "cascade_id").orderBy(F.desc("count"), "cascade_id").limit(1).select("cascade_id", "original_author")
+
+
 @query
 def grow_cascade(d):
-    model = classifier.PropagationModel().fit(settle(_labelled(d), "labelled"))
+    cascade = settle(_largest_eligible(d), "cascade")
+    model = _fitted(_training(d))
+    by_post = pairs.post_features(d.posts, d.text_scores)
+    return growth.grow_cascades(cascade, d.nodes, d.network.edges, model, by_post, _users(d))
+
+
+@query
+def grow_cascade_by_rule(d):
+    follows = F.coalesce("friends_count_prev", F.lit(0)) <= F.coalesce("friends_count_curr", F.lit(0))
     by_post = pairs.post_features(d.posts, d.text_scores)
-    return growth.grow_cascades(settle(_eligible(d), "eligible"), d.nodes, d.network.edges, model, by_post, _users(d))
+    grown = growth.grow_cascades(settle(_largest_eligible(d), "cascade"), d.nodes, d.network.edges, follows, by_post, _users(d))
+    return grown.select("cascade_id", "author_id", "ground_truth")
 
 
 # ---------------------------------------------------------------------- sources

@@ -185,6 +185,15 @@ VIEWS: dict[str, str] = {
         m.average_status AS status
         FROM roster r JOIN people p ON p.author_id = r.author_id LEFT JOIN profs f ON f.user_id = r.author_id
         LEFT JOIN means m ON m.author_id = r.author_id""",
+    "largest": """SELECT cascade_id, original_author FROM eligible JOIN (SELECT cascade_id, count(*) AS n FROM nodes GROUP BY cascade_id)
+        USING (cascade_id) ORDER BY n DESC, cascade_id LIMIT 1""",
+    "observed": "SELECT DISTINCT cascade_id, n.author_id FROM nodes n JOIN largest USING (cascade_id) WHERE n.author_id IS NOT NULL",
+    "reached": """SELECT cascade_id, original_author AS author_id FROM largest
+        UNION SELECT r.cascade_id, l.b FROM reached r JOIN links l ON l.a = r.author_id
+        JOIN users u ON u.author_id = l.a JOIN users v ON v.author_id = l.b
+        WHERE coalesce(u.friends_count, 0) <= coalesce(v.friends_count, 0) AND l.b NOT IN (SELECT author_id FROM observed)""",
+    "grown_authors": """SELECT cascade_id, author_id, true AS ground_truth FROM observed UNION ALL
+        SELECT cascade_id, author_id, false FROM reached WHERE author_id NOT IN (SELECT author_id FROM observed)""",
     "docwords": f"""SELECT source AS user_id, unnest(regexp_extract_all(lower(text), '{_W}+')) AS word FROM documents""",
     "gaps": """SELECT author_id, (epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY author_id
         ORDER BY created_at, id))) / 1e6 AS gap FROM posts""",
@@ -544,6 +553,7 @@ QUERIES: dict[str, str] = {
           || chr(31) || coalesce(original_author, '')), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM ({_LABELLED})""",
     "sampled_cascades": f"""SELECT 'demo' AS dataset, {CLASS} AS user_type, id, created_at FROM posts WHERE is_original
         QUALIFY row_number() OVER (PARTITION BY {CLASS} ORDER BY md5('demo' || chr(31) || id), id) <= 10""",
+    "grow_cascade_by_rule": "SELECT cascade_id, author_id, ground_truth FROM grown_authors",
     "cast_times": """SELECT p.id, p.created_at, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
     "flatten_pages": """SELECT p.id, p.username, r.ref_id, r.ref_username, r.ref_created_at FROM posts p LEFT JOIN refs r ON r.post_id = p.id""",
     "ingest_outputs": """SELECT 'preprocessed' AS output, id FROM posts UNION ALL SELECT 'mongoimport', id FROM posts
@@ -569,6 +579,118 @@ QUERIES: dict[str, str] = {
 }
 
 
+_TEXT_FEATURES = ["language", *[f"{c}_{role}" for role in ("prev", "curr", "original") for c in ("lang", "gender_demo", "age_demo")]]
+_MODEL_FEATURES = [
+    "num_replies", "num_retweets", "num_quotes", "num_likes", "language", *sorted(_EMOTIONS), "fakeness", "fakeness_probabilities",
+    *[f"{c}_{role}" for role in ("prev", "curr", "original") for c in _FEATURE_COLS],
+]
+_NUMBERS = [c for c in _MODEL_FEATURES if c not in _TEXT_FEATURES]
+_SPLIT_TEST = """CAST('0x' || substr(md5('42:' || coalesce(source, '') || chr(31) || coalesce(target, '') || chr(31) || coalesce(cascade_id, '')
+  || chr(31) || coalesce(original_author, '')), 1, 8) AS BIGINT) / 4294967296.0 < 0.2"""
+
+
+def _long(columns: list[str], kind: str) -> str:
+    cast = ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for c in columns)
+    names = ", ".join(f'"{c}"' for c in columns)
+    return f"SELECT id, f, x FROM (SELECT id, {cast} FROM lab) UNPIVOT INCLUDE NULLS (x FOR f IN ({names}))"
+
+
+def _filled(long: str) -> str:
+    return f"""SELECT l.id, l.f, coalesce(l.x, m.x) AS x FROM {long} l JOIN (SELECT f, x FROM
+        (SELECT f, x, count(*) AS n FROM {long} WHERE x IS NOT NULL AND id IN (SELECT id FROM lab WHERE learn) GROUP BY f, x)
+        QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, x) = 1) m ON m.f = l.f"""
+
+
+# Rows with a number, whether the model learns from them, and their features: filled, and texts as categories or buckets.
+def _encoded(learn: str) -> dict[str, str]:
+    return {
+        "lab": f"SELECT row_number() OVER () AS id, {learn} AS learn, * FROM ({_LABELLED})",
+        "raw_numbers": _long(_NUMBERS, "DOUBLE"),
+        "raw_texts": _long(_TEXT_FEATURES, "VARCHAR"),
+        "numbers": _filled("raw_numbers"),
+        "texts": f"""SELECT t.id, t.f, t.f || CASE WHEN h.x IS NULL THEN '#' || CAST(CAST('0x' || substr(md5(t.x), 1, 8) AS BIGINT) % 32 AS VARCHAR)
+            ELSE '=' || t.x END AS slot FROM ({_filled("raw_texts")}) t LEFT JOIN (SELECT f, x FROM raw_texts WHERE x IS NOT NULL AND id IN
+            (SELECT id FROM lab WHERE learn) GROUP BY f, x HAVING count(*) * 100 >= (SELECT count(*) FROM lab WHERE learn)) h ON h.f = t.f AND h.x = t.x""",
+    }
+
+
+def _model(learn: str, select: str, rounds: int = 4, depth: int = 6, step: float = 0.3) -> str:
+    """A statement over ``scored`` (the rows with ``margin``) and ``splits`` of boosted trees, a view per level."""
+    views = _encoded(learn)
+    ranks = ", ".join(f"CAST(ceil(n * {k}::DOUBLE / 32) AS BIGINT)" for k in range(1, 32))
+    views["cuts"] = f"""SELECT DISTINCT f, x AS cut FROM (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS pos, count(*) OVER (PARTITION BY f) AS n
+        FROM numbers WHERE id IN (SELECT id FROM lab WHERE learn)) WHERE pos = 1 OR list_contains([{ranks}], pos)"""
+    views["bins"] = """SELECT n.id, n.f, d.b FROM numbers n JOIN (SELECT v.f, v.x, count(*) FILTER (c.cut < v.x) AS b
+          FROM (SELECT DISTINCT f, x FROM numbers) v JOIN cuts c ON c.f = v.f GROUP BY v.f, v.x) d ON d.f = n.f AND d.x = n.x
+        UNION ALL SELECT t.id, s.slot, CAST(t.slot = s.slot AS INTEGER) FROM texts t JOIN (SELECT DISTINCT f, slot FROM texts) s ON s.f = t.f"""
+    views["classes"] = """SELECT (count(*) FILTER (propagated = 0))::DOUBLE / (count(*) FILTER (propagated = 1)) AS heavy FROM lab WHERE learn"""
+    views["margin0"] = """SELECT id, learn, CAST(propagated AS DOUBLE) AS y, CASE WHEN propagated = 1 THEN heavy ELSE 1 END AS w, 0::DOUBLE AS margin
+        FROM lab, classes"""
+    gained = []
+    for r in range(rounds):
+        views[f"level{r}_0"] = f"""SELECT id, learn, 0 AS node, CAST(floor(w * (p - y) * 65536 + 0.5::DOUBLE) AS BIGINT) AS g,
+            CAST(floor(w * p * (1 - p) * 65536 + 0.5::DOUBLE) AS BIGINT) AS h FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM margin{r})"""
+        for d in range(depth):
+            views[f"split{r}_{d}"] = f"""SELECT node, f, b, gain FROM (SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - ga * ga / (ha + 1) AS gain
+                FROM (SELECT node, f, b, CAST(gl AS DOUBLE) / 65536 AS gl, CAST(hl AS DOUBLE) / 65536 AS hl, CAST(ga AS DOUBLE) / 65536 AS ga,
+                  CAST(ha AS DOUBLE) / 65536 AS ha, CAST(ga - gl AS DOUBLE) / 65536 AS gr, CAST(ha - hl AS DOUBLE) / 65536 AS hr
+                  FROM (SELECT node, f, b, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(g) OVER part AS ga, sum(h) OVER part AS ha
+                    FROM (SELECT l.node, e.f, e.b, sum(l.g) AS g, sum(l.h) AS h FROM level{r}_{d} l JOIN bins e ON e.id = l.id WHERE l.learn GROUP BY ALL)
+                    WINDOW upto AS (PARTITION BY node, f ORDER BY b), part AS (PARTITION BY node, f))) WHERE hl >= 1 AND hr >= 1) WHERE gain > 0
+                QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1"""
+            views[f"level{r}_{d + 1}"] = f"""SELECT l.id, l.learn, CASE WHEN s.node IS NULL THEN l.node WHEN e.b <= s.b THEN 2 * l.node + 1
+                ELSE 2 * l.node + 2 END AS node, l.g, l.h FROM level{r}_{d} l LEFT JOIN split{r}_{d} s ON s.node = l.node
+                LEFT JOIN bins e ON e.id = l.id AND e.f = s.f"""
+            # A node that is left as it is at one level is the same at the next.
+            gained.append(f"SELECT {r} AS tree, node, f, gain FROM split{r}_{d}")
+        views[f"margin{r + 1}"] = f"""SELECT m.id, m.learn, m.y, m.w, m.margin + v.value AS margin FROM margin{r} m JOIN level{r}_{depth} l ON l.id = m.id
+            JOIN (SELECT node, -(sum(g)::DOUBLE / 65536) / (sum(h)::DOUBLE / 65536 + 1) * {step}::DOUBLE AS value FROM level{r}_{depth}
+              WHERE learn GROUP BY node) v ON v.node = l.node"""
+    views["splits"] = " UNION ".join(gained)
+    views["scored"] = f"SELECT id, learn, CAST(y AS INTEGER) AS actual, CAST(margin > 0 AS INTEGER) AS predicted FROM margin{rounds}"
+    return _stacked(views, select)
+
+
+def _stacked(views: dict[str, str], select: str) -> str:
+    base = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _needed(_LABELLED))
+    return f"WITH RECURSIVE {base},\n" + ",\n".join(f"{n} AS MATERIALIZED ({v})" for n, v in views.items()) + "\n" + select
+
+
+_SCORES = """round((c00 + c11) / (c00 + c01 + c10 + c11), 6) AS accuracy,
+  round((coalesce(c00 / nullif(c00 + c10, 0), 0) + coalesce(c11 / nullif(c11 + c01, 0), 0)) / 2, 6) AS precision,
+  round((coalesce(c00 / nullif(c00 + c01, 0), 0) + coalesce(c11 / nullif(c11 + c10, 0), 0)) / 2, 6) AS recall,
+  round((coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2, 6) AS f1_score,
+  c00 + c01 AS no_propagation_support, c10 + c11 AS propagation_support"""
+_CELLS = ", ".join(f"count(*) FILTER (actual = {a} AND predicted = {p}) AS c{a}{p}" for a in (0, 1) for p in (0, 1))
+
+
+def model_sql() -> dict[str, str]:
+    return {
+        "encoded_features": _stacked(
+            _encoded("true"),
+            """, chosen AS MATERIALIZED (SELECT id, f AS feature, x AS value, false AS category FROM numbers
+              UNION ALL SELECT id, slot, 1, true FROM texts),
+            scales AS (SELECT feature, CASE WHEN category THEN sqrt(n / total * (1 - n / total)) ELSE spread END AS scale FROM
+              (SELECT feature, category, count(*)::DOUBLE AS n, stddev_pop(value) AS spread, (SELECT count(*) FROM lab)::DOUBLE AS total
+               FROM chosen GROUP BY feature, category))
+            SELECT l.source, l.target, l.cascade_id, l.original_author, e.categories, e.n_features, e.total FROM lab l JOIN
+              (SELECT c.id, string_agg(c.feature, ',' ORDER BY c.feature) FILTER (c.category) AS categories, count(*) AS n_features,
+                round(sum(c.value / CASE WHEN s.scale > 1e-9 THEN s.scale ELSE 1 END), 6) AS total
+               FROM chosen c JOIN scales s ON s.feature = c.feature WHERE c.value <> 0 GROUP BY c.id) e ON e.id = l.id""",
+        ),
+        "propagation_model_metrics": _model(
+            f"NOT ({_SPLIT_TEST})",
+            f"SELECT {_SCORES}, part FROM (SELECT CASE WHEN learn THEN 'train' ELSE 'test' END AS part, {_CELLS} FROM scored GROUP BY learn)",
+        ),
+        "confusion_matrix": _model("true", 'SELECT actual, predicted, count(*) AS "rows" FROM scored GROUP BY ALL'),
+        "feature_importances": _model(
+            "true",
+            """SELECT f AS feature, round(mean / sum(mean) OVER (), 6) AS importance FROM (SELECT f, avg(gain) AS mean FROM splits GROUP BY f)
+            ORDER BY mean DESC, f LIMIT 20""",
+        ),
+    }
+
+
 TANGLED_QUERIES = {
     "tangled_nodes": "SELECT cascade_id, post_id, author_id, type FROM nodes",
     "tangled_edges": "SELECT cascade_id, parent, child FROM tree",
@@ -579,4 +701,4 @@ TANGLED_QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     found = {name: with_views(select) for name, select in QUERIES.items()}
-    return found | {name: _tangled(select) for name, select in TANGLED_QUERIES.items()}
+    return found | {name: _tangled(select) for name, select in TANGLED_QUERIES.items()} | model_sql()

@@ -1,7 +1,10 @@
+import bisect
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from spreadlab.operators import classifier, growth, pairs
+from spreadlab.operators import boosting, classifier, encoding, growth, pairs
 from spreadlab.operators.network import undirected
 from spreadlab.plans import catalogue, demo
 from tests.conftest import SF, rows
@@ -45,6 +48,87 @@ def test_fit_predict_and_report(spark, training, tmp_path):
         classifier.PropagationModel().fit(training.where("propagated = 1"))
 
 
+def test_frequent_values_and_buckets(spark):
+    data = [("a" if i % 2 else f"rare {i}", None, f"t{i}") for i in range(300)] + [(None, None, "t1")]
+    frame = spark.createDataFrame(data, "`k.1` string, empty string, free string")
+    found = encoding.frequent_values(frame, frame.columns, share=10)
+    assert found == {"k.1": ["a"], "empty": [], "free": []}
+    assert encoding.frequent_values(frame, []) == {} and encoding.frequent_values(frame.limit(0), ["free"]) == {"free": []}
+    code = encoding.Encoder(share=10, width=4).fit(frame, frame.columns)
+    assert code.texts == ["k.1", "free"] and len(code.names()) == 1 + 4 + 4
+    got = code.fit_scales(frame).encoded(frame, ["k.1"]).collect()
+    assert all(len(r["features"]) == 2 for r in got)
+    # The null takes the mode; two rows of one value meet in one feature.
+    slots = {r["k.1"]: {e["feature"] for e in r["features"] if e["feature"].startswith("k.1")} for r in got}
+    assert slots["a"] == slots[None] == {"k.1=a"} and slots["rare 2"] < {f"k.1#{k}" for k in range(4)}
+    assert code.encoded(spark.createDataFrame([(1,)], "other int")).first()["features"]
+
+
+def test_numbers_are_scaled_without_centring(spark):
+    frame = spark.createDataFrame([(0.0, 5.0), (4.0, 5.0), (float("nan"), 5.0), (None, 5.0)], "x double, same double")
+    code = encoding.Encoder().fit(frame.where("not isnan(x) or x is null"), ["x", "same"]).fit_scales(frame)
+    got = [{e["feature"]: e["value"] for e in r["features"]} for r in code.encoded(frame).collect()]
+    assert got == [{"same": 5.0}, {"same": 5.0, "x": pytest.approx(4 / 3**0.5)}, {"same": 5.0}, {"same": 5.0}]
+
+
+def test_first_split_is_the_best_of_all(spark):
+    """Every cut of every feature by hand, in whole rows; nulls, a rare flag and a tie among them."""
+    data = [(float(i % 7), float(i == 3), None if i % 4 else "x", int(i % 7 in (1, 2) or i == 3)) for i in range(60)]
+    frame = spark.createDataFrame(data, "n double, flag double, kind string, propagated int")
+    model = classifier.PropagationModel(rounds=1, depth=1).fit(frame)
+    tree, names = model.model.trees[0], model.encoder.names()
+    positives = sum(d[3] for d in data)
+    weight = (60 - positives) / positives
+    rows_ = [(d[0], d[1], weight * -0.5 if d[3] else 0.5, (weight if d[3] else 1) * 0.25) for d in data]
+
+    def part(some):
+        g, h = sum(r[2] for r in some), sum(r[3] for r in some)
+        return g * g / (h + 1), h
+
+    options = []
+    for name, i in (("flag", 1), ("n", 0)):
+        for cut in sorted({r[i] for r in rows_})[:-1]:
+            (a, ha), (b, hb) = part([r for r in rows_ if r[i] <= cut]), part([r for r in rows_ if r[i] > cut])
+            if min(ha, hb) >= 1:
+                options.append((round(a + b - part(rows_)[0], 3), name, cut))
+    best = max(options, key=lambda o: o[0])
+    f, b, gain = tree.splits[0]
+    assert (names[f], model.model.cuts[names[f]][b]) == best[1:] and gain == pytest.approx(best[0], abs=2e-3)
+    assert set(tree.leaves) == {1, 2}
+
+
+def test_margins_follow_the_bins(spark):
+    """Scoring by values walks the trees as a loop over bins does; the label follows a hashed text and a number."""
+    data = [(float(i * 7 % 90), f"v{i % 150}", i % 50 == 0, int((i % 150) % 3 == 0 or i * 7 % 90 > 70)) for i in range(900)]
+    frame = spark.createDataFrame(data, "`a b` double, text string, flag boolean, propagated int")
+    model = classifier.PropagationModel(rounds=2).fit(frame)
+    assert model.encoder.frequent["text"] == [] and any("text#" in name for name, _ in model.importances())
+    names, cuts = model.encoder.names(), model.model.cuts
+
+    def walked(number, text, flag):
+        total = 0.0
+        for tree in model.model.trees:
+            node = 0
+            while node in tree.splits:
+                f, b, _ = tree.splits[node]
+                value = {"a b": number, "flag": float(flag)}.get(names[f])
+                if value is None:
+                    bin_ = int(names[f] == f"text#{int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % 32}")
+                else:
+                    bin_ = bisect.bisect_left(cuts[names[f]], value)
+                node = 2 * node + (1 if bin_ <= b else 2)
+            total += tree.leaves[node]
+        return total
+
+    scored = model.model.scored(frame, model.encoder).collect()
+    assert [r["margin"] for r in scored] == pytest.approx([walked(r["a b"], r["text"], r["flag"]) for r in scored])
+    assert len({r["margin"] for r in scored}) > 2
+    clash = frame.withColumn("_used", F.lit(1)).withColumn("prediction", F.lit("x"))
+    assert rows(model.predict(clash).select("prediction")) == rows(model.predict(frame).select("prediction"))
+    assert model.predict(frame.limit(0)).count() == 0
+    assert boosting.cut_points(frame, model.encoder)["flag"] == [0.0]
+
+
 def test_metrics_by_hand(spark):
     cells = [(0, 0)] * 5 + [(0, 1)] * 1 + [(1, 0)] * 2 + [(1, 1)] * 2
     got = classifier.classification_metrics(spark.createDataFrame(cells, "propagated int, prediction int")).first()
