@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from spreadlab.functions.columns import actor_class
 from spreadlab.operators.network import Network, mean_closeness, network_size
 from spreadlab.operators.posts import flat, originals
+from spreadlab.operators.prefix import quantiles
+from spreadlab.session import settle
 
 
 def across(datasets: Mapping[str, DataFrame]) -> DataFrame:
@@ -63,3 +65,40 @@ def sampled_cascades(top: DataFrame, per_class: int = 10) -> DataFrame:
     digest = F.md5(F.concat_ws("\x1f", "dataset", "id").cast("binary"))
     ranked = Window.partitionBy("user_type").orderBy(digest, "dataset", "id")
     return top.withColumn("_at", F.row_number().over(ranked)).where(F.col("_at") <= per_class).drop("_at")
+
+
+def distribution_summary(
+    rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), error: float = 0.001
+) -> DataFrame:
+    """(keys, share, n, exact, sketched, rank_error): quantiles of each group, exact ones beside those of a sketch.
+
+    The sketch merges across tasks and keeps its ranks within ``error`` of the group's rows; ``rank_error``
+    is how far off, as a share of them, its value really is. The exact ones are interpolated. Groups with a
+    null key and null values take no part.
+    """
+    keys = list(keys)
+    named = [F.col(k).isNotNull() for k in keys]
+    known = rows.where(F.col(value).isNotNull())
+    for some in named:
+        known = known.where(some)
+    counts = settle(known.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
+    cuts = {f"q{i}": share for i, share in enumerate(shares)}
+    at = F.array(*[F.lit(float(s)) for s in shares])
+
+    def listed(column):
+        return F.posexplode(column).alias("i", "x")
+
+    exact = quantiles(known, keys, value, cuts)
+    exact = exact.select(*keys, listed(F.array(*[F.col(q).cast("double") for q in cuts]))).withColumnRenamed("x", "exact")
+    sketch = known.groupBy(*keys).agg(F.percentile_approx(value, list(map(float, shares)), round(1 / error)).alias("s"))
+    sketch = sketch.select(*keys, listed("s")).withColumnRenamed("x", "sketched")
+    ranks = counts.join(sketch, keys).groupBy(*keys, "i").agg(
+        F.first("sketched").alias("sketched"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("v") < F.col("sketched"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= F.col("sketched"), F.col("n")).otherwise(0)).alias("upto"),
+    )
+    share = F.get(at, F.col("i"))
+    wanted = F.greatest(F.ceil(share * F.col("n")), F.lit(1))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - wanted, wanted - F.col("upto")) / F.col("n")
+    return ranks.join(exact, [*keys, "i"]).select(*keys, share.alias("share"), "n", "exact", "sketched", off.alias("rank_error"))

@@ -350,6 +350,13 @@ def legitimacy_trimmed(d):
     return standing.legitimacy_by_class(d.metadata, below=1000)
 
 
+@query
+def legitimacy_distribution(d):
+    rows = reports.across({"demo": standing.legitimacy_by_class(d.metadata)})
+    found = reports.distribution_summary(rows, ["dataset", "user_type"], "legitimacy")
+    return found.select("dataset", "user_type", "share", "n", "exact", (F.col("rank_error") <= 0.001).alias("within"))
+
+
 # -------------------------------------------------------------------- cascades
 
 

@@ -459,6 +459,9 @@ QUERIES: dict[str, str] = {
         WHERE user_type <> 'Normal' GROUP BY ALL""",
     "legitimacy_by_class": "SELECT author_id, user_type, legitimacy FROM meta",
     "legitimacy_trimmed": "SELECT author_id, user_type, legitimacy FROM meta WHERE legitimacy < 1000",
+    "legitimacy_distribution": """SELECT 'demo' AS dataset, user_type, unnest([0, 0.25, 0.5, 0.75, 1]::DOUBLE[]) AS share, n,
+        round(unnest(q), 6) AS exact, true AS "within" FROM (SELECT user_type, count(legitimacy) AS n,
+          quantile_cont(CAST(legitimacy AS DOUBLE), [0, 0.25, 0.5, 0.75, 1]) AS q FROM meta GROUP BY user_type) WHERE n > 0""",
     "cascade_sizes": "SELECT cascade_id, suspect AS is_usual_suspect, party, size FROM sizes",
     "size_ccdf": """SELECT size, max(round(share, 6)) FILTER (WHERE user_type = 'Normal') AS "Normal",
         max(round(share, 6)) FILTER (WHERE user_type = 'Suspect') AS "Suspect",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadlab.operators.prefix import quantiles, running
+from spreadlab.operators.reports import distribution_summary
 from tests.conftest import rows
 
 
@@ -59,3 +60,17 @@ def test_quantiles_match_numpy(spark, numbers, limit):
 def test_global_quantile(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     assert quantiles(df, [], "v", {"m": 0.25}, group_rows=30).first()["m"] == 25.0
+
+
+def test_sketched_quantiles_stay_within_their_error(spark):
+    rng = random.Random(4)
+    data = [("a", rng.choice([1, 5, rng.randrange(10**6)])) for _ in range(30_000)] + [("b", 7), ("c", None), (None, 3)]
+    frame = spark.createDataFrame(data, "kind string, x bigint").repartition(7)
+    for error in (0.001, 0.05):
+        found = {(r["kind"], r["share"]): r for r in distribution_summary(frame, ["kind"], "x", (0.1, 0.5, 0.99), error).collect()}
+        assert {k for k, _ in found} == {"a", "b"} and len(found) == 6
+        assert all(r["rank_error"] <= error for r in found.values())
+        values = sorted(x for k, x in data if k == "a")
+        for share in (0.1, 0.5, 0.99):
+            assert found["a", share]["exact"] == pytest.approx(np.quantile(values, share))
+    assert found["b", 0.5]["exact"] == found["b", 0.5]["sketched"] == 7 and found["b", 0.5]["n"] == 1
