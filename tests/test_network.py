@@ -144,6 +144,17 @@ def test_mean_closeness(random_net):
     assert network.mean_closeness(net, precision=8).count() == 1
 
 
+def test_mean_closeness_counts_exactly(spark):
+    leaves = 700
+    ids = [str(i) for i in range(leaves + 1)]
+    edges = spark.createDataFrame([(ids[0], x) for x in ids[1:]] + [("a", "b")], "source string, target string")
+    expected = (1 + leaves * leaves / (1 + 2 * (leaves - 1)) + 2) / (leaves + 3)
+    net = network.Network(None, edges)
+    assert network.mean_closeness(net).first()[0] == pytest.approx(expected, rel=1e-12)
+    # Components over the limit keep sketches.
+    assert network.mean_closeness(net, bitmap_authors=2).first()[0] == pytest.approx(expected, rel=0.05)
+
+
 def test_edge_positions(spark):
     edges = spark.createDataFrame([("a", "b")], "source string, target string")
     layout = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", 4.0, 5.0, 6.0)], "author_id string, x double, y double, z double")
