@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.operators.classifier import PropagationModel
 from spreadlab.operators.network import undirected
-from spreadlab.operators.pairs import pair_features
+from spreadlab.operators.pairs import cascade_features, with_features
 from spreadlab.session import settle
 
 
@@ -23,14 +23,18 @@ def grow_cascades(
 
     Starting from the author of the original, unvisited network neighbours are
     tested pair by pair; accepted ones join and are expanded in the next round.
-    All cascades advance together, one round of joins per step. Rows are
+    All cascades advance together, one round of joins per step; what belongs to a cascade is
+    joined to its author's features once, before the rounds. Users are exchanged, never broadcast, as
+    every round would send them to the driver. Rows are
     (cascade_id, author_id, source, ground_truth); observed authors have no source.
     ``scorer`` is a fitted model, or a condition over the features of a pair; null does not accept.
     """
     links = settle(undirected(network_edges).distinct(), "links").select(
         F.col("author_id").alias("source"), F.col("other").alias("target")
     )
-    by_post, users = settle(by_post, "post_features"), settle(users, "user_features")
+    users = settle(users, "user_features")
+    by_cascade = settle(cascade_features(cascades, by_post, users), "cascade_features")
+    users = users.hint("merge")
     observed = nodes.join(cascades, "cascade_id", "left_semi").where(F.col("author_id").isNotNull())
     visited = settle(observed.select("cascade_id", "author_id").distinct(), "visited")
     rows = visited.select("cascade_id", "author_id", F.lit(None).cast("string").alias("source"), F.lit(True).alias("ground_truth"))
@@ -39,7 +43,7 @@ def grow_cascades(
         near = frontier.join(links, "source").join(
             visited.withColumnRenamed("author_id", "target"), ["cascade_id", "target"], "left_anti"
         )
-        seen = pair_features(near.distinct(), by_post, users)
+        seen = with_features(near.distinct(), by_cascade, users)
         accepted = seen.where(scorer) if isinstance(scorer, Column) else scorer.predict(seen).where(F.col("prediction") == 1)
         joined = (
             accepted

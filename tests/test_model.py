@@ -205,6 +205,29 @@ def test_growth_reaches_what_the_model_accepts(d):
         growth.grow_cascade("nope", *args, Everything(), by_post, users)
 
 
+def test_growth_joins_the_cascades_posts_once_and_sends_no_users_to_the_driver(spark, monkeypatch):
+    nodes = spark.createDataFrame([("1", "1", "a"), ("2", "2", "c")], "cascade_id string, post_id string, author_id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source string, target string")
+    by_post = spark.createDataFrame([("1", 3), ("2", 4), ("9", 5)], "cascade_id string, num_likes int")
+    users = spark.createDataFrame([(x, i) for i, x in enumerate("abcd")], "author_id string, rank int")
+    cascades = nodes.select("cascade_id", F.col("author_id").alias("original_author")).where("cascade_id = '1'")
+    kept, plans = {}, []
+
+    def settle(df, name="step"):
+        if name == "joined":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        kept[name] = session_settle(df, name)
+        return kept[name]
+
+    session_settle = growth.settle
+    monkeypatch.setattr(growth, "settle", settle)
+    upward = (F.col("rank_prev") < F.col("rank_curr")) & (F.col("num_likes") == 3) & (F.col("rank_original") == 0)
+    grown = growth.grow_cascades(cascades, nodes, edges, upward, by_post, users)
+    assert rows(grown, "author_id", "source", "ground_truth") == [("a", None, True), ("b", "a", False), ("c", "b", False), ("d", "c", False)]
+    assert "post_features" not in kept and rows(kept["cascade_features"], "cascade_id", "num_likes", "rank_original") == [("1", 3, 0)]
+    assert all(plan.count("SortMergeJoin") >= 2 for plan in plans) and len(plans) == 4
+
+
 def test_registered_model_queries_run(spark):
     for name in ("propagation_model_metrics", "feature_importances"):
         assert catalogue.queries()[name](spark, SF).count() > 0
