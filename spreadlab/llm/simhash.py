@@ -37,17 +37,22 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(counts * 2 > len(spans)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fingerprint long) for every row; a null text counts as empty, an empty one has fingerprint 0."""
-    small_batches(docs.sparkSession)
+def printed(size: int):
+    """The column function that gives the ``fingerprint`` of a binary text."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: fingerprint(t, size)).astype("int64")
 
+    return of
+
+
+def fingerprints(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fingerprint long) for every row; a null text counts as empty, an empty one has fingerprint 0."""
+    small_batches(docs.sparkSession)
     whole = text_of(text)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), of(whole.cast("binary")).alias("fingerprint"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), printed(size)(whole.cast("binary")).alias("fingerprint"))
 
 
 def _masks(blocks: int, shared: int) -> list[int]:

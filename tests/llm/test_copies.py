@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from spreadlab.llm import copies as C
+from spreadlab.llm import simhash as S
 
 
 def grams(text):
@@ -67,3 +68,15 @@ def test_crowded_keys_are_told_apart_by_longer_ones(spark):
     for crowd, depth in ((1, 1), (3, 2), (500, 0)):
         found = {(min(r.u, r.v), max(r.u, r.v)) for r in C._links(rows, said, 5, 0.8, crowd, depth).collect()}
         assert found == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
+def test_stage_removes_what_fingerprints_link(spark):
+    # The repeated shingles set the bits of all fingerprints; most different shingles are of one text only.
+    often = ["a b c d e f g"] * 60
+    texts = [" ".join([*often, f"x{i}", f"y{i}", f"z{i}"] + [f"w{i}-{j}" for j in range(8)]) for i in range(4)]
+    assert max(C.similarity(a.encode(), b.encode()) for i, a in enumerate(texts) for b in texts[:i]) < 0.8
+    prints = [S.fingerprint(t.encode(), 4) for t in texts]
+    assert max(bin((a ^ b) % 2**64).count("1") for a in prints for b in prints) <= 4
+    docs = spark.createDataFrame([*enumerate(texts), (9, " ".join(f"v{i}" for i in range(50)))], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [0, 9]
