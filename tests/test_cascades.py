@@ -229,3 +229,35 @@ def test_sizes_and_ccdf(spark):
     assert wide[2][0] == pytest.approx(200 / 3) and wide[4][0] == pytest.approx(100 / 3)
     filled = {r["size"]: r["share"] for r in cascades.fill_ccdf(posts).collect() if r["user_type"] == "Normal"}
     assert filled == {1: 100.0, 2: pytest.approx(200 / 3), 4: 0.0}
+
+
+def test_part_links_connect_what_edges_connect(spark):
+    from spreadlab.operators.components import connected
+
+    rng = random.Random(7)
+    edges = [("c", str(rng.randrange(i)), str(i)) for i in range(1, 120) if rng.random() < 0.8]
+    edges += [("c", str(rng.randrange(200, 230)), str(rng.randrange(60, 120))) for _ in range(15)]
+    edges += [("c", "x1", "x2"), ("c", "x2", "x3"), ("c", "x3", "x1"), ("c", "x3", "x4"), ("c", "x4", "5"), ("c", "y", "y")]
+    edges += [("d", "1", "2"), ("d", "2", "3")]
+    df = spark.createDataFrame(edges, "cascade_id string, parent string, child string")
+    links = cascades.part_links(df)
+    # A chain that ends at one post has no links at all, and few other edges are left.
+    assert links.where("u.cascade_id = 'd'").isEmpty()
+    assert links.count() < len(set(edges)) / 2
+
+    def groups(pairs):
+        found = {}
+        for r in connected(pairs).collect():
+            found.setdefault(r["component"], set()).add(r["node"])
+        return found
+
+    def struct(name):
+        return F.struct("cascade_id", F.col(name).alias("post_id"))
+
+    whole = groups(df.select(struct("parent").alias("u"), struct("child").alias("v")))
+    assert all(min(nodes) == label for label, nodes in whole.items())
+    heads = {(c, p) for c, p, _ in edges} - {(c, v) for c, _, v in edges}
+    wanted = {frozenset(n for n in nodes if n in heads) for nodes in whole.values()} - {frozenset()}
+    got = {frozenset(n for n in nodes if n in heads) for nodes in groups(links).values()}
+    got |= {frozenset([h]) for h in heads - set().union(*got)}
+    assert {frozenset(map(tuple, g)) for g in got} - {frozenset()} == {frozenset(map(tuple, w)) for w in wanted}
