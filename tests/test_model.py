@@ -231,3 +231,25 @@ def test_growth_joins_the_cascades_posts_once_and_sends_no_users_to_the_driver(s
 def test_registered_model_queries_run(spark):
     for name in ("propagation_model_metrics", "feature_importances"):
         assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_pair_features_read_only_posts_of_the_cascades(spark, monkeypatch):
+    made = []
+
+    def cascade_features(heads, by_post, users, build=pairs.cascade_features):
+        made.append(build(heads, by_post, users))
+        return made[-1]
+
+    monkeypatch.setattr(pairs, "cascade_features", cascade_features)
+    chosen = spark.createDataFrame(
+        [("a", "b", "1", "o"), ("a", "b", "1", "o"), ("b", "a", "2", "o"), ("a", None, "1", "o"), ("a", "b", None, "o"), ("a", "z", "1", "o")],
+        "source string, target string, cascade_id string, original_author string",
+    )
+    by_post = spark.createDataFrame([("1", 5), ("1", 6), ("2", None), ("3", 7), (None, 8)], "cascade_id string, num_replies long")
+    users = spark.createDataFrame([("a", 1.0), ("b", None), ("o", 3.0), (None, 9.0)], "author_id string, x double")
+    out = pairs.pair_features(chosen, by_post, users)
+    assert out.columns == ["original_author", "target", "source", "cascade_id", "num_replies", "x_prev", "x_curr", "x_original"]
+    expected = [("o", "b", "a", "1", n, 1.0, None, 3.0) for n in (5, 5, 6, 6)] + [("o", "a", "b", "2", None, None, 1.0, 3.0)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+    # Per post and author of a cascade once, however many pairs it has.
+    assert made[0].count() == 3
