@@ -18,8 +18,10 @@ EDITS = 2
 MIN_CHARS = 20
 # White space that is not part of a line.
 BLANKS = " \t\r\v\f"
-# Index entries of one segment beyond which its lines are compared by a second segment too.
-CROWD = 100
+# Index entries of one segment beyond which its lines are told apart before they are compared.
+CROWD = 16
+# Parts of a hub by which lines are told apart, from its start and from its end.
+SPOTS = 8
 # How many further segments crowded entries are told apart by.
 ROUNDS = 2
 # Line ids up to which a set of them is broadcast; a larger one is joined by a shuffle.
@@ -56,11 +58,12 @@ def _probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _entries(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int, rest: bool = False) -> DataFrame:
-    """(key, id[, rest]) of the substrings ``shapes`` of ``lines(prefix, id, text, n)``; n is the length.
+def _entries(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int, keys: DataFrame | None = None) -> DataFrame:
+    """(key, id[, target, rest]) of the substrings ``shapes`` of ``lines(prefix, id, text, n)``; n is the length.
 
     A line of a length is cut evenly, the longer segments last. ``rest`` is the text
-    without the substring.
+    without the substring, and ``target`` the length of the lines it is a segment of; they are
+    given with the entries of ``keys(key)``, which are all then.
     """
     text, parts = F.col("text"), edits + 1
     listed = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in shapes])
@@ -72,11 +75,101 @@ def _entries(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int, r
     size = short + F.when(longer + i >= parts, 1).otherwise(0)
     placed = each.select("prefix", "id", "text", "n", target.alias("target"), i.alias("i"), start.alias("start"), size.alias("size"))
     placed = placed.where("start >= 1 AND start + size - 1 <= n").where(F.col("target") >= parts)
-    out = [F.xxhash64("prefix", "target", "i", F.substring(text, F.col("start"), F.col("size"))).alias("key"), "id"]
-    if rest:
-        left = F.substring(text, F.lit(1), F.col("start") - 1)
-        out.append(F.concat(left, F.substring(text, F.col("start") + F.col("size"), F.col("n"))).alias("rest"))
-    return placed.select(*out)
+    key = F.xxhash64("prefix", "target", "i", F.substring(text, F.col("start"), F.col("size"))).alias("key")
+    if keys is None:
+        return placed.select(key, "id")
+    held = placed.select(key, "id", "text", "n", "target", "start", "size").join(keys.select("key"), "key", "left_semi")
+    left = F.substring(text, F.lit(1), F.col("start") - 1)
+    rest = F.concat(left, F.substring(text, F.col("start") + F.col("size"), F.col("n")))
+    return held.select("key", "id", "target", rest.alias("rest")).distinct()
+
+
+def _of_lengths(lines: DataFrame, held: DataFrame, edits: int) -> DataFrame:
+    """The lines that are as long as a segment's lines in ``held`` or at most ``edits`` longer; no other can hold it."""
+    lengths = held.select(F.explode(F.array(*[F.col("target") + d for d in range(edits + 1)])).alias("n")).distinct()
+    return lines.join(F.broadcast(lengths), "n", "left_semi")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast unless it is large, so that what it is joined to is not exchanged for it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """How many characters ``a`` from i and ``b`` from j have in common at their start."""
+    most, done, step = min(len(a) - i, len(b) - j), 0, 8
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done : i + done + step] == b[j + done : j + done + step]:
+            done, step = done + step, step * 2
+        else:
+            most, step = done + step - 1, max(1, step // 2)
+    return done
+
+
+def reach(text: str, hub: str, edits: int) -> tuple[int, int]:
+    """How many characters of ``hub`` from its start some start of ``text`` equals, and comes within ``edits`` of.
+
+    If texts are within ``edits`` of each other, the first number of either is at most
+    the second of the other: what one has in common with the hub, the other has but for
+    the edits.
+    """
+    far = {0: _common(hub, 0, text, 0)}
+    first = far[0]
+    for _ in range(edits):
+        # By diagonal, the places in the text less those in the hub: an edit in the hub's place, less or more of the text.
+        before = {d: max(far.get(d, -1) + 1, far.get(d + 1, -1) + 1, far.get(d - 1, 0)) for d in range(min(far) - 1, max(far) + 2)}
+        capped = {d: min(j, len(hub), len(text) - d) for d, j in before.items()}
+        far = {d: j + _common(hub, j, text, j + d) for d, j in capped.items() if j >= 0 and j + d >= 0}
+    return first, max(far.values())
+
+
+def _spotted(held: DataFrame, hubs: DataFrame, edits: int, steps: Steps) -> DataFrame:
+    """``held(key, id, rest, ..)`` with the spots at which lines of a key are compared, and the ends of ``reach``.
+
+    Of a line that differs from the hub (``hubs(key, hub_rest)``) at some place, lines
+    within ``edits`` differ there too. So lines meet by the parts of the hub in which its
+    ``reach`` ends, from the start and from the end, as far as some line ends there.
+    """
+
+    @F.pandas_udf("struct<p:int,f:int,s:int,t:int>")
+    def ends(texts: pd.Series, hub_texts: pd.Series) -> pd.DataFrame:
+        both = [reach(t, h, edits) + reach(t[::-1], h[::-1], edits) for t, h in zip(texts, hub_texts, strict=True)]
+        return pd.DataFrame(both, columns=list("pfst"))
+
+    size = F.greatest(F.lit(1), F.ceil(F.length("hub_rest") / F.lit(SPOTS)).cast("int"))
+    near = held.join(_few(hubs), "key").withColumn("at", ends("rest", "hub_rest")).withColumn("size", size)
+    near = steps.keep(near.select(*held.columns, "at.*", "size"), "near")
+    cell = lambda end: F.floor(F.col(end) / F.col("size")).cast("int")
+    cells = steps.keep(near.groupBy("key").agg(F.collect_set(cell("p")).alias("ps"), F.collect_set(cell("s")).alias("ss")), "cells")
+    some = lambda have, a, b: F.array_intersect(have, F.sequence(cell(a), cell(b)))
+    each = near.join(_few(cells), "key").withColumn("x", F.explode(some("ps", "p", "f"))).withColumn("y", F.explode(some("ss", "s", "t")))
+    return steps.keep(each.select(F.xxhash64("key", "x", "y").alias("spot"), *held.columns, "p", "f", "s", "t"), "spots")
+
+
+def _met(index: DataFrame, probes: DataFrame, also: str = "true") -> DataFrame:
+    """Pairs (a, b) of ids that share a spot and reach as far as lines within the edits do."""
+    side = lambda x, name: x.select("spot", F.struct(*[c for c in x.columns if c not in ("spot", "key", "rest")]).alias(name))
+    reached = "x.p <= y.f AND y.p <= x.f AND x.s <= y.t AND y.s <= x.t"
+    both = side(index, "x").join(side(probes, "y"), "spot").where(f"x.id <> y.id AND {reached} AND {also}")
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _matched(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids that share a key."""
+    pairs = index.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _crowded(index: DataFrame, key: str, crowd: int, steps: Steps) -> DataFrame:
+    """The keys that more than ``crowd`` entries share, with their number."""
+    return steps.keep(index.groupBy(key).agg(F.count(F.lit(1)).alias("n_key")).where(F.col("n_key") > crowd), "crowded")
+
+
+def _cut_again(spots: DataFrame, full: DataFrame) -> DataFrame:
+    """What remains of the lines of crowded spots, to be cut in turn."""
+    rest = spots.join(full, "spot", "left_semi").select(F.col("spot").alias("prefix"), "id", F.col("rest").alias("text"), F.length("rest").alias("n"))
+    return rest.distinct()
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
@@ -87,34 +180,40 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds:
     by its segments with its length, and looked up by the substrings that can be a
     segment of a line as long or shorter. A segment that more than ``crowd`` lines of a
     length share is no key by itself: what remains of its lines without it is within as
-    many edits, and is cut and looked up in turn, ``rounds`` times at most.
+    many edits, and is compared with what remains of one of them, the hub. Lines meet only
+    where they leave the hub at like places (``_spotted``). Where more than ``crowd`` do,
+    what remains is cut and looked up in turn, ``rounds`` times at most.
     """
+    steps = Steps(lines.sparkSession)
     todo = lines.select("id", "text", "n", F.lit(0).cast("long").alias("prefix"))
     entered, sought, found = todo, todo, None
     for again in range(rounds + 1):
         index, probes = _entries(entered, _index(edits), edits), _entries(sought, _probes(edits), edits)
-        last = again == rounds
-        if not last:
-            crowded = keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
-            last = crowded.isEmpty()
-        if not last:
-            index, probes = (x.join(crowded, "key", "left_anti") for x in (index, probes))
-        pairs = index.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        crowded = _crowded(index, "key", crowd, steps)
+        if crowded.isEmpty():
+            pairs = _matched(index, probes)
+            found = pairs if found is None else found.unionByName(pairs)
+            break
+        keys = _few(crowded.select("key"))
+        pairs = _matched(*(x.join(keys, "key", "left_anti") for x in (index, probes)))
         found = pairs if found is None else found.unionByName(pairs)
+        owners = steps.keep(_entries(entered, _index(edits), edits, keys), "owners")
+        holders = steps.keep(_entries(_of_lengths(sought, owners, edits), _probes(edits), edits, keys), "holders")
+        hubs = steps.keep(owners.groupBy("key").agg(F.min_by("rest", "id").alias("hub_rest")), "hubs")
+        both = owners.withColumn("entered", F.lit(True)).unionByName(holders.withColumn("entered", F.lit(False))).drop("target")
+        spots = _spotted(both, hubs, edits, steps)
+        index, probes = spots.where("entered"), spots.where("NOT entered")
+        full = _crowded(index, "spot", crowd, steps)
+        last = again == rounds or full.isEmpty()
         if last:
+            found = found.unionByName(_met(index, probes))
             break
-        entered, sought = (
-            keep(
-                _entries(x, e(edits), edits, True)
-                .join(crowded, "key", "left_semi")
-                .select(F.col("key").alias("prefix"), "id", F.col("rest").alias("text"), F.length("rest").alias("n"))
-                .distinct(),
-                "rest",
-            )
-            for x, e in ((entered, _index), (sought, _probes))
-        )
-    return found.distinct()
+        full = _few(full.select("spot"))
+        found = found.unionByName(_met(*(x.join(full, "spot", "left_anti") for x in (index, probes))))
+        entered, sought = (steps.keep(_cut_again(x, full), "rest") for x in (index, probes))
+    found = keep(found.distinct(), "candidates")
+    steps.drop()
+    return found
 
 
 def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
@@ -179,57 +278,53 @@ def class_links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD, rounds
 
     As ``candidates``, but of a segment that more than ``crowd`` lines share, all lines
     that can hold it are first compared with one of them, the hub: the one whose
-    segments the most lines share. What that connects needs no more comparing. Lines
-    that stay apart from their hub, the strangers, are compared with the other classes
-    of the segment if they are at most ``crowd``; if they are more, what remains of the
-    lines without the segment is cut in turn, ``rounds`` times at most.
+    segments the most lines share. What that connects needs no more comparing. Where
+    lines stay apart from their hub, they and the others of the segment meet as in
+    ``candidates``, in pairs of which the classes differ and at least one is such a stranger.
     """
     steps = Steps(lines.sparkSession)
     todo = lines.select("id", "text", "n", F.lit(0).cast("long").alias("prefix"))
     entered, sought, links = todo, todo, None
     for again in range(rounds + 1):
         index, probes = _entries(entered, _index(edits), edits), _entries(sought, _probes(edits), edits)
-        crowded = steps.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
-        rare = [x.join(crowded, "key", "left_anti") for x in (index, probes)]
-        pairs = rare[0].select("key", F.col("id").alias("a")).join(rare[1].select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b")
-        owners = steps.keep(index.join(crowded, "key"), "owners")
-        scored = owners.join(owners.groupBy("id").agg(F.sum("n").alias("score")), "id")
-        hubs = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("top")).select("key", F.col("top.id").alias("hub"))
-        holders = steps.keep(probes.join(hubs, "key"), "holders")
-        pairs = pairs.unionByName(holders.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        pairs = steps.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        found = steps.keep(_verified(pairs, lines, edits, steps), "links")
-        links = found if links is None else links.unionByName(found)
+        crowded = _crowded(index, "key", crowd, steps)
         if crowded.isEmpty():
+            pairs = steps.keep(_matched(index, probes).distinct(), "candidates")
+            found = steps.keep(_verified(pairs, lines, edits, steps), "links")
+            links = found if links is None else links.unionByName(found)
             break
+        keys = _few(crowded)
+        rare = [x.join(keys, "key", "left_anti") for x in (index, probes)]
+        owners = steps.keep(_entries(entered, _index(edits), edits, keys).join(keys, "key"), "owners")
+        scored = owners.join(owners.groupBy("id").agg(F.sum("n_key").alias("score")), "id")
+        hubs = scored.groupBy("key").agg(F.max(F.struct("score", "id", "rest")).alias("top"))
+        hubs = steps.keep(hubs.select("key", F.col("top.id").alias("hub"), F.col("top.rest").alias("hub_rest")), "hubs")
+        holders = steps.keep(_entries(_of_lengths(sought, owners, edits), _probes(edits), edits, keys), "holders")
+        named = holders.join(_few(hubs.select("key", "hub")), "key")
+        pairs = _matched(*rare).unionByName(named.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")))
+        pairs = steps.keep(pairs.distinct(), "candidates")
+        found = steps.keep(_verified(pairs, lines, edits, steps), "links")
+        links = found if links is None else links.unionByName(found)
         known = steps.keep(connected(links).select(F.col("node.id").alias("id"), F.col("component.id").alias("part")).distinct(), "known")
         part_of = lambda x, out: known.select(F.col("id").alias(x), F.col("part").alias(out))
-        named = holders.join(part_of("id", "own"), "id", "left").join(part_of("hub", "hubs"), "hub", "left")
-        named = named.select("key", "id", F.coalesce("own", "id").alias("part"), F.coalesce("hubs", "hub").alias("hub_part"))
-        members = steps.keep(named.select("key", "id", "part", (F.col("part") != F.col("hub_part")).alias("stranger")), "members")
-        strange = steps.keep(members.where("stranger").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "strange")
-        last = again == rounds
-        few = (strange if last else strange.where(F.col("n") <= crowd)).select("key")
-        some = members.join(few, "key", "left_semi")
-        strangers = some.where("stranger").select("key", F.col("id").alias("s"), F.col("part").alias("s_part"))
-        # Two strangers meet twice, once from each side, and are taken once.
-        met = strangers.join(some, "key").where("part <> s_part AND (NOT stranger OR s < id)")
-        more = met.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
-        found = steps.keep(_verified(steps.keep(more, "met"), lines, edits, steps), "links")
-        links = links.unionByName(found)
-        many = steps.keep(strange.where(F.col("n") > crowd).select("key"), "many")
-        if last or many.isEmpty():
+        both = owners.select("key", "id", "rest", F.lit(True).alias("entered")).unionByName(holders.select("key", "id", "rest", F.lit(False).alias("entered")))
+        named = both.join(_few(hubs.select("key", "hub")), "key").join(part_of("id", "own"), "id", "left").join(part_of("hub", "hubs"), "hub", "left")
+        named = named.select("key", "id", "rest", "entered", F.coalesce("own", "id").alias("part"), F.coalesce("hubs", "hub").alias("hub_part"))
+        members = steps.keep(named.withColumn("stranger", F.col("part") != F.col("hub_part")).drop("hub_part"), "members")
+        strange = steps.keep(members.where("stranger").select("key").distinct(), "strange")
+        if strange.isEmpty():
+            break
+        spots = _spotted(members.join(_few(strange), "key", "left_semi"), hubs.select("key", "hub_rest"), edits, steps)
+        index, probes = spots.where("entered"), spots.where("NOT entered")
+        full = _crowded(index, "spot", crowd, steps)
+        last = again == rounds or full.isEmpty()
+        full = _few(full.select("spot"))
+        some = (index, probes) if last else [x.join(full, "spot", "left_anti") for x in (index, probes)]
+        more = steps.keep(_met(*some, "x.part <> y.part AND (x.stranger OR y.stranger)").distinct(), "met")
+        links = links.unionByName(steps.keep(_verified(more, lines, edits, steps), "links"))
+        if last:
             break
-        entered, sought = (
-            steps.keep(
-                _entries(x, e(edits), edits, True)
-                .join(many, "key", "left_semi")
-                .select(F.col("key").alias("prefix"), "id", F.col("rest").alias("text"), F.length("rest").alias("n"))
-                .distinct(),
-                "rest",
-            )
-            for x, e in ((entered, _index), (sought, _probes))
-        )
+        entered, sought = (steps.keep(_cut_again(x, full), "rest") for x in (index, probes))
     links = keep(links.distinct(), "links")
     steps.drop()
     return links
@@ -254,7 +349,7 @@ def line_classes(
     distinct = steps.keep(distinct, "distinct")
     long = distinct.where(F.col("n") >= min_chars).select("id", "id2", "text", "n")
     if all_links:
-        pairs = steps.keep(candidates(long, edits, crowd, rounds), "candidates")
+        pairs = candidates(long, edits, crowd, rounds)
         links = steps.keep(_verified(pairs, long, edits, steps), "links")
     else:
         links = class_links(long, edits, crowd, rounds)

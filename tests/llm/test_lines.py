@@ -98,6 +98,31 @@ def test_copies_in_a_crowd_take_few_links(spark):
     assert L.class_links(distinct, crowd=10).count() <= 30 * len(lines)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_reach_of_close_texts(edits):
+    dice = random.Random(8)
+    for _ in range(500):
+        hub = "".join(dice.choice("ab") for _ in range(dice.randint(0, 20)))
+        a = edited(hub, 6, "abc", dice)
+        first, far = L.reach(a, hub, edits)
+        assert hub[:first] == a[:first] and (first == min(len(a), len(hub)) or hub[first] != a[first])
+        assert far == max(j for j in range(len(hub) + 1) if any(distance(hub[:j], a[:i]) <= edits for i in range(len(a) + 1)))
+
+
+def test_pairs_of_unlike_lines_in_a_crowd_are_few(spark):
+    dice = random.Random(9)
+    base = "".join(dice.choice("abcdefgh ") for _ in range(300))
+    spots = [(dice.randint(0, 300), "".join(dice.choices("stuvwxyz", k=5))) for _ in range(150)]
+    lines = [base[:i] + x + base[i:] for i, x in spots]
+    lines += [edited(x, 1, "abc", dice) for x in lines[:15]]
+    rows = [(i, x, len(x)) for i, x in enumerate(dict.fromkeys(lines))]
+    got = {(r.a, r.b) for r in L.candidates(spark.createDataFrame(rows, "id long, text string, n int")).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    near = L.within([(rows[i][1], rows[j][1]) for i, j in pairs], 2)
+    assert {(j, i) for (i, j), x in zip(pairs, near, strict=True) if x} <= got
+    assert len(got) <= 20 * len(rows)
+
+
 def test_texts_without_duplicates(spark):
     rows = [(2, "a line\n\nkept here\na line", "x"), (1, "a line\nand more", "y"), (3, "a line", "z"), (4, None, None), (4, None, None), (5, "", "q"), (None, "kept here\nnew", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
