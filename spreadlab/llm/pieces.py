@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -49,20 +50,22 @@ class Model:
     longest: int = field(init=False)
     # Neighbours within some piece; between two other characters none spans.
     neighbours: set[str] = field(init=False)
-    # The lengths of the pieces of two or more characters, by the last two.
-    lengths: dict[str, tuple[int, ...]] = field(init=False)
+    # For the last two characters of some text: the score of the last one, of both as a piece or None, and the
+    # lengths of the longer pieces that end in them.
+    ends: dict[str, tuple[int, int | None, tuple[int, ...]]] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores), default=1)
         # Then no piece spans a space that follows something else, or a line end.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.scores)
         self.neighbours = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        ends: dict[str, set[int]] = {}
-        for piece in self.scores:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {end: tuple(sorted(some)) for end, some in ends.items()}
         self.worst = min(self.scores.values(), default=0) - UNKNOWN_PENALTY
+        longer: dict[str, set[int]] = {pair: set() for pair in self.neighbours}
+        for piece in self.scores:
+            if len(piece) > 2:
+                longer[piece[-2:]].add(len(piece))
+        get = self.scores.get
+        self.ends = {pair: (get(pair[1], self.worst), get(pair), tuple(sorted(some))) for pair, some in longer.items()}
 
 
 def load(path: str = MODEL) -> Model:
@@ -108,18 +111,26 @@ def candidates(text: str, end: int, model: Model, start: int = 0) -> Iterator[tu
 
 def segment(text: str, model: Model) -> list[str]:
     """The best segmentation; of equal scores the one whose last piece is longest, at every position."""
-    worst, get, lengths = model.worst, model.scores.get, model.lengths.get
-    best, back = [0], [0]
-    for end in range(1, len(text) + 1):
+    worst, get = model.worst, model.scores.get
+    top = get(text[:1], worst)
+    best, back = [0, top], [0, 0]
+    # What ends at a place is looked up by the two characters before it; nothing longer than one does if it is not found.
+    for end, found in enumerate(map(model.ends.get, map(add, text, text[1:])), 2):
         source = end - 1
-        top = best[source] + get(text[source:end], worst)
-        for length in lengths(text[end - 2 : end] if end > 1 else "", ()):
-            at = end - length
-            if at < 0:
-                break
-            score = get(text[at:end])
-            if score is not None and best[at] + score >= top:
-                top, source = best[at] + score, at
+        if found is None:
+            top += get(text[source], worst)
+        else:
+            single, both, lengths = found
+            top += single
+            if both is not None and best[end - 2] + both >= top:
+                top, source = best[end - 2] + both, end - 2
+            for length in lengths:
+                at = end - length
+                if at < 0:
+                    break
+                score = get(text[at:end])
+                if score is not None and best[at] + score >= top:
+                    top, source = best[at] + score, at
         best.append(top)
         back.append(source)
     out, end = [], len(text)
@@ -144,7 +155,8 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         found, near = self.older.get(word), self.model.neighbours
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in near] if found is None else []
+        whole = found is not None or near.issuperset(map(add, word, word[1:]))
+        cuts = [] if whole else [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in near]
         if cuts:
             found = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
         elif found is None:
@@ -348,7 +360,7 @@ def decode(coded: DataFrame, model: Model | str = MODEL, ids: str = "ids") -> Da
         said = bytes_of(shared.value)
         drop = shared.value.dummy_prefix
         for batch in batches:
-            yield batch.map(lambda row: b"".join([said[i] for i in row.tolist()]).decode(errors="replace")[drop:])
+            yield batch.map(lambda row: b"".join(map(said.__getitem__, row.tolist())).decode(errors="replace")[drop:])
 
     return coded.withColumn("decoded", text(F.coalesce(ids, F.array().cast("array<int>"))))
 
