@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,59 @@ def test_margins_follow_the_bins(spark):
     assert boosting.cut_points(frame, model.encoder)["flag"] == [0.0]
 
 
+def test_rows_are_coded_once_and_gradients_never_stored(spark, monkeypatch):
+    """A byte per column is all that the rounds read; before, every round wrote the rows again."""
+    kept = []
+
+    def settle(df, name="step", real=boosting.settle):
+        kept.append((name, real(df, name)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(boosting, "settle", settle)
+    data = [(float(i * 7 % 90), f"v{i % 150}", None, int(i % 3 == 0)) for i in range(900)]
+    frame = spark.createDataFrame(data, "n double, text string, blank double, propagated int")
+    classifier.PropagationModel(rounds=3).fit(frame)
+    assert [name for name, _ in kept] == ["binned"]
+    assert {len(r["codes"]) for r in kept[0][1].collect()} == {2}
+
+
+def test_cut_points_are_exact_beyond_ten_thousand_rows(spark):
+    rows_ = 40_000
+    frame = spark.range(rows_).select(
+        (F.col("id") * 7919 % rows_).cast("double").alias("x"), F.when(F.col("id") % 4 == 0, F.col("id") % 1000).alias("y"), (F.col("id") % 2).alias("z")
+    )
+    code = encoding.Encoder().fit(frame, ["x", "y", "z"])
+    got = boosting.cut_points(frame, code)
+    assert got["x"] == [0.0, *[float(rows_ * k // 32 - 1) for k in range(1, 32)]]
+    # Three quarters are null and take the mode, which is the smallest of equals.
+    filled = sorted([0] * (rows_ * 3 // 4) + [i % 1000 for i in range(0, rows_, 4)])
+    assert got["y"] == sorted({float(filled[0]), *[float(filled[rows_ * k // 32 - 1]) for k in range(1, 32)]}) and got["z"] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("weight", [1.0, 2.0**38])
+def test_sums_of_gradients_are_whole(spark, monkeypatch, weight):
+    """Also where doubles would not add them up exactly, and after a tree with an inner node that is no longer active."""
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    data = [(float(i % 5), "ab"[i % 3 == 0], i % 7 == 0) for i in range(500)]
+    frame = spark.createDataFrame(data, "n double, text string, hit boolean").repartition(3)
+    code = encoding.Encoder().fit(frame, ["n", "text"])
+    columns = boosting.Columns(code, boosting.cut_points(frame, code))
+    state = columns.coded(frame, code, F.col("hit"), F.lit(weight))
+    names = code.names()
+    tree = boosting.Tree({0: (names.index("n"), 1, 1.0)})
+    before = boosting.Tree({}, {0: 0.5})
+    chance = 1 / (1 + math.exp(-0.5))
+    expected = {}
+    for n, text, hit in data:
+        if n <= 1:
+            continue
+        g = math.floor(weight * (chance - hit) * 65536 + 0.5)
+        for key in ((2, names.index("n"), int(n)), (2, names.index(f"text={text}"), 1)):
+            expected[key] = expected.get(key, 0) + g
+    got = columns.sums(state, [before], tree, [2]).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+    assert {(r["node"], r["f"], r["b"]): r["g"] for r in got} == expected and all(r["h"] > 0 for r in got)
+
+
 def test_metrics_by_hand(spark):
     cells = [(0, 0)] * 5 + [(0, 1)] * 1 + [(1, 0)] * 2 + [(1, 1)] * 2
     got = classifier.classification_metrics(spark.createDataFrame(cells, "propagated int, prediction int")).first()
