@@ -160,3 +160,28 @@ def test_edge_positions(spark):
     layout = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", 4.0, 5.0, 6.0)], "author_id string, x double, y double, z double")
     out = network.edge_positions(edges, layout).orderBy("part").collect()
     assert [(r["x"], r["y"], r["z"]) for r in out] == [(1, 2, 3), (4, 5, 6), (None, None, None)]
+
+
+@pytest.mark.parametrize("packed", [1, 1 << 19])
+def test_mean_closeness_sends_links_not_sets(spark, monkeypatch, packed):
+    """Components of all sizes at once: a chain over several words, stars, a circle, pairs; a loop and both directions too."""
+    monkeypatch.setattr(network, "PACKED_LINKS", packed)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(149)]
+    stars = [(f"s{k}", f"s{k}x{i}") for k in range(3) for i in range(20 + k)]
+    pairs = [(f"p{i}", f"q{i}") for i in range(30)]
+    links = [*chain, *stars, *pairs, ("o1", "o2"), ("o2", "o3"), ("o3", "o4"), ("o4", "o1"), ("o1", "o1"), ("o2", "o1")]
+    names = sorted({a for link in links for a in link})
+    distances = [brute.distances(a, links, directed=False) for a in names]
+    expected = sum((len(d) - 1) / sum(d.values()) for d in distances) / len(names)
+    net = network.Network(spark.createDataFrame([(a, a) for a in names], "author_id string, username string"), spark.createDataFrame(links, "source string, target string"))
+
+    def by_rounds(numbered, links, real=network._by_bitmaps):
+        called.append(numbered.count())
+        return real(numbered, links)
+
+    called = []
+    monkeypatch.setattr(network, "_by_bitmaps", by_rounds)
+    assert network.mean_closeness(net).first()[0] == pytest.approx(expected, rel=1e-12) and not called
+    if packed == 1:
+        # Those with more links than a task takes up go through rounds of joins: the chain alone.
+        assert network.mean_closeness(net, task_links=100).first()[0] == pytest.approx(expected, rel=1e-12) and called == [150]
